@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,9 +82,22 @@ def literal_map(pairs: dict) -> "F.Column":
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def ensure_local_env() -> None:
-    """Python workers of a local session must find this package."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        os.environ["PYTHONPATH"] = os.pathsep.join([root, *[p for p in paths if p]])
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of this session import the package, wherever it lies on the driver.
+
+    Done once per context: the sources go to the executors as a zip file through Spark's own file server.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_advisorium_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="advisorium-src-")
+    archive = os.path.join(folder, "advisorium.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for where, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(where, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._advisorium_shipped = True
