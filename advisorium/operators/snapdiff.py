@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from advisorium.session import Workspace
+
 BUCKETS = 64
 
 
@@ -58,15 +60,16 @@ def changes_between(rows: DataFrame, last: int, key: str, values: list[str], ord
     Old and new values are fetched for the ``changed`` alone and compared, null being a value of its own; a key
     whose values are equal after all is no change. Rows with a null key are none.
     """
-    rows = rows.filter(F.col(key).isNotNull())
-    index = key_index(rows, ["seq", key], values, order)
+    work = Workspace(rows.sparkSession, "snapshots")
+    standing = first_rows(rows.filter(F.col(key).isNotNull()), ["seq", key], values, order)
+    stored = work.store(standing.withColumn("value_hash", F.xxhash64(*[F.coalesce(F.col(f"v.{v}").cast("string"), F.lit("\x00")) for v in values])), "rows")
+    index = stored.select("seq", key, "value_hash")  # all that the probe reads of the stored rows
     found = probe(index.withColumn("seq", F.col("seq") + 1).filter(F.col("seq") <= last), index, ["seq", key])
-    moved = found.filter("change_kind = 'changed'")
-    wanted = moved.select("seq", key).unionByName(moved.select((F.col("seq") - 1).alias("seq"), key)).distinct()
-    fetched = first_rows(rows.join(wanted, ["seq", key], "left_semi"), ["seq", key], values, order)
-    before = fetched.select((F.col("seq") + 1).alias("seq"), key, F.col("v").alias("was"))
-    confirmed = moved.join(fetched, ["seq", key]).join(before, ["seq", key]).filter(~F.col("v").eqNullSafe(F.col("was"))).select("seq", key, "change_kind")
-    return found.filter("change_kind != 'changed'").unionByName(confirmed)
+    moved = found.filter("change_kind = 'changed'").select("seq", key)
+    now = stored.select("seq", key, "v").join(moved, ["seq", key])
+    before = stored.select((F.col("seq") + 1).alias("seq"), key, F.col("v").alias("was")).join(moved, ["seq", key], "left_semi")
+    same = now.join(before, ["seq", key]).filter(F.col("v").eqNullSafe(F.col("was"))).select("seq", key)
+    return found.join(same, ["seq", key], "left_anti")
 
 
 class SnapshotIndex:
