@@ -65,26 +65,42 @@ def base_score(vector: Column | str) -> Column:
     3.1 rounds up on integers of five decimals, 3.0 up and 2 half up to one decimal.
     """
     v = F.trim(as_column(vector))
-    kind = vector_type(v)
     m = lambda n: vector_metric(v, n)
-    changed = m("S") == "C"
-    pr = F.when(changed, _pick(m("PR"), V3_PR_CHANGED)).otherwise(_pick(m("PR"), V3_PR))
-    c, i, a = (_pick(m(n), V3_CIA) for n in "CIA")
-    iss = 1 - (1 - c) * (1 - i) * (1 - a)
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15))).otherwise(6.42 * iss)
-    easy = F.lit(8.22) * _pick(m("AV"), V3["AV"]) * _pick(m("AC"), V3["AC"]) * pr * _pick(m("UI"), V3["UI"])
-    total = F.when(changed, 1.08 * (impact + easy)).otherwise(impact + easy)
-    raw = F.when(total > 10, 10.0).otherwise(total)  # keeps null, which least() would pass over
-    whole = F.round(raw * 100_000).cast("bigint")
-    up31 = F.when(whole % 10_000 == 0, whole / 100_000).otherwise((F.floor(whole / 10_000) + 1) / 10)
-    v3 = F.when((impact <= 0) & easy.isNotNull(), 0.0).when(kind == "CVSS_V3_1", up31).otherwise(F.ceil(raw * 10) / 10)
-    c2, i2, a2 = (_pick(m(n), V2_CIA) for n in "CIA")
-    impact2 = 10.41 * (1 - (1 - c2) * (1 - i2) * (1 - a2))
-    easy2 = F.lit(20.0) * _pick(m("AV"), V2["AV"]) * _pick(m("AC"), V2["AC"]) * _pick(m("AU"), V2["AU"])
-    # Half-up on the decimal form of the double, as the published tables round.
-    total2 = (0.6 * impact2 + 0.4 * easy2 - 1.5) * F.when(impact2 == 0, 0.0).otherwise(1.176)
-    v2 = F.floor(F.when(total2 < 0, 0.0).otherwise(total2) * 10 + 0.5) / 10
-    return F.when(kind.isin("CVSS_V3_0", "CVSS_V3_1"), v3).when(kind == "CVSS_V2", v2)
+    weights = {n: _pick(m(n.upper()), w) for n, w in (("av", V3["AV"]), ("ac", V3["AC"]), ("ui", V3["UI"]), ("pr", V3_PR))}
+    weights |= {f"{n}2": _pick(m(n.upper()), w) for n, w in (("av", V2["AV"]), ("ac", V2["AC"]), ("au", V2["AU"]))}
+    weights["pr_changed"] = _pick(m("PR"), V3_PR_CHANGED)
+    weights |= {f"{n}{k}": _pick(m(n.upper()), w) for n in "cia" for k, w in ((3, V3_CIA), (2, V2_CIA))}
+    given = F.array(F.struct(vector_type(v).alias("kind"), (m("S") == "C").alias("changed"), *[w.alias(n) for n, w in weights.items()]))
+
+    # One step per transform, so that no step is repeated inside the next.
+    def losses(w: Column) -> Column:
+        left = lambda k: 1 - (1 - w[f"c{k}"]) * (1 - w[f"i{k}"]) * (1 - w[f"a{k}"])
+        easy = F.lit(8.22) * w["av"] * w["ac"] * F.when(w["changed"], w["pr_changed"]).otherwise(w["pr"]) * w["ui"]
+        return F.struct(w["kind"].alias("kind"), w["changed"].alias("changed"), left(3).alias("iss"), easy.alias("easy"), (10.41 * left(2)).alias("impact2"), (F.lit(20.0) * w["av2"] * w["ac2"] * w["au2"]).alias("easy2"))
+
+    def impacts(w: Column) -> Column:
+        impact = F.when(w["changed"], 7.52 * (w["iss"] - 0.029) - 3.25 * F.pow(w["iss"] - 0.02, F.lit(15))).otherwise(6.42 * w["iss"])
+        total2 = (0.6 * w["impact2"] + 0.4 * w["easy2"] - 1.5) * F.when(w["impact2"] == 0, 0.0).otherwise(1.176)
+        return F.struct(w["kind"].alias("kind"), w["changed"].alias("changed"), impact.alias("impact"), w["easy"].alias("easy"), total2.alias("total2"))
+
+    def totals(w: Column) -> Column:
+        total = (w["impact"] + w["easy"]) * F.when(w["changed"], 1.08).otherwise(1.0)
+        return F.struct(w["kind"].alias("kind"), ((w["impact"] <= 0) & w["easy"].isNotNull()).alias("harmless"), total.alias("total"), w["total2"].alias("total2"))
+
+    def rounding(w: Column) -> Column:
+        raw = F.when(w["total"] > 10, 10.0).otherwise(w["total"])  # keeps null, which least() would pass over
+        return F.struct(w["kind"].alias("kind"), w["harmless"].alias("harmless"), raw.alias("raw"), F.round(raw * 100_000).cast("bigint").alias("whole"), F.when(w["total2"] < 0, 0.0).otherwise(w["total2"]).alias("raw2"))
+
+    def scores(w: Column) -> Column:
+        up31 = F.when(w["whole"] % 10_000 == 0, w["whole"] / 100_000).otherwise((F.floor(w["whole"] / 10_000) + 1) / 10)
+        v3 = F.when(w["harmless"], 0.0).when(w["kind"] == "CVSS_V3_1", up31).otherwise(F.ceil(w["raw"] * 10) / 10)
+        # Version 2 rounds half up, as its published tables do.
+        return F.when(w["kind"].isin("CVSS_V3_0", "CVSS_V3_1"), v3).when(w["kind"] == "CVSS_V2", F.floor(w["raw2"] * 10 + 0.5) / 10)
+
+    out = given
+    for step in (losses, impacts, totals, rounding, scores):
+        out = F.transform(out, step)
+    return F.get(out, F.lit(0))
 
 
 def qualitative_band(c: Column | str) -> Column:
