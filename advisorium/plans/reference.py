@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from advisorium.functions import ids, packages, severity, text
 from advisorium.operators import enrich, listing, matching, merge, scan
 from advisorium.session import table
+from advisorium.sinks import exports
+from advisorium.sources import bundle, documents, inventory
 from advisorium.versions import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +266,53 @@ def verdict_batch(spark: SparkSession, d: str) -> DataFrame:
     return matching.with_verdicts(pairs).groupBy("result", "confidence").agg(F.count("*").alias("n"))
 
 
+def osv_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """OSV records written as documents and parsed again."""
+    o = table(spark, d, "osv_records", ["rec_no", "id", "aliases", "summary", "details", "ecosystem", "package_name"])
+    package = F.struct(F.col("ecosystem"), F.col("package_name").alias("name"), F.concat(F.lit("pkg:x/"), "package_name").alias("purl"))
+    doc = F.to_json(F.struct("id", "aliases", "summary", "details", F.array(F.struct(package.alias("package"))).alias("affected")))
+    parsed = documents.parse_osv(o.select(doc.alias("content")))
+    return parsed.groupBy("id").agg(F.count("*").alias("n"), F.max("title").alias("title"), F.max(F.col("affected")[0]["product"]).alias("product"), F.max(F.size("aliases") + F.size("related")).alias("n_names"))
+
+
+def nvd_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """NVD records written as documents and parsed again."""
+    n = table(spark, d, "nvd_cve", ["row_no", "cve_id", "source_identifier", "vuln_status", "description", "base_score"])
+    metric = F.struct(F.struct(F.col("base_score").alias("baseScore")).alias("cvssData"))
+    doc = F.to_json(F.struct(F.trim(F.translate("cve_id", "\n\t", "")).alias("id"), F.col("source_identifier").alias("sourceIdentifier"), F.col("vuln_status").alias("vulnStatus"), F.array(F.struct(F.lit("en").alias("lang"), F.col("description").alias("value"))).alias("descriptions"), F.struct(F.array(metric).alias("cvssMetricV31")).alias("metrics")))
+    parsed = documents.parse_nvd(n.select(doc.alias("content")))
+    return parsed.groupBy("id", "state").agg(F.count("*").alias("n"), F.max(F.col("severities")[0]["score"]).alias("score"), F.max(F.col("severities")[0]["rating"]).alias("rating"))
+
+
+def banner_services(spark: SparkSession, d: str) -> DataFrame:
+    """Services told by the lines of the recorded banners."""
+    docs = table(spark, d, "documents", ["doc_id", "text", "kind"]).filter("kind = 'banner'")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "banner"))
+    return inventory.identify_banners(lines).select("doc_id", "line_no", "vendor", "product", "version")
+
+
+def csv_export(spark: SparkSession, d: str) -> DataFrame:
+    return exports.csv_rows(corpus(spark, d))
+
+
+def service_vendors(spark: SparkSession, d: str) -> DataFrame:
+    """Components with the vendor that the corpus knows for their name."""
+    ranked = enrich.top_vendors(enrich.vendor_rank(statements(spark, d)))
+    services = components(spark, d).select("comp_id", F.col("name").alias("product"), "vendor")
+    return enrich.reconciled_vendors(services, ranked).select("comp_id", "product", "vendor")
+
+
+def bundle_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by day, each served by the recorded window that lies nearest."""
+    e = table(spark, d, "events", ["event_id", "ts", "event_type"])
+    url = lambda day: F.concat(F.lit("https://host.invalid/"), "event_type", F.lit("?from="), F.date_format(day, "yyyy-MM-dd"), F.lit("&page=1"))
+    asked = e.select(url(F.col("ts")).alias("url")).distinct()
+    third = e.filter(F.dayofmonth("ts") % 3 == 0).select("event_type", F.col("ts").cast("date").alias("day")).distinct()
+    kept = third.select(url(F.col("day")).alias("url"))
+    recorded = kept.select("url", F.sha2("url", 256).alias("sha256"), F.lit(200).alias("status"), F.lit(0.0).alias("captured_at"), bundle.shape(F.col("url")).alias("shape"), bundle.dates(F.col("url")).alias("dates"))
+    return bundle.lookup(asked, recorded).select("url", "recorded_url", "exact")
+
+
 SINCE = datetime(2025, 6, 1)
 QUERIES: dict[str, Query] = {
     "list_modified": _page(listing.ListFilter(modified_since=SINCE, limit=200)),
@@ -281,5 +330,5 @@ QUERIES: dict[str, Query] = {
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
     "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
-    "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays,
+    "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }

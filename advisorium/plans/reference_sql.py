@@ -35,6 +35,11 @@ def _list(where: str, order: str, limit: int, offset: int = 0, more: str = "") -
     return f"SELECT record_no, id{more} FROM vulnerabilities WHERE {where} ORDER BY {order}, record_no LIMIT {limit} OFFSET {offset}"
 
 
+def _safe(c: str) -> str:
+    t = f"coalesce({c}, '')"
+    return rf"CASE WHEN regexp_matches({t}, '^[=+\-@\t\r]') THEN chr(39) || {t} ELSE {t} END"
+
+
 ORACLES: dict[str, str] = {
     "list_modified": _list("modified >= TIMESTAMP '2025-06-01'", "modified DESC NULLS LAST, id", 200),
     "list_published": _list("published >= TIMESTAMP '2025-06-01'", "published DESC NULLS LAST, id", 50, 25),
@@ -96,4 +101,19 @@ ORACLES: dict[str, str] = {
       SELECT n.id AS cve_id, coalesce(o.product, n.product) AS product, least(o.entry_no, n.entry_no) AS date_added, coalesce(o.ransom, false) OR coalesce(n.ransom, false) AS known_ransomware, 'cisa' AS kev_sources FROM new n LEFT JOIN old o ON o.id = n.id""",
     "text_tokens": r"SELECT doc_id, len(list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')), lambda x: x <> '')) AS n_distinct FROM documents",
     "distinct_arrays": "SELECT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(cwes, []), lambda x: trim(x)), lambda x: x <> ''))), ',') AS cwes FROM vulnerabilities",
+    "osv_parsed": rf"""WITH r AS (SELECT CASE WHEN regexp_full_match({sql_trim("id")}, '(?i)GHSA(-[a-z0-9]{{4}}){{3}}') THEN 'GHSA-' || lower(substr({sql_trim("id")}, 6))
+        WHEN regexp_full_match({sql_trim("id")}, '(?i)(CVE-\d{{4}}-\d{{4,}}|EUVD-\d{{4}}-\d+|GCVE-\d+-\d{{4}}-\d+)') THEN upper({sql_trim("id")}) ELSE {sql_trim("id")} END AS id, summary, package_name,
+        len(list_distinct(list_filter(list_transform(coalesce(aliases, []), lambda x: upper({sql_trim("x")})), lambda x: x <> ''))) AS k FROM osv_records WHERE {sql_trim("coalesce(id, '')")} <> '')
+      SELECT id, count(*) AS n, max(summary) AS title, max(package_name) AS product, max(k) AS n_names FROM r GROUP BY id""",
+    "nvd_parsed": rf"""WITH r AS (SELECT upper(trim(replace(replace(cve_id, chr(10), ''), chr(9), ''))) AS id, CASE WHEN upper(vuln_status) = 'REJECTED' THEN 'REJECTED' ELSE 'PUBLISHED' END AS state, base_score FROM nvd_cve WHERE trim(coalesce(cve_id, '')) <> '')
+      SELECT id, state, count(*) AS n, max(base_score) AS score, max(CASE WHEN base_score IS NULL THEN NULL WHEN base_score <= 0 THEN 'NONE' WHEN base_score < 4 THEN 'LOW' WHEN base_score < 7 THEN 'MEDIUM' WHEN base_score < 9 THEN 'HIGH' ELSE 'CRITICAL' END) AS rating FROM r GROUP BY ALL""",
+    "csv_export": rf"""SELECT {_safe("id")} AS id, {_safe("title")} AS title, {_safe("state")} AS state, coalesce(strftime(published, '%Y-%m-%dT%H:%M:%SZ'), '') AS published, coalesce(strftime(modified, '%Y-%m-%dT%H:%M:%SZ'), '') AS modified,
+      {_safe("primary_rating")} AS rating, coalesce(format('{{:.1f}}', primary_score), '') AS score, coalesce(format('{{:.5f}}', epss_score), '') AS epss, CASE WHEN in_kev THEN 'true' ELSE 'false' END AS in_kev,
+      {_safe("array_to_string(sources, ';')")} AS sources, {_safe("array_to_string(cwes, ';')")} AS cwes FROM vulnerabilities""",
+    "service_vendors": f"""WITH {_STATEMENTS}, {_COMPONENTS}, r AS (SELECT product, vendor, count(DISTINCT vuln_id) AS n FROM said GROUP BY ALL),
+      t AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY n DESC, vendor) AS at_ FROM r QUALIFY at_ <= 5), k AS (SELECT product, list(vendor ORDER BY at_) AS vendors FROM t GROUP BY 1)
+      SELECT comp_id, name AS product, CASE WHEN vendors IS NULL OR list_contains(vendors, vendor) THEN vendor ELSE vendors[1] END AS vendor FROM comps LEFT JOIN k ON k.product = name""",
+    "bundle_windows": """WITH a AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events), k AS (SELECT * FROM a WHERE day(day) % 3 = 0),
+      p AS (SELECT a.event_type, a.day, k.day AS near, row_number() OVER (PARTITION BY a.event_type, a.day ORDER BY abs(a.day - k.day), k.day) AS at_ FROM a LEFT JOIN k ON k.event_type = a.event_type)
+      SELECT 'https://host.invalid/' || event_type || '?from=' || strftime(day, '%Y-%m-%d') || '&page=1' AS url, 'https://host.invalid/' || event_type || '?from=' || strftime(near, '%Y-%m-%d') || '&page=1' AS recorded_url, day = near AS exact FROM p WHERE at_ = 1""",
 }
