@@ -90,22 +90,26 @@ def canonical_ids(members: DataFrame, group: str, name: str) -> DataFrame:
 
 
 def alias_clusters(pairs: DataFrame) -> DataFrame:
-    """Clusters of names that share a record, by labels that hop: name, cluster (the smallest name of the cluster).
+    """Clusters of names that share a record, by contraction: name, cluster (the smallest name of the cluster).
 
-    Each round a name takes the smallest label among its neighbours' labels and then the label of its label, which
-    halves paths. Rounds are written to the shared folder; a round without change ends it.
+    Each round every name moves to the neighbour that comes first in an order drawn anew by hash, and edges are drawn
+    between the places moved to. Random orders leave no long chains, so a constant share of the names goes in every
+    round, on paths as on stars. Rounds are written to the shared folder; names with most of the edges are left to
+    the skew join of adaptive execution, since their side of the join is a single row.
     """
     work = Workspace(pairs.sparkSession, "clusters")
-    known = pairs.filter("a is not null and b is not null and a != b").distinct()
-    edges = work.store(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    known = pairs.filter("a is not null and b is not null and a != b").select("a", "b")
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).filter("name is not null").distinct()
+    edges = work.store(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = work.store(names.select("name", F.col("name").alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
-        near = edges.join(labels.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hop = labels.join(near.withColumnRenamed("a", "name"), "name", "left").select("name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("name").alias("label"), F.col("label").alias("far"))
-        new = work.store(hop.join(jump, "label", "left").select("name", "old", F.least("label", "far").alias("label")), "labels")
-        if new.filter("label != old").isEmpty():
-            return new.select("name", F.col("label").alias("cluster"))
-        labels = new.select("name", "label")
-    raise RuntimeError(f"names still change cluster after {MAX_ROUNDS} rounds")
+    for r in range(MAX_ROUNDS):
+        if edges.isEmpty():
+            return labels.join(labels.groupBy("label").agg(F.min("name").alias("cluster")), "label").select("name", "cluster")
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(r), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = edges.groupBy("a").agg(F.min(drawn("b")).alias("m")).select("a", F.least(drawn("a"), F.col("m"))["n"].alias("to"))
+        moved = work.store(first, "moves")
+        half = edges.join(moved, "a").select(F.col("to").alias("a"), "b")
+        whole = half.join(moved.select(F.col("a").alias("b"), F.col("to").alias("__b")), "b").select("a", F.col("__b").alias("b"))
+        edges = work.store(whole.filter("a != b").distinct(), "edges")
+        labels = work.store(labels.join(moved.withColumnRenamed("a", "label"), "label", "left").select("name", F.coalesce("to", "label").alias("label")), "labels")
+    raise RuntimeError(f"names still move after {MAX_ROUNDS} rounds")
