@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from advisorium.functions.text import as_column, trimmed
 
-# Candidate delimiters by name; the last five are there to be refused.
+#: With so many rows the evidence weighs as much as what is expected of a delimiter.
+PRIOR_ROWS = 20
+# Candidate delimiters by name; the last five are not expected to separate.
 CANDIDATES = {
     "line": r"[\r\n]",
     "tab": r"\t",
@@ -30,6 +32,7 @@ CANDIDATES = {
     "ampersand": r"&",
     "dot": r"\.",
 }
+UNEXPECTED = ("slash", "colon", "hyphen", "ampersand", "dot")
 # Texts that stand for no value, in lower case.
 NO_VALUE = ("-", "--", "?", "n/a", "na", "n.a.", "none", "null", "nil", "unknown", "tbd", "[]", "{}", "not assigned", "not available", "...")
 
@@ -82,13 +85,16 @@ def delimiter_scores(df: DataFrame, columns: dict[str, PieceType], source: Colum
     return wide.select("source", F.inline(F.array(*[F.col(f"m{i}") for i in range(len(measures))]))).filter("n > 0").select("field", "source", "delimiter", "n", "score")
 
 
-def accepted_delimiters(scores: DataFrame, least: float = 0.5) -> dict[str, list[str]]:
-    """Delimiters by field whose score reaches ``least`` in any source; as many rows as fields and candidates."""
-    best = scores.groupBy("field", "delimiter").agg(F.max("score").alias("score")).filter(F.col("score") >= least).collect()
-    out: dict[str, list[str]] = {}
-    for r in best:
-        out.setdefault(r.field, []).append(r.delimiter)
-    return {k: [d for d in CANDIDATES if d in v] for k, v in out.items()}
+def accepted_delimiters(scores: DataFrame, fields: list[str], least: float = 0.5) -> dict[str, list[str]]:
+    """Delimiters by field whose score reaches ``least`` in any source.
+
+    Scores are drawn towards what is expected, by the weight of ``PRIOR_ROWS`` rows, so that a small table is split
+    by the usual delimiters and a large one by what its rows say. One row per field and candidate is collected.
+    """
+    expected = F.when(F.col("delimiter").isin(*UNEXPECTED), 0.0).otherwise(1.0)
+    drawn = (F.col("score") * F.col("n") + expected * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
+    best = {(r.field, r.delimiter): r.score for r in scores.groupBy("field", "delimiter").agg(F.max(drawn).alias("score")).collect()}
+    return {f: [d for d in CANDIDATES if best.get((f, d), 0.0 if d in UNEXPECTED else 1.0) >= least] for f in fields}
 
 
 def _unquoted(piece: Column) -> Column:
@@ -107,7 +113,7 @@ def split_packed(text: Column | str, kind: PieceType, delimiters: list[str]) ->
     ``starts``, a delimiter that neither another piece nor the end follows belongs to the piece.
     """
     text = as_column(text)
-    any_of = "(?:" + "|".join([CANDIDATES[d] for d in delimiters] or [r"[\r\n]"]) + ")"
+    any_of = "(?:" + "|".join([CANDIDATES[d] for d in delimiters] or [CANDIDATES["line"]]) + ")"
     edge = rf"^(?:{any_of}|\s)++|(?:{any_of}|\s)++$"
     if kind.starts:
         listed = trimmed(text).startswith("[")
@@ -136,4 +142,4 @@ def explode_packed(df: DataFrame, key: str, columns: dict[str, PieceType], delim
 
 def unpack(df: DataFrame, key: str, columns: dict[str, PieceType], source: Column | None = None) -> DataFrame:
     """Infer the delimiters of each field over the whole table, then split and explode with position."""
-    return explode_packed(df, key, columns, accepted_delimiters(delimiter_scores(df, columns, source)))
+    return explode_packed(df, key, columns, accepted_delimiters(delimiter_scores(df, columns, source), list(columns)))

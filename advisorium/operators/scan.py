@@ -53,9 +53,12 @@ def candidates(components: DataFrame, statements: DataFrame, per_key: int = PER_
 
 def judge(pairs: DataFrame, components: DataFrame, statements: DataFrame) -> DataFrame:
     """Verdicts of candidate pairs: comp_id, vuln_id, fingerprint and the verdict's columns."""
+    # Judging is heavy for its bytes: partitions of a fixed number, which adaptive execution does not merge.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.struct(*[F.col(c).cast("string").alias(c) for c in ("name", "version", "vendor", "ecosystem", "purl", "cpe", "origin")]).alias("component")
     said = F.struct("vendor", "product", "ecosystem", "purl", "cpes", "versions", "ranges", "default_state", "status", "source").alias("statement")
-    both = pairs.join(components.select("comp_id", own), "comp_id").join(statements.select("vuln_id", "fingerprint", said), ["vuln_id", "fingerprint"])
+    asked = pairs.join(components.select("comp_id", own), "comp_id").repartition(n, "vuln_id", "fingerprint")
+    both = asked.join(statements.select("vuln_id", "fingerprint", said), ["vuln_id", "fingerprint"])
     return with_verdicts(both.select("comp_id", "vuln_id", "fingerprint", "component", "statement"))
 
 

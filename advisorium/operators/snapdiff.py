@@ -64,7 +64,7 @@ def changes_between(rows: DataFrame, last: int, key: str, values: list[str], ord
     standing = first_rows(rows.filter(F.col(key).isNotNull()), ["seq", key], values, order)
     stored = work.store(standing.withColumn("value_hash", F.xxhash64(*[F.coalesce(F.col(f"v.{v}").cast("string"), F.lit("\x00")) for v in values])), "rows")
     index = stored.select("seq", key, "value_hash")  # all that the probe reads of the stored rows
-    found = probe(index.withColumn("seq", F.col("seq") + 1).filter(F.col("seq") <= last), index, ["seq", key])
+    found = probe(index.withColumn("seq", F.col("seq") + 1).filter(F.col("seq") <= last), index.filter("seq > 1"), ["seq", key])
     moved = found.filter("change_kind = 'changed'").select("seq", key)
     now = stored.select("seq", key, "v").join(moved, ["seq", key])
     before = stored.select((F.col("seq") + 1).alias("seq"), key, F.col("v").alias("was")).join(moved, ["seq", key], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.functions import ids, packages, severity, text
@@ -23,12 +23,18 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vulnerabilities", LIST_COLUMNS)
 
 
+def _product() -> Column:
+    """Name of a part as a product: most are their own, every fiftieth shares the plain name, so that hot names occur."""
+    plain = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
+    return F.when(F.col("p_partkey") % 50 == 0, plain).otherwise(F.concat_ws("-", plain, F.col("p_partkey").cast("string")))
+
+
 def statements(spark: SparkSession, d: str) -> DataFrame:
     """Statements derived from the order lines: one per line, with a version window."""
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    product = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
+    product = _product()
     vendor = F.concat(F.lit("vendor-"), F.col("l_suppkey").cast("string"))
     window = F.struct(
         F.col("l_linenumber").cast("string").alias("introduced"), F.col("l_quantity").cast("int").cast("string").alias("fixed"), F.lit(None).cast("string").alias("last_affected"),
@@ -48,7 +54,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     none = F.lit(None).cast("string")
     return parts.select(
-        F.col("p_partkey").alias("comp_id"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"), F.col("p_size").cast("string").alias("version"),
+        F.col("p_partkey").alias("comp_id"), _product().alias("name"), F.col("p_size").cast("string").alias("version"),
         F.concat(F.lit("vendor-"), (F.col("p_partkey") % 10 + 1).cast("string")).alias("vendor"), none.alias("ecosystem"), none.alias("purl"), none.alias("cpe"), none.alias("origin"),
     )
 
@@ -165,6 +171,7 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
 def version_windows(spark: SparkSession, d: str) -> DataFrame:
     """Sizes as versions inside the window of each statement, by sort keys alone."""
     rows = statements(spark, d).select("vuln_id", "fingerprint", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), F.col("p_size").cast("string").alias("v"), F.lit("semver").alias("s"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vuln_id")
     for c in ("low", "high", "v"):
         rows = frames.with_sort_key(rows, "s", c, f"k_{c}")
     inside = (F.col("k_v") >= F.col("k_low")) & (F.col("k_v") < F.col("k_high"))
@@ -263,7 +270,8 @@ def verdict_batch(spark: SparkSession, d: str) -> DataFrame:
     said = statements(spark, d)
     own = F.struct(*[(F.col("product") if c == "name" else F.col("p_size").cast("string") if c == "version" else F.lit(None).cast("string")).alias(c) for c in ("name", "version", "vendor", "ecosystem", "purl", "cpe", "origin")])
     pairs = said.select("vuln_id", "fingerprint", own.alias("component"), F.struct("vendor", "product", "ecosystem", "purl", F.array().cast("array<string>").alias("cpes"), "versions", "ranges", "default_state", "status", "source").alias("statement"))
-    return matching.with_verdicts(pairs).groupBy("result", "confidence").agg(F.count("*").alias("n"))
+    spread = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vuln_id")
+    return matching.with_verdicts(spread).groupBy("result", "confidence").agg(F.count("*").alias("n"))
 
 
 def osv_parsed(spark: SparkSession, d: str) -> DataFrame:

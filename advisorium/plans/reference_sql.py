@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from advisorium.plans.problems_sql import sql_id, sql_trim
 
-_STATEMENTS = """said AS (
+_PRODUCT = "CASE WHEN p_partkey % 50 = 0 THEN lower(replace(p_name, ' ', '-')) ELSE lower(replace(p_name, ' ', '-')) || '-' || p_partkey END"
+_STATEMENTS = f"""said AS (
   SELECT 'CVE-2024-' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS vuln_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS fingerprint,
-    'vendor-' || l_suppkey AS vendor, lower(replace(p_name, ' ', '-')) AS product, l_linenumber AS low, CAST(trunc(l_quantity) AS INTEGER) AS high, p_size
+    'vendor-' || l_suppkey AS vendor, {_PRODUCT} AS product, l_linenumber AS low, CAST(trunc(l_quantity) AS INTEGER) AS high, p_size
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-_COMPONENTS = "comps AS (SELECT p_partkey AS comp_id, lower(replace(p_name, ' ', '-')) AS name, p_size AS version, 'vendor-' || (p_partkey % 10 + 1) AS vendor FROM part)"
+_COMPONENTS = f"comps AS (SELECT p_partkey AS comp_id, {_PRODUCT} AS name, p_size AS version, 'vendor-' || (p_partkey % 10 + 1) AS vendor FROM part)"
 _NAMES = f"""names AS (SELECT DISTINCT {sql_id("alias")} AS alias, {sql_id("vuln_id")} AS vuln_id FROM vuln_aliases
   WHERE {sql_id("alias")} IS NOT NULL AND {sql_id("vuln_id")} IS NOT NULL)"""
 _KEV = f"""kev AS (SELECT {sql_id("vuln_id")} AS cve_id, min(snapshot_at) AS date_added FROM vuln_snapshots WHERE in_kev AND {sql_id("vuln_id")} IS NOT NULL GROUP BY 1)"""
