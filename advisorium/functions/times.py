@@ -77,7 +77,7 @@ def read_times(df: DataFrame, text: Column | str, zones: list[str], prefix: str
         canon = F.when(given.rlike(pattern), F.regexp_replace(given, pattern, replacement)).otherwise(canon)
     count = F.lit(None).cast("bigint")
     for pattern, times, over in reversed(EPOCHS):
-        number = given.cast("bigint")
+        number = given.try_cast("bigint")
         count = F.when(given.rlike(pattern), F.floor(number / over).cast("bigint") if over > 1 else number * times).otherwise(count)
     df = let(df, __t_part=F.split(canon, r"\|"), __t_count=count)
 

@@ -211,6 +211,14 @@ def parse_euvd(raw: DataFrame, content: str = "content", source: str = "euvd") -
     )
 
 
+def euvd_exploited(raw: DataFrame, content: str = "content") -> DataFrame:
+    """Catalogue entries that EUVD items imply by exploitedSince, under their first CVE alias, else their own name."""
+    d = raw.select(F.from_json(content, EUVD).alias("d")).select("d.*").filter("trim(coalesce(exploitedSince, '')) != ''")
+    names = F.transform(F.filter(F.split(F.coalesce("aliases", F.lit("")), r"\R"), lambda x: x.rlike(ids.CVE_SHAPE)), lambda x: ids.normalized_id(x))
+    at = add_instant(read_times(d, "exploitedSince", zone_names(raw.sparkSession), "rt_"), "us", "UTC", "rt_")
+    return at.select(F.coalesce(F.get(names, F.lit(0)), ids.normalized_id("id")).alias("cve_id"), F.timestamp_micros("us").cast("date").alias("date_added"), F.array(F.lit("eu_exploited")).alias("kev_sources"))
+
+
 def parse_kev(raw: DataFrame, content: str = "content", label: str = "cisa") -> DataFrame:
     """Entries of exploited-vulnerability catalogues, one row each, with the version of their catalogue."""
     d = raw.select(F.from_json(content, KEV).alias("d")).select("d.catalogVersion", "d.dateReleased", F.inline("d.vulnerabilities"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advisorium.functions.packages import FAMILY_OF, Purl, parse_purl
+from advisorium.functions.text import tokens
 from advisorium.schemas import COMPONENT
 from advisorium.session import ship_package
 
@@ -58,6 +59,13 @@ BANNERS = (
     (r"(?i)^\* OK .*Cyrus IMAP\s+([\d.]+)", "cyrus", "imap", 1),
 )
 
+# Products told by a word of their certificate's subject (word, vendor, product), in order of trial.
+CERTIFICATES = (
+    ("syncthing", "syncthing", "syncthing"), ("docker", "docker", "docker"), ("kubernetes", "kubernetes", "kubernetes"), ("elasticsearch", "elastic", "elasticsearch"),
+    ("rabbitmq", "pivotal_software", "rabbitmq"), ("grafana", "grafana", "grafana"), ("jenkins", "jenkins", "jenkins"), ("vmware", "vmware", "vmware"), ("ubiquiti", "ui", "unifi"),
+    ("pfsense", "netgate", "pfsense"), ("synology", "synology", "diskstation_manager"), ("qnap", "qnap", "qts"), ("plex", "plex", "plex_media_server"), ("minio", "minio", "minio"),
+)
+
 
 class Refused(ValueError):
     """A document that is recognised and not supported, or too large."""
@@ -286,6 +294,13 @@ def identify_banners(services: DataFrame) -> DataFrame:
     return out.withColumn("version", F.when(F.col("version").rlike(r"^\d"), F.col("version")))
 
 
+def identify_certificates(services: DataFrame) -> DataFrame:
+    """Services told by a whole word of their certificate's subject: the columns of ``services`` (subject), vendor, product."""
+    words = tokens("subject")
+    told = F.coalesce(*[F.when(F.array_contains(words, w), F.struct(F.lit(v).alias("vendor"), F.lit(p).alias("product"))) for w, v, p in CERTIFICATES])
+    return services.withColumn("__told", told).filter("__told is not null").select("*", "__told.vendor", "__told.product").drop("__told")
+
+
 def service_cpe(vendor: Column, product: Column, version: Column) -> Column:
     """Platform name of a service."""
     return F.concat(F.lit("cpe:2.3:a:"), vendor, F.lit(":"), product, F.lit(":"), F.coalesce(version, F.lit("*")), F.lit(":*:*:*:*:*:*:*"))
