@@ -48,12 +48,8 @@ def statistics(corpus: DataFrame, aliases: DataFrame, kev: DataFrame) -> DataFra
         F.count("*").alias("vulnerabilities"), F.count(F.when(F.col("primary_score").isNull(), 1)).alias("unscored"), F.count(F.when(F.col("in_kev"), 1)).alias("exploited"),
         F.max("modified").alias("newest_modified"), F.min("published").alias("oldest_published"),
     )
-    one = F.lit(1).alias("__one")
-    sides = [aliases.agg(F.count("*").alias("aliases")), kev.agg(F.count("*").alias("kev_entries"))]
-    out = own.select("*", one)
-    for s in sides:  # single rows, joined by a constant key
-        out = out.join(s.select("*", one), "__one")
-    return out.drop("__one")
+    rows = own.unionByName(aliases.agg(F.count("*").alias("aliases")), allowMissingColumns=True).unionByName(kev.agg(F.count("*").alias("kev_entries")), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])  # three rows, each with its own columns
 
 
 def counts_by_rating(corpus: DataFrame) -> DataFrame:

@@ -17,11 +17,17 @@ from advisorium.session import bounded_rows
 
 #: Candidate zones and sources are dimensions; more than this is an error.
 MAX_SOURCES = 10_000
+#: Spellings of one time may leave out its seconds.
+SPELLING_SLACK_US = 60_000_000
 
 
 @dataclass(frozen=True)
 class Feed:
-    """One time column of a table: where it is, the row key, and which declared source it belongs to."""
+    """One time column of a table: where it is, the row key, and which declared source it belongs to.
+
+    What says something about its zone: ``ingested``, when the row landed; ``earlier``, a text column known to denote
+    no later an instant; ``entity``, whose rows repeat the same time in several spellings, some with their zone.
+    """
 
     table: str
     key: str
@@ -29,6 +35,7 @@ class Feed:
     source: str
     ingested: str | None = None
     earlier: str | None = None
+    entity: Column | None = None
 
 
 def zone_evidence(rows: DataFrame, candidates: list[str]) -> DataFrame:
@@ -69,13 +76,24 @@ def declared_zones(sources: DataFrame, known: list[str]) -> dict[str, str]:
 def evidence_rows(df: DataFrame, feed: Feed, zones: list[str]) -> DataFrame:
     """The rows of a feed that say something about its zone: local clocks with their bounds.
 
-    ``feed.earlier`` names a text column that is known to denote no later an instant; it bounds from below where
-    it states its own zone.
+    An instant lies no later than its ingestion, no earlier than ``feed.earlier`` where that states its own zone, and
+    among the instants that other rows of the entity state with a zone, give or take what spellings cut off. Known
+    instants are reduced to a least and greatest one per entity before they are joined.
     """
-    upper = us_of_ntz(F.col(feed.ingested)) if feed.ingested else F.lit(None).cast("bigint")
-    held = df.select(F.lit(feed.source).alias("source"), F.col(feed.text).alias("text"), (F.col(feed.earlier) if feed.earlier else F.lit(None).cast("string")).alias("earlier"), upper.alias("upper_us"))
-    local = read_times(held, "text", zones).filter("time_kind = 'local'").select("source", F.col("time_us").alias("wall_us"), "earlier", "upper_us")
-    return add_instant(read_times(local, "earlier", zones), "lower_us", None).select("source", "wall_us", "lower_us", "upper_us")
+    none = F.lit(None)
+    upper = us_of_ntz(F.col(feed.ingested)) if feed.ingested else none.cast("bigint")
+    held = df.select(
+        F.lit(feed.source).alias("source"), F.col(feed.text).alias("text"), (F.col(feed.earlier) if feed.earlier else none).cast("string").alias("earlier"),
+        (feed.entity if feed.entity is not None else none).cast("string").alias("entity"), upper.alias("upper_us"),
+    )
+    read = read_times(held, "text", zones)
+    local = read.filter("time_kind = 'local'").select("source", F.col("time_us").alias("wall_us"), "earlier", "entity", "upper_us")
+    bounded = add_instant(read_times(local, "earlier", zones), "lower_us", None)
+    if feed.entity is not None:
+        stated = add_instant(read.filter("time_kind in ('epoch', 'offset', 'zone') and entity is not null"), "at", None)
+        span = stated.groupBy("entity").agg((F.min("at") - SPELLING_SLACK_US).alias("from_us"), (F.max("at") + SPELLING_SLACK_US).alias("to_us"))
+        bounded = bounded.join(span, "entity", "left").withColumns({"lower_us": F.greatest("lower_us", "from_us"), "upper_us": F.least("upper_us", "to_us")})
+    return bounded.select("source", "wall_us", "lower_us", "upper_us")
 
 
 def normalized_times(df: DataFrame, feed: Feed, zone: str | Column | None, zones: list[str]) -> DataFrame:

@@ -15,19 +15,17 @@ from advisorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FEEDS = (
-    zones.Feed("nvd_cve", "row_no", "published", "nvd"),
-    zones.Feed("euvd_items", "item_no", "date_published", "euvd"),
-    zones.Feed("osv_records", "rec_no", "modified", "osv"),
-    zones.Feed("kev_entries", "entry_no", "date_added", "kev"),
-)
-#: What says something about a feed's zone: a time known to lie between an earlier one and the landing of its row.
-EVIDENCE = (
-    zones.Feed("nvd_cve", "row_no", "last_modified", "nvd", "landed_at", "published"),
-    zones.Feed("euvd_items", "item_no", "date_updated", "euvd", "fetched_at", "date_published"),
-    zones.Feed("osv_records", "rec_no", "modified", "osv", "fetched_at", "published"),
-    zones.Feed("kev_catalogs", "delivery_no", "date_released", "kev", "fetched_at"),
-)
+def feeds() -> tuple[zones.Feed, ...]:
+    """The four time columns. Rows of one entity state one time in several spellings, which tells the feed's zone."""
+    return (
+        zones.Feed("nvd_cve", "row_no", "published", "nvd", "landed_at", entity=identifier("cve_id")),
+        zones.Feed("euvd_items", "item_no", "date_published", "euvd", "fetched_at", entity=identifier("id")),
+        zones.Feed("osv_records", "rec_no", "modified", "osv", "fetched_at", "published", identifier("id")),
+        zones.Feed("kev_entries", "entry_no", "date_added", "kev", entity=identifier("cve_id")),
+    )
+
+
+NVD_MODIFIED = zones.Feed("nvd_cve", "row_no", "last_modified", "nvd", "landed_at", "published")
 PACKED = {"aliases": packed.ALIAS, "reference_list": packed.REFERENCE}
 REGULAR_LOAD = "INTERVAL 1 DAY"
 
@@ -35,14 +33,13 @@ REGULAR_LOAD = "INTERVAL 1 DAY"
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every readable time text of the four feeds as one instant."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
-    return normalizer.normalize([(table(spark, d, f.table, [f.key, f.text]), f) for f in FEEDS])
+    return normalizer.normalize([(table(spark, d, f.table), f) for f in feeds()])
 
 
 def p1_zone_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """How far each candidate zone violates the order of what is known, whatever zone is declared."""
+    """How often each candidate zone violates what is known, whatever zone is declared."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
-    inputs = [(table(spark, d, f.table, [c for c in (f.key, f.text, f.ingested, f.earlier) if c]), f) for f in EVIDENCE]
-    return normalizer.estimate(inputs).select("source", "zone", "n", "violations", F.round(F.col("slack_us") / 3.6e9, 3).alias("slack_hours"))
+    return normalizer.estimate([(table(spark, d, f.table), f) for f in feeds()]).select("source", "zone", "n", "violations", F.round(F.col("slack_us") / 3.6e9, 3).alias("slack_hours"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +121,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def change_items(spark: SparkSession, d: str) -> DataFrame:
     """Records of the two sources as work items: source_name, entity, row_no, landed_at, time_us."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
-    nvd = table(spark, d, "nvd_cve", ["row_no", "cve_id", "last_modified", "landed_at"])
-    nvd_zone = normalizer.zone_of(nvd.withColumn("published", F.lit(None).cast("string")), EVIDENCE[0])
+    nvd = table(spark, d, "nvd_cve")
+    nvd_zone = normalizer.zone_of(nvd, NVD_MODIFIED)
+    nvd = nvd.select("row_no", "cve_id", "last_modified", "landed_at")
     nvd = add_instant(read_times(nvd, "last_modified", normalizer.zones), "time_us", nvd_zone)
     vulns = table(spark, d, "vulnerabilities", ["record_no", "id", "modified", "updated_at"])
     believed = F.when(~F.coalesce(F.col("modified") > F.col("updated_at"), F.lit(False)), us_of_ntz(F.col("modified")))
