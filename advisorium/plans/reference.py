@@ -293,10 +293,18 @@ def nvd_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def banner_services(spark: SparkSession, d: str) -> DataFrame:
-    """Services told by the lines of the recorded banners."""
+    """Services that name themselves in the lines of the recorded banners."""
     docs = table(spark, d, "documents", ["doc_id", "text", "kind"]).filter("kind = 'banner'")
     lines = docs.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "banner"))
-    return inventory.identify_banners(lines).select("doc_id", "line_no", "vendor", "product", "version")
+    return inventory.named_services(lines).select("doc_id", "line_no", "product", "version")
+
+
+def known_banners(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of the documents each rule of well-known services tells, products without any included."""
+    lines = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.split("text", r"\R")).alias("banner"))
+    found = inventory.identify_banners(lines).groupBy("vendor", "product").agg(F.count("*").alias("n"))
+    rules = spark.createDataFrame(sorted({(v, p) for _, v, p, _ in inventory.BANNERS}), "vendor string, product string")
+    return rules.join(found, ["vendor", "product"], "left").select("vendor", "product", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def csv_export(spark: SparkSession, d: str) -> DataFrame:
@@ -338,5 +346,5 @@ QUERIES: dict[str, Query] = {
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
     "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
-    "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
+    "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }

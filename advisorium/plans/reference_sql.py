@@ -117,4 +117,10 @@ ORACLES: dict[str, str] = {
     "bundle_windows": """WITH a AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events), k AS (SELECT * FROM a WHERE day(day) % 3 = 0),
       p AS (SELECT a.event_type, a.day, k.day AS near, row_number() OVER (PARTITION BY a.event_type, a.day ORDER BY abs(a.day - k.day), k.day) AS at_ FROM a LEFT JOIN k ON k.event_type = a.event_type)
       SELECT 'https://host.invalid/' || event_type || '?from=' || strftime(day, '%Y-%m-%d') || '&page=1' AS url, 'https://host.invalid/' || event_type || '?from=' || strftime(near, '%Y-%m-%d') || '&page=1' AS recorded_url, day = near AS exact FROM p WHERE at_ = 1""",
+    "banner_services": r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, trim(unnest(x), ' ') AS b FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]') AS x FROM documents WHERE kind = 'banner' AND text IS NOT NULL)),
+      m AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(b, '(?i)^\d+/(?:tcp|udp)\s+open\s+([a-z][\w.-]*)\s+(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^\d+/(?:tcp|udp)\s+open\s+([a-z][\w.-]*)\s+(\d[\w.-]*)', ['p', 'v'])
+        WHEN regexp_matches(b, '(?i)^SSH-[\d.]+-([a-z]\w*?)_(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^SSH-[\d.]+-([a-z]\w*?)_(\d[\w.-]*)', ['p', 'v'])
+        WHEN regexp_matches(b, '(?i)^Server:\s*([a-z][\w-]*)/(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^Server:\s*([a-z][\w-]*)/(\d[\w.-]*)', ['p', 'v'])
+        WHEN regexp_matches(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$') THEN regexp_extract(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$', ['p', 'v']) END AS s FROM l)
+      SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(lower(trim(s.p)), '[ \t_./-]+', '-', 'g'), '-') AS product, s.v AS version FROM m WHERE s IS NOT NULL""",
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advisorium.functions.packages import FAMILY_OF, Purl, parse_purl
+from advisorium.functions.packages import FAMILY_OF, Purl, folded_name, parse_purl
 from advisorium.functions.text import tokens
 from advisorium.schemas import COMPONENT
 from advisorium.session import ship_package
@@ -294,6 +294,23 @@ def identify_banners(services: DataFrame) -> DataFrame:
     return out.withColumn("version", F.when(F.col("version").rlike(r"^\d"), F.col("version")))
 
 
+#: Forms in which a service names itself: pattern, group of the product, group of the version.
+NAMING_FORMS = (
+    (r"(?i)^\d+/(?:tcp|udp)\s+open\s+([a-z][\w.-]*)\s+(\d[\w.-]*)", 1, 2),
+    (r"(?i)^SSH-[\d.]+-([a-z]\w*?)_(\d[\w.-]*)", 1, 2),
+    (r"(?i)^Server:\s*([a-z][\w-]*)/(\d[\w.-]*)", 1, 2),
+    (r"(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$", 1, 2),
+)
+
+
+def named_services(lines: DataFrame) -> DataFrame:
+    """Services that name themselves in a common form, whatever they are called: the columns of ``lines`` (banner),
+    product (folded), version. Lines of no such form, blank and null ones give no row."""
+    b = F.trim("banner")
+    told = F.coalesce(*[F.when(b.rlike(p), F.struct(folded_name(F.regexp_extract(b, p, i)).alias("product"), F.regexp_extract(b, p, j).alias("version"))) for p, i, j in NAMING_FORMS])
+    return lines.select("*", F.inline(F.filter(F.array(told), lambda t: t.isNotNull())))
+
+
 def identify_certificates(services: DataFrame) -> DataFrame:
     """Services told by a whole word of their certificate's subject: the columns of ``services`` (subject), vendor, product."""
     words = tokens("subject")
