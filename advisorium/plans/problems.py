@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.functions.ids import identifier
-from advisorium.functions.text import folded, trimmed
+from advisorium.functions.text import folded
 from advisorium.functions.times import add_instant, calendar_day, read_times, us_of_ntz
 from advisorium.operators import history, ledger, packed, snapdiff, zones
 from advisorium.session import table
@@ -97,7 +97,9 @@ def catalog_snapshots(catalogs: DataFrame) -> DataFrame:
 
     Versions are compared as year, month and day numbers; one that is no such numbers is left out.
     """
-    number = F.transform(F.split(F.regexp_extract(trimmed("catalog_version"), r"^(\d{4}[./-]\d{1,2}[./-]\d{1,2})$", 1), "[./-]"), lambda x: F.try_to_number(x, F.lit("9999")).cast("int"))
+    spelled = r"^\D*(\d{4})(?:\D+(\d{1,2})\D+(\d{1,2})|(\d{2})(\d{2}))\D*$"
+    part = lambda *groups: F.coalesce(*[F.regexp_extract("catalog_version", spelled, g).try_cast("int") for g in groups])
+    number = F.when(F.col("catalog_version").rlike(spelled), F.array(part(1), part(2, 4), part(3, 5)))
     complete = catalogs.filter(folded("fetch_status") == "complete").select(number.alias("version"), "delivery_no", "fetched_at")
     best = complete.filter(F.size("version") == 3).groupBy("version").agg(F.max_by("delivery_no", F.struct("fetched_at", "delivery_no")).alias("delivery_no"))
     return snapdiff.consecutive(best, ["version"]).select("seq", "delivery_no")

@@ -96,3 +96,11 @@ def test_identifiers(spark, given, want):
 def test_tokens(spark):
     df = spark.createDataFrame([("Ab-c ab",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(text.tokens("t")).collect()] == [["ab", "c"], [], []]
+
+
+def test_catalogue_versions(spark):
+    from advisorium.plans.problems import catalog_snapshots
+
+    rows = [(1, "2025.8.11", 1, "complete"), (2, " 2025-08-11 ", 2, "Complete "), (3, "v2025.08.09", 1, "complete"), (4, "20250812", 1, "complete"), (5, "2025.08.13", 1, "partial"), (6, "soon", 1, "complete"), (7, None, 1, "complete")]
+    df = spark.createDataFrame(rows, "delivery_no long, catalog_version string, fetched_at int, fetch_status string")
+    assert [tuple(r) for r in catalog_snapshots(df).orderBy("seq").collect()] == [(1, 3), (2, 2), (3, 4)]
