@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from advisorium.functions.packages import purl_key
+from advisorium.functions.packages import folded_vendor, purl_key
 from advisorium.operators.matching import with_verdicts
 
 #: Statements looked up per key of a channel; how many there were is reported beside.
@@ -28,9 +28,9 @@ def channel_keys(df: DataFrame, name: str) -> DataFrame:
 CHANNELS = ("k_purl", "k_eco", "k_vendor", "k_name")
 
 
-def _exploded(df: DataFrame, kept: list[str]) -> DataFrame:
+def _exploded(df: DataFrame, kept: list[str], channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """One row per channel and key."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("key")) for c in CHANNELS]), lambda p: p["key"].isNotNull())
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("key")) for c in channels]), lambda p: p["key"].isNotNull())
     return df.select(*kept, F.inline(pairs))
 
 
@@ -51,6 +51,26 @@ def candidates(components: DataFrame, statements: DataFrame, per_key: int = PER_
     return pairs, asked.join(sizes, ["channel", "key"]).select("comp_id", "channel", "n_statements").distinct()
 
 
+def all_candidates(components: DataFrame, statements: DataFrame) -> DataFrame:
+    """Pairs comp_id, vuln_id, fingerprint of every statement that the four channels offer and that can be about the component.
+
+    There is no cap, so the bare name finds whatever ecosystem or vendor with name would. A component with a vendor
+    and without package URL, ecosystem and platform name is told by vendor and name alone (``matching.identify``): it
+    asks for the statements of its folded vendor (``k_own``) and for those whose vendor is absent or not plain ASCII
+    (``k_open``); all others under its name are no match. Adaptive execution splits the join of a hot key.
+    """
+    plain = F.coalesce(F.col("vendor").rlike(r"\A[\x20-\x7e]+\z"), F.lit(False))  # folded alike here and in Python
+    bound = plain & (F.concat(*[F.coalesce(c, F.lit("")) for c in ("purl", "origin", "ecosystem", "cpe")]) == "")
+    own = F.when(F.col("k_name").isNotNull(), F.concat_ws("\x1f", "k_name", folded_vendor("vendor")))
+    kinds = ("k_purl", "k_own", "k_open", "k_name")
+    asks = channel_keys(components, "name").withColumns({"k_own": F.when(bound, own), "k_open": F.when(bound, F.col("k_name")), "k_name": F.when(~bound, F.col("k_name"))})
+    says = channel_keys(statements, "product").withColumns({"k_own": F.when(plain, own), "k_open": F.when(~plain, F.col("k_name"))})
+    asked = _exploded(asks, ["comp_id"], kinds)
+    wanted = asked.select("channel", "key").distinct()
+    offered = _exploded(says, ["vuln_id", "fingerprint"], kinds).join(wanted, ["channel", "key"], "left_semi")
+    return asked.join(offered, ["channel", "key"]).select("comp_id", "vuln_id", "fingerprint").distinct()
+
+
 def judge(pairs: DataFrame, components: DataFrame, statements: DataFrame) -> DataFrame:
     """Verdicts of candidate pairs: comp_id, vuln_id, fingerprint and the verdict's columns."""
     # Judging is heavy for its bytes: partitions of a fixed number, which adaptive execution does not merge.

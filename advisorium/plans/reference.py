@@ -160,7 +160,7 @@ def truncated_lookups(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     comps, said = components(spark, d), statements(spark, d)
-    verdicts = scan.judge(scan.candidates(comps, said)[0], comps, said)
+    verdicts = scan.judge(scan.all_candidates(comps, said), comps, said)
     return scan.reduce_verdicts(verdicts).select("comp_id", "vuln_id", "outcome", "confidence", "matched_on")
 
 
