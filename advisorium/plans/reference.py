@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +24,18 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vulnerabilities", LIST_COLUMNS)
 
 
-def _product() -> Column:
-    """Name of a part as a product: most are their own, every fiftieth shares the plain name, so that hot names occur."""
-    plain = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
-    return F.when(F.col("p_partkey") % 50 == 0, plain).otherwise(F.concat_ws("-", plain, F.col("p_partkey").cast("string")))
+def _product(plain: bool) -> Column:
+    """Name of a part as a product: ``plain``, or most their own and every fiftieth the plain name."""
+    name = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
+    return name if plain else F.when(F.col("p_partkey") % 50 == 0, name).otherwise(F.concat_ws("-", name, F.col("p_partkey").cast("string")))
 
 
-def statements(spark: SparkSession, d: str) -> DataFrame:
+def statements(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     """Statements derived from the order lines: one per line, with a version window."""
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    product = _product()
+    product = _product(plain)
     vendor = F.concat(F.lit("vendor-"), F.col("l_suppkey").cast("string"))
     window = F.struct(
         F.col("l_linenumber").cast("string").alias("introduced"), F.col("l_quantity").cast("int").cast("string").alias("fixed"), F.lit(None).cast("string").alias("last_affected"),
@@ -49,12 +50,12 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def components(spark: SparkSession, d: str) -> DataFrame:
+def components(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     """An inventory derived from the parts of one size."""
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     none = F.lit(None).cast("string")
     return parts.select(
-        F.col("p_partkey").alias("comp_id"), _product().alias("name"), F.col("p_size").cast("string").alias("version"),
+        F.col("p_partkey").alias("comp_id"), _product(plain).alias("name"), F.col("p_size").cast("string").alias("version"),
         F.concat(F.lit("vendor-"), (F.col("p_partkey") % 10 + 1).cast("string")).alias("vendor"), none.alias("ecosystem"), none.alias("purl"), none.alias("cpe"), none.alias("origin"),
     )
 
@@ -149,23 +150,23 @@ def alias_clusters(spark: SparkSession, d: str) -> DataFrame:
     return merge.canonical_ids(merge.alias_clusters(pairs), "cluster", "name").select("cluster", "canonical_id")
 
 
-def top_statements(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = scan.candidates(components(spark, d), statements(spark, d), per_key=3)
+def top_statements(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    pairs, _ = scan.candidates(components(spark, d, plain), statements(spark, d, plain), per_key=3)
     return pairs
 
 
-def truncated_lookups(spark: SparkSession, d: str) -> DataFrame:
-    return scan.candidates(components(spark, d), statements(spark, d), per_key=3)[1]
+def truncated_lookups(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return scan.candidates(components(spark, d, plain), statements(spark, d, plain), per_key=3)[1]
 
 
-def scan_findings(spark: SparkSession, d: str) -> DataFrame:
-    comps, said = components(spark, d), statements(spark, d)
+def scan_findings(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    comps, said = components(spark, d, plain), statements(spark, d, plain)
     verdicts = scan.judge(scan.all_candidates(comps, said), comps, said)
     return scan.reduce_verdicts(verdicts).select("comp_id", "vuln_id", "outcome", "confidence", "matched_on")
 
 
-def scan_counts(spark: SparkSession, d: str) -> DataFrame:
-    return scan.confidence_counts(scan_findings(spark, d))
+def scan_counts(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return scan.confidence_counts(scan_findings(spark, d, plain))
 
 
 def version_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -178,12 +179,12 @@ def version_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(inside.alias("inside")).agg(F.count("*").alias("n"))
 
 
-def vendor_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.vendor_rank(statements(spark, d))
+def vendor_ranks(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return enrich.vendor_rank(statements(spark, d, plain))
 
 
-def vendor_top(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.top_vendors(enrich.vendor_rank(statements(spark, d))).select("product", "vendor", "n")
+def vendor_top(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    return enrich.top_vendors(enrich.vendor_rank(statements(spark, d, plain))).select("product", "vendor", "n")
 
 
 def id_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -311,10 +312,10 @@ def csv_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.csv_rows(corpus(spark, d))
 
 
-def service_vendors(spark: SparkSession, d: str) -> DataFrame:
+def service_vendors(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     """Components with the vendor that the corpus knows for their name."""
-    ranked = enrich.top_vendors(enrich.vendor_rank(statements(spark, d)))
-    services = components(spark, d).select("comp_id", F.col("name").alias("product"), "vendor")
+    ranked = enrich.top_vendors(enrich.vendor_rank(statements(spark, d, plain)))
+    services = components(spark, d, plain).select("comp_id", F.col("name").alias("product"), "vendor")
     return enrich.reconciled_vendors(services, ranked).select("comp_id", "product", "vendor")
 
 
@@ -348,3 +349,5 @@ QUERIES: dict[str, Query] = {
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
     "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }
+#: The same over the plain product names of the parts, where every name is hot.
+QUERIES |= {f"{f.__name__}_plain": partial(f, plain=True) for f in (top_statements, truncated_lookups, scan_findings, scan_counts, vendor_ranks, vendor_top, service_vendors)}

@@ -124,3 +124,7 @@ ORACLES: dict[str, str] = {
         WHEN regexp_matches(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$') THEN regexp_extract(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$', ['p', 'v']) END AS s FROM l)
       SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(lower(trim(s.p)), '[ \t_./-]+', '-', 'g'), '-') AS product, s.v AS version FROM m WHERE s IS NOT NULL""",
 }
+ORACLES |= {
+    f"{name}_plain": ORACLES[name].replace(_PRODUCT, "lower(replace(p_name, ' ', '-'))")
+    for name in ("top_statements", "truncated_lookups", "scan_findings", "scan_counts", "vendor_ranks", "vendor_top", "service_vendors")
+}
