@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from advisorium.functions import ids, packages, severity, text
 from advisorium.operators import enrich, listing, matching, merge, scan
@@ -224,13 +225,24 @@ def document_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What the last two NVD versions of a record differ in: created, updated, removed by content hash."""
+    """What the last even and the last odd row of an NVD record differ in: created, updated, removed by content hash."""
     rows = table(spark, d, "nvd_cve", ["row_no", "cve_id", "vuln_status", "base_score", "description"]).withColumn("id", ids.identifier("cve_id"))
     one = lambda cond: enrich.first_row(rows.filter(cond), ["id"], F.col("row_no").desc()).select("id", "vuln_status", "base_score", "description")
     half = F.col("row_no") % 2
     return enrich.history_entries(one(half == 0), one(half == 1), "id", ["description"])
 
 
+def snapshot_changes_last(spark: SparkSession, d: str) -> DataFrame:
+    """What the last two NVD rows of a record differ in, by content hash; a record with one row is created.
+
+    Rows without an identifier are no record's.
+    """
+    rows = table(spark, d, "nvd_cve", ["row_no", "cve_id", "vuln_status", "base_score", "description"]).withColumn("id", ids.identifier("cve_id")).filter("id is not null")
+    last = rows.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("row_no")))).filter("at <= 2")
+    one = lambda at: last.filter(F.col("at") == at).select("id", "vuln_status", "base_score", "description")
+    return enrich.history_entries(one(2), one(1), "id", ["description"])
+
+
 def epss_upserts(spark: SparkSession, d: str) -> DataFrame:
     rows = predicted(spark, d)
     latest = enrich.first_row(rows, ["cve_id", "score_date"], F.col("row_no").desc()).select("cve_id", "score", "score_date")
@@ -347,7 +359,7 @@ QUERIES: dict[str, Query] = {
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
     "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
-    "snapshot_changes": snapshot_changes, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
+    "snapshot_changes": snapshot_changes, "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }
 #: The same over the plain product names of the parts, where every name is hot.
 QUERIES |= {f"{f.__name__}_plain": partial(f, plain=True) for f in (top_statements, truncated_lookups, scan_findings, scan_counts, vendor_ranks, vendor_top, service_vendors)}

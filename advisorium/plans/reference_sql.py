@@ -97,6 +97,10 @@ ORACLES: dict[str, str] = {
     "snapshot_changes": f"""WITH r AS (SELECT {sql_id("cve_id")} AS id, row_no, vuln_status, base_score FROM nvd_cve),
       b AS (SELECT id, arg_max(struct_pack(s := vuln_status, v := base_score), row_no) AS x FROM r WHERE row_no % 2 = 0 GROUP BY 1), a AS (SELECT id, arg_max(struct_pack(s := vuln_status, v := base_score), row_no) AS x FROM r WHERE row_no % 2 = 1 GROUP BY 1)
       SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'created' WHEN a.id IS NULL THEN 'removed' ELSE 'updated' END AS change_kind FROM b FULL JOIN a ON a.id = b.id WHERE b.id IS NULL OR a.id IS NULL OR a.x IS DISTINCT FROM b.x""",
+    "snapshot_changes_last": f"""WITH r AS (SELECT {sql_id("cve_id")} AS id, row_no, vuln_status AS s, base_score AS v FROM nvd_cve WHERE {sql_id("cve_id")} IS NOT NULL),
+      a AS (SELECT id, max(row_no) AS row_no FROM r GROUP BY 1), b AS (SELECT r.id, max(r.row_no) AS row_no FROM r JOIN a ON a.id = r.id AND r.row_no < a.row_no GROUP BY 1)
+      SELECT a.id, CASE WHEN b.id IS NULL THEN 'created' ELSE 'updated' END AS change_kind FROM a JOIN r x ON x.row_no = a.row_no LEFT JOIN b ON b.id = a.id LEFT JOIN r y ON y.row_no = b.row_no
+      WHERE b.id IS NULL OR x.s IS DISTINCT FROM y.s OR x.v IS DISTINCT FROM y.v""",
     "epss_upserts": f"WITH {_EPSS} SELECT cve_id, round(arg_max(score, struct_pack(d := score_date, r := row_no)), 6) AS score, strftime(max(score_date), '%Y-%m-%d') AS score_date FROM epss GROUP BY cve_id",
     "kev_replace": f"""WITH old AS ({_ENTRY} AND delivery_no = 1 ORDER BY id, entry_no), new AS ({_ENTRY} AND delivery_no = 20 ORDER BY id, entry_no)
       SELECT n.id AS cve_id, coalesce(o.product, n.product) AS product, least(o.entry_no, n.entry_no) AS date_added, coalesce(o.ransom, false) OR coalesce(n.ransom, false) AS known_ransomware, 'cisa' AS kev_sources FROM new n LEFT JOIN old o ON o.id = n.id""",

@@ -60,3 +60,10 @@ def test_parts_of_one_name_are_one_product(spark, tmp_path):
     assert rows("scan_counts") == [("possible", 9)]  # part 1 alone has the vendor, and meets the lines of all three
     assert len(rows("scan_findings")) == 9 and len(rows("top_statements")) == 9
     assert len(rows("truncated_lookups")) == 4 and {r[2] for r in rows("service_vendors")} == {"vendor-2"}
+
+
+def test_last_two_rows_of_one_parity_are_compared(spark, tmp_path):
+    rows = [(1, "CVE-2024-0001", "A", 1.0), (3, "cve-2024-0001 ", "B", 1.0), (2, "CVE-2024-0002", "A", 1.0), (5, "CVE-2024-0002", "B", None), (7, "CVE-2024-0002", "B", None), (4, "CVE-2024-0003", "A", None), (6, "", "A", 1.0), (8, "CVE-2024-0004", None, 1.0), (10, "CVE-2024-0004", None, None)]
+    values = ", ".join(f"({n}, '{c}', {repr(s) if s else 'NULL'}, {v if v else 'NULL'}, 'd{n}')" for n, c, s, v in rows)
+    duckdb.connect().execute(f"COPY (SELECT row_no::BIGINT AS row_no, cve_id, vuln_status, base_score::DOUBLE AS base_score, description FROM (VALUES {values}) t(row_no, cve_id, vuln_status, base_score, description)) TO '{tmp_path}/nvd_cve.parquet' (FORMAT parquet)")
+    assert same_rows("snapshot_changes_last", spark, tmp_path, ["nvd_cve"]) == [("CVE-2024-0001", "updated"), ("CVE-2024-0003", "created"), ("CVE-2024-0004", "updated")]
