@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from advisorium.functions import ids, packages, severity, text
 from advisorium.operators import enrich, listing, matching, merge, scan
+from advisorium.plans.problems import catalog_snapshots
 from advisorium.session import table
 from advisorium.sinks import exports
 from advisorium.sources import bundle, documents, inventory
@@ -263,11 +264,33 @@ def _catalogue(spark: SparkSession, d: str, delivery: int, label: str) -> DataFr
 
 
 def kev_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The first delivery replaced by the twentieth; ``kev_replace_all`` applies every version."""
     stored, incoming = _catalogue(spark, d, 1, "cisa"), _catalogue(spark, d, 20, "cisa")
     out = enrich.replace_catalogue(stored, incoming, ["cisa"], ["product", "notes"])
     return out.select("cve_id", "product", "date_added", "known_ransomware", F.array_join("kev_sources", ",").alias("kev_sources"))
 
 
+def kev_replace_all(spark: SparkSession, d: str) -> DataFrame:
+    """The exploited catalogue after every version replaced the one before, in version order, from an empty store.
+
+    A version counts by its complete delivery that was fetched last; one without entries replaces nothing. The result
+    is that of ``enrich.replace_catalogue`` applied version by version, in one aggregation: what the newest version
+    lists stands, and of each entry its unbroken run of versions up to the newest counts, for what was removed before
+    is gone. As in ``kev_replace`` entry_no stands for the date added.
+    """
+    versions = catalog_snapshots(table(spark, d, "kev_catalogs"))
+    rows = table(spark, d, "kev_entries", ["entry_no", "delivery_no", "cve_id", "product", "known_ransomware_use"]).withColumn("id", ids.identifier("cve_id")).filter("id is not null")
+    said = F.struct(text.blank_to_null("product").alias("product"), (text.folded("known_ransomware_use") == "known").alias("known"))
+    stated = rows.join(versions, "delivery_no").groupBy("seq", "id").agg(F.min("entry_no").alias("entry_no"), F.min_by(said, "entry_no").alias("said"))
+    # One row per version: its place counted back from the newest version that has entries.
+    places = stated.select("seq").distinct().select("seq", F.row_number().over(Window.orderBy(F.desc("seq"))).alias("back"))
+    run = stated.join(F.broadcast(places), "seq").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("back"))).filter("at = back")
+    return run.groupBy(F.col("id").alias("cve_id")).agg(
+        F.min_by("said.product", F.when(F.col("said.product").isNotNull(), F.col("seq"))).alias("product"), F.min("entry_no").alias("date_added"),
+        F.coalesce(F.bool_or("said.known"), F.lit(False)).alias("known_ransomware"), F.lit("cisa").alias("kev_sources"),
+    )
+
+
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", ["doc_id", "text"])
     return docs.select("doc_id", F.size(text.tokens("text")).alias("n_distinct"))
@@ -359,7 +382,7 @@ QUERIES: dict[str, Query] = {
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
     "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
-    "snapshot_changes": snapshot_changes, "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
+    "snapshot_changes": snapshot_changes, "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "kev_replace_all": kev_replace_all, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }
 #: The same over the plain product names of the parts, where every name is hot.
 QUERIES |= {f"{f.__name__}_plain": partial(f, plain=True) for f in (top_statements, truncated_lookups, scan_findings, scan_counts, vendor_ranks, vendor_top, service_vendors)}

@@ -104,6 +104,15 @@ ORACLES: dict[str, str] = {
     "epss_upserts": f"WITH {_EPSS} SELECT cve_id, round(arg_max(score, struct_pack(d := score_date, r := row_no)), 6) AS score, strftime(max(score_date), '%Y-%m-%d') AS score_date FROM epss GROUP BY cve_id",
     "kev_replace": f"""WITH old AS ({_ENTRY} AND delivery_no = 1 ORDER BY id, entry_no), new AS ({_ENTRY} AND delivery_no = 20 ORDER BY id, entry_no)
       SELECT n.id AS cve_id, coalesce(o.product, n.product) AS product, least(o.entry_no, n.entry_no) AS date_added, coalesce(o.ransom, false) OR coalesce(n.ransom, false) AS known_ransomware, 'cisa' AS kev_sources FROM new n LEFT JOIN old o ON o.id = n.id""",
+    "kev_replace_all": rf"""WITH c AS (SELECT delivery_no, fetched_at, regexp_extract(catalog_version, '^\D*(\d{{4}})(?:\D+(\d{{1,2}})\D+(\d{{1,2}})|(\d{{2}})(\d{{2}}))\D*$', ['y', 'm', 'd', 'n', 'e']) AS p FROM kev_catalogs
+        WHERE lower({sql_trim("fetch_status")}) = 'complete' AND regexp_matches(catalog_version, '^\D*(\d{{4}})(?:\D+(\d{{1,2}})\D+(\d{{1,2}})|(\d{{2}})(\d{{2}}))\D*$')),
+      v AS (SELECT CAST(p.y AS INTEGER) * 10000 + CAST(p.m || p.n AS INTEGER) * 100 + CAST(p.d || p.e AS INTEGER) AS version, arg_max(delivery_no, struct_pack(f := fetched_at, n := delivery_no)) AS delivery_no FROM c GROUP BY 1),
+      e AS (SELECT DISTINCT ON (version, id) version, id, nullif({sql_trim("product")}, '') AS product, entry_no, lower({sql_trim("known_ransomware_use")}) = 'known' AS known
+        FROM (SELECT *, {sql_id("cve_id")} AS id FROM kev_entries) JOIN v USING (delivery_no) WHERE id IS NOT NULL ORDER BY version, id, entry_no),
+      filled AS (SELECT DISTINCT version FROM e), every_id AS (SELECT DISTINCT id FROM e),
+      gone AS (SELECT i.id, max(f.version) AS version FROM every_id i CROSS JOIN filled f WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.id = i.id AND e.version = f.version) GROUP BY 1)
+      SELECT e.id AS cve_id, arg_min(e.product, e.version) FILTER (WHERE e.product IS NOT NULL) AS product, min(e.entry_no) AS date_added, coalesce(bool_or(e.known), false) AS known_ransomware, 'cisa' AS kev_sources
+      FROM e LEFT JOIN gone g ON g.id = e.id WHERE g.version IS NULL OR e.version > g.version GROUP BY e.id""",
     "text_tokens": r"SELECT doc_id, len(list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')), lambda x: x <> '')) AS n_distinct FROM documents",
     "distinct_arrays": "SELECT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(cwes, []), lambda x: trim(x)), lambda x: x <> ''))), ',') AS cwes FROM vulnerabilities",
     "osv_parsed": rf"""WITH r AS (SELECT CASE WHEN regexp_full_match({sql_trim("id")}, '(?i)GHSA(-[a-z0-9]{{4}}){{3}}') THEN 'GHSA-' || lower(substr({sql_trim("id")}, 6))

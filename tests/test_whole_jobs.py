@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from advisorium.operators import matching, scan
+from advisorium.operators import enrich, matching, scan
 
 
 def same_rows(name, spark, folder, tables):
@@ -67,3 +67,28 @@ def test_last_two_rows_of_one_parity_are_compared(spark, tmp_path):
     values = ", ".join(f"({n}, '{c}', {repr(s) if s else 'NULL'}, {v if v else 'NULL'}, 'd{n}')" for n, c, s, v in rows)
     duckdb.connect().execute(f"COPY (SELECT row_no::BIGINT AS row_no, cve_id, vuln_status, base_score::DOUBLE AS base_score, description FROM (VALUES {values}) t(row_no, cve_id, vuln_status, base_score, description)) TO '{tmp_path}/nvd_cve.parquet' (FORMAT parquet)")
     assert same_rows("snapshot_changes_last", spark, tmp_path, ["nvd_cve"]) == [("CVE-2024-0001", "updated"), ("CVE-2024-0003", "created"), ("CVE-2024-0004", "updated")]
+
+
+def test_catalogue_is_replaced_by_every_version(spark, tmp_path):
+    status = {1: ("2024.01.01", "complete"), 2: ("2024.01.05", "complete"), 3: ("2024.1.3", "complete"), 4: ("2024.01.09", "partial"), 5: ("2024.01.07", "complete"), 6: ("2024.01.08", "complete")}
+    entries = [
+        (1, 1, "CVE-2024-0001", "", "Known"), (2, 1, "CVE-2024-0002", "old", "Known"), (3, 1, "CVE-2024-0003", "gone", "Known"), (4, 3, "CVE-2024-0001", "late", None), (5, 3, "CVE-2024-0003", None, None),
+        (6, 2, "cve-2024-0001", "later", ""), (7, 2, "CVE-2024-0002", "new", "Unknown"), (8, 2, "", "none", "Known"), (9, 4, "CVE-2024-0009", "partial", "Known"), (10, 6, "CVE-2024-0001", "last", None), (11, 6, "CVE-2024-0002", "newest", None), (12, 6, "CVE-2024-0004", None, None), (13, 6, "CVE-2024-0004", "twice", "Known"),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE kev_catalogs (delivery_no BIGINT, catalog_version VARCHAR, fetched_at TIMESTAMP, fetch_status VARCHAR)")
+    con.executemany("INSERT INTO kev_catalogs VALUES (?, ?, TIMESTAMP '2024-02-01', ?)", [(n, *x) for n, x in status.items()])
+    con.execute("CREATE TABLE kev_entries (entry_no BIGINT, delivery_no BIGINT, cve_id VARCHAR, product VARCHAR, known_ransomware_use VARCHAR)")
+    con.executemany("INSERT INTO kev_entries VALUES (?, ?, ?, ?, ?)", entries)
+    for t in ("kev_catalogs", "kev_entries"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = same_rows("kev_replace_all", spark, tmp_path, ["kev_catalogs", "kev_entries"])
+    kinds = "cve_id string, product string, date_added long, known_ransomware boolean, kev_sources array<string>"
+    stored = spark.createDataFrame([], kinds)
+    for n in (1, 3, 2, 6):  # in version order; delivery 5 is empty, 4 partial
+        first = {}
+        for no, _, c, product_, use in (e for e in entries if e[1] == n and e[2]):
+            first.setdefault(c.upper(), (c.upper(), product_ or None, no, (use or "").lower() == "known", ["cisa"]))
+        stored = spark.createDataFrame(enrich.replace_catalogue(stored, spark.createDataFrame(list(first.values()), kinds), ["cisa"], ["product"]).collect(), kinds)
+    assert got == sorted(((*tuple(r)[:4], "cisa") for r in stored.collect()), key=repr)
+    assert got == [("CVE-2024-0001", "late", 1, True, "cisa"), ("CVE-2024-0002", "new", 7, False, "cisa"), ("CVE-2024-0004", None, 12, False, "cisa")]
