@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advisorium.functions.text import as_column, trimmed
+from advisorium.session import bounded_rows
 
+#: Sources are a dimension.
+MAX_SOURCES = 1_000
 #: With so many rows the evidence weighs as much as what is expected of a delimiter.
 PRIOR_ROWS = 20
 # Candidate delimiters by name; the last five are not expected to separate.
@@ -85,16 +88,17 @@ def delimiter_scores(df: DataFrame, columns: dict[str, PieceType], source: Colum
     return wide.select("source", F.inline(F.array(*[F.col(f"m{i}") for i in range(len(measures))]))).filter("n > 0").select("field", "source", "delimiter", "n", "score")
 
 
-def accepted_delimiters(scores: DataFrame, fields: list[str], least: float = 0.5) -> dict[str, list[str]]:
-    """Delimiters by field whose score reaches ``least`` in any source.
+def accepted_delimiters(scores: DataFrame, fields: list[str], least: float = 0.5) -> dict[str | None, dict[str, list[str]]]:
+    """By source and field the delimiters whose score there reaches ``least``.
 
-    Scores are drawn towards what is expected, by the weight of ``PRIOR_ROWS`` rows, so that a small table is split
-    by the usual delimiters and a large one by what its rows say. One row per field and candidate is collected.
+    Scores are drawn towards what is expected, by the weight of ``PRIOR_ROWS`` rows, so that a small source is split
+    by the usual delimiters and a large one by what its rows say. One row per source, field and candidate is collected.
     """
     expected = F.when(F.col("delimiter").isin(*UNEXPECTED), 0.0).otherwise(1.0)
     drawn = (F.col("score") * F.col("n") + expected * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
-    best = {(r.field, r.delimiter): r.score for r in scores.groupBy("field", "delimiter").agg(F.max(drawn).alias("score")).collect()}
-    return {f: [d for d in CANDIDATES if best.get((f, d), 0.0 if d in UNEXPECTED else 1.0) >= least] for f in fields}
+    rows = bounded_rows(scores.select("source", "field", "delimiter", drawn.alias("score")), MAX_SOURCES * len(fields) * len(CANDIDATES), "scores of delimiters")
+    best = {(r.source, r.field, r.delimiter): r.score for r in rows}
+    return {s: {f: [d for d in CANDIDATES if best.get((s, f, d), 0.0 if d in UNEXPECTED else 1.0) >= least] for f in fields} for s in {r.source for r in rows}}
 
 
 def _unquoted(piece: Column) -> Column:
@@ -130,9 +134,24 @@ def split_packed(text: Column | str, kind: PieceType, delimiters: list[str]) ->
     return F.coalesce(keep, F.array().cast("array<string>"))
 
 
-def explode_packed(df: DataFrame, key: str, columns: dict[str, PieceType], delimiters: dict[str, list[str]]) -> DataFrame:
+def split_by_source(field: str, kind: PieceType, delimiters: dict[str | None, dict[str, list[str]]], source: Column) -> Column:
+    """``split_packed`` by what each row's source accepts; a source that nothing is known of has the usual delimiters."""
+    usual = [d for d in CANDIDATES if d not in UNEXPECTED]
+    alike: dict[tuple[str, ...], list[str | None]] = {}
+    for name, by_field in delimiters.items():
+        alike.setdefault(tuple(by_field[field]), []).append(name)
+    out = split_packed(field, kind, usual)
+    for accepted, names in alike.items():
+        if list(accepted) != usual:
+            own = source.isin(*[n for n in names if n is not None])
+            out = F.when(own | source.isNull() if None in names else own, split_packed(field, kind, list(accepted))).otherwise(out)
+    return out
+
+
+def explode_packed(df: DataFrame, key: str, columns: dict[str, PieceType], delimiters: dict[str | None, dict[str, list[str]]], source: Column | None = None) -> DataFrame:
     """One row per value: key, field_name, pos from 1, piece. Rows without a value give none."""
-    fields = [F.struct(F.lit(f).alias("field_name"), split_packed(f, kind, delimiters.get(f, [])).alias("pieces")) for f, kind in columns.items()]
+    own = source if source is not None else F.lit("all")
+    fields = [F.struct(F.lit(f).alias("field_name"), split_by_source(f, kind, delimiters, own).alias("pieces")) for f, kind in columns.items()]
     return (
         df.select(F.col(key).cast("bigint").alias(key), F.inline(F.array(*fields)))
         .select(key, "field_name", F.posexplode("pieces").alias("at", "piece"))
@@ -141,5 +160,5 @@ def explode_packed(df: DataFrame, key: str, columns: dict[str, PieceType], delim
 
 
 def unpack(df: DataFrame, key: str, columns: dict[str, PieceType], source: Column | None = None) -> DataFrame:
-    """Infer the delimiters of each field over the whole table, then split and explode with position."""
-    return explode_packed(df, key, columns, accepted_delimiters(delimiter_scores(df, columns, source), list(columns)))
+    """Infer the delimiters of each field and source over the whole table, then split and explode with position."""
+    return explode_packed(df, key, columns, accepted_delimiters(delimiter_scores(df, columns, source), list(columns)), source)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from advisorium.operators import enrich, matching, scan
+from advisorium.operators import enrich, matching, packed, scan
 
 
 def same_rows(name, spark, folder, tables):
@@ -92,3 +92,10 @@ def test_catalogue_is_replaced_by_every_version(spark, tmp_path):
         stored = spark.createDataFrame(enrich.replace_catalogue(stored, spark.createDataFrame(list(first.values()), kinds), ["cisa"], ["product"]).collect(), kinds)
     assert got == sorted(((*tuple(r)[:4], "cisa") for r in stored.collect()), key=repr)
     assert got == [("CVE-2024-0001", "late", 1, True, "cisa"), ("CVE-2024-0002", "new", 7, False, "cisa"), ("CVE-2024-0004", None, 12, False, "cisa")]
+
+
+def test_delimiters_are_those_of_the_row_s_source(spark):
+    rows = [(i, "a", f"CVE-{i}/CVE-{i + 1}") for i in range(100)] + [(100 + i, s, "GHSA-1/x") for i, s in enumerate(["b", "b", None])]
+    df = spark.createDataFrame(rows, "k long, s string, f string")
+    got = packed.unpack(df, "k", {"f": packed.ALIAS}, F.col("s")).filter("k >= 99").orderBy("k", "pos").collect()
+    assert [tuple(r) for r in got] == [(99, "f", 1, "CVE-99"), (99, "f", 2, "CVE-100")] + [(k, "f", 1, "GHSA-1/x") for k in (100, 101, 102)]
