@@ -7,6 +7,7 @@ not lie after the row was ingested, nor before an instant of the same row that i
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,11 +125,20 @@ class TimeNormalizer:
         return zone_evidence(union, self.candidates)
 
     def zone_of(self, df: DataFrame, feed: Feed) -> str | None:
-        """The declared zone, else the estimated one, else null."""
-        if feed.source in self.declared or not self.candidates:
-            return self.declared.get(feed.source)
-        best = choose_zones(self.estimate([(df, feed)])).collect()  # one row for the one source
-        return best[0].zone if best else None
+        """The declared zone, else the estimated one, else null.
+
+        Only zones that other sources declare are tried. A warning tells of a source whose best zone still violates
+        order, so that its true zone may be none of them, and of one without any zone, whose local texts give no row.
+        """
+        if feed.source in self.declared:
+            return self.declared[feed.source]
+        best = choose_zones(self.estimate([(df, feed)])).collect() if self.candidates else []  # one row for the one source
+        if not best:
+            warnings.warn(f"{feed.source}: no zone is declared or can be estimated; its local times give no rows", stacklevel=2)
+            return None
+        if best[0].violations:
+            warnings.warn(f"{feed.source}: the best of the declared zones, {best[0].zone}, violates order {best[0].violations} times in {best[0].n} rows", stacklevel=2)
+        return best[0].zone
 
     def normalize(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
         parts = [normalized_times(df, feed, self.zone_of(df, feed), self.zones) for df, feed in inputs]

@@ -1,5 +1,6 @@
 """Queries over small tables on which a capped or sampled job gives other rows than the whole one."""
 
+from datetime import datetime
 from itertools import product
 
 import __spark_entry__ as entry
@@ -7,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from advisorium.operators import enrich, matching, packed, scan
+from advisorium.operators import enrich, matching, packed, scan, zones
 
 
 def same_rows(name, spark, folder, tables):
@@ -99,3 +100,15 @@ def test_delimiters_are_those_of_the_row_s_source(spark):
     df = spark.createDataFrame(rows, "k long, s string, f string")
     got = packed.unpack(df, "k", {"f": packed.ALIAS}, F.col("s")).filter("k >= 99").orderBy("k", "pos").collect()
     assert [tuple(r) for r in got] == [(99, "f", 1, "CVE-99"), (99, "f", 2, "CVE-100")] + [(k, "f", 1, "GHSA-1/x") for k in (100, 101, 102)]
+
+
+def test_doubtful_zones_are_told(spark):
+    sources = spark.createDataFrame([("a", None), ("b", "UTC")], "source_name string, local_zone string")
+    seen = lambda at: spark.createDataFrame([(1, "2024-01-01 12:00:00", at)], "k long, t string, seen timestamp_ntz")
+    feed = zones.Feed("f", "k", "t", "a", "seen")
+    with pytest.warns(UserWarning, match="a: the best of the declared zones, UTC, violates order 1 times in 1 rows"):
+        assert zones.TimeNormalizer(spark, sources).zone_of(seen(datetime(2024, 1, 1, 3)), feed) == "UTC"
+    with pytest.warns(UserWarning, match="a: no zone"):
+        assert zones.TimeNormalizer(spark, sources).zone_of(seen(None), feed) is None
+    with pytest.warns(UserWarning, match="a: no zone"):
+        assert zones.TimeNormalizer(spark, sources.filter("source_name = 'a'")).zone_of(seen(datetime(2024, 1, 1, 3)), feed) is None
