@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,12 +40,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written to the shared folder to cut lineage between rounds; they survive the loss of executors."""
+    """Tables written to the shared folder to cut lineage between rounds; they survive the loss of executors.
+
+    A query's result may be read from them later, so they stay until ``clean_up`` or the end of the process.
+    """
+
+    _made: list["Workspace"] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._written: list[str] = []
+        Workspace._made.append(self)
 
     def store(self, df: DataFrame, label: str, keep: int | None = None) -> DataFrame:
         """Write ``df`` and read it back; with ``keep`` only that many of the latest tables remain."""
@@ -62,6 +69,24 @@ class Workspace:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_up() -> None:
+    """Remove the folders of all workspaces of this process; frames that read them are then void."""
+    while Workspace._made:
+        w = Workspace._made.pop()
+        if w.spark.sparkContext._jsc is not None:
+            w.drop(w.folder)
+
+
+def _at_exit() -> None:
+    try:
+        clean_up()
+    except Exception:  # the session may be gone already; what is left lies in a folder meant for it
+        pass
+
+
+atexit.register(_at_exit)
+
+
 def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
     """Collect a table whose size has a documented bound; more rows are an error and never cut off."""
     rows = df.limit(bound + 1).collect()

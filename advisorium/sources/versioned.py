@@ -6,32 +6,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from advisorium.sources.shared import Pointer, SharedFolder, StaleState
+
+__all__ = ["StaleState", "VersionedTable"]
+
 
 class VersionedTable:
-    """``folder/v=<token>`` holds the versions and ``folder/CURRENT`` the name of the one that counts.
+    """``folder/v=<token>`` holds the versions; the last numbered state names the one that counts.
 
-    The pointer is written beside and renamed over the old one, so a reader finds a whole version at any time.
+    A swap names the state it was drawn up against: of two writers that began from one state the second is refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.files = SharedFolder(spark, self.folder)
+        self.pointer = Pointer(spark, self.folder)
 
-    def _fs(self):
-        return self._path(self.folder).getFileSystem(self._conf)
+    def number(self) -> int:
+        """Number of the state that counts, 0 before the first."""
+        return self.pointer.read()[0]
 
     def current(self) -> str | None:
         """Name of the version that counts, or None before the first."""
-        at = self._path(f"{self.folder}/CURRENT")
-        if not self._fs().exists(at):
-            return None
-        stream = self._fs().open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return self.pointer.read()[1].get("version")
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -45,19 +42,21 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.folder}/{version}")
         return version
 
-    def swap(self, version: str) -> None:
-        """Let ``version`` count."""
-        fs, target = self._fs(), self._path(f"{self.folder}/CURRENT")
-        beside = self._path(f"{self.folder}/CURRENT.{uuid.uuid4().hex[:8]}")
-        stream = fs.create(beside, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf)
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(beside), fs.makeQualified(target), overwrite)
+    def swap(self, version: str, expected: int | None = None) -> int:
+        """Let ``version`` count, after state ``expected`` (None: whatever counts now)."""
+        return self.pointer.swap(self.number() if expected is None else expected, {"version": version})
 
     def replace(self, df: DataFrame) -> DataFrame:
-        """Write a version, let it count and read it."""
-        self.swap(self.stage(df))
+        """Write a version, let it count and read it; refused if another writer swapped in between."""
+        expected = self.number()
+        self.swap(self.stage(df), expected)
         return self.read()
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete versions that none of the last ``keep`` states names; staged ones of running writers are such too."""
+        states = self.pointer.files.names("")[-keep:]
+        named = {(self.pointer.files.load(n) or {}).get("version") for n in states}
+        gone = [n for n in self.files.names("") if n.startswith("v=") and n not in named]
+        for n in gone:
+            self.files.delete(n)
+        return gone
