@@ -27,7 +27,7 @@ MONTH_KEYS = "".join(m[:3] for m in MONTHS).upper()
 _MONTH = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS if m != "May") + r"|May|Sept)\.?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _HALF = r"(?: ?([AP]M))?"
-_ZONE = r" ?([+-]\d{2}(?::?\d{2})?|[A-Z]{1,5}|[A-Z][A-Z_]*(?:/[A-Z0-9_+-]+)+)?(?:\[[^\]]*\])?"
+_ZONE = r" ?([+-]\d{2}(?::?\d{2})?|[A-Z]{1,5}|[A-Z][A-Z_]*(?:/[A-Z0-9_+-]+){1,3})?(?:\[[^\]]*\])?"
 
 #: Each form with the replacement that brings it to year|month|day|hour|minute|second|fraction|half|zone.
 FORMS = (
@@ -39,8 +39,11 @@ FORMS = (
     (rf"(?i)^(1[3-9]|2\d|3[01])/(\d{{1,2}})/(\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     (rf"(?i)^(\d{{1,2}})/(1[3-9]|2\d|3[01])/(\d{{4}})(?:,? {_CLOCK}{_HALF}{_ZONE})?$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 )
-#: Counts since 1970 by their number of digits: seconds, milli-, micro- and nanoseconds.
-EPOCHS = ((r"^-?\d{9,10}$", 1_000_000, 1), (r"^-?\d{12,13}$", 1_000, 1), (r"^-?\d{15,16}$", 1, 1), (r"^-?\d{18,19}$", 1, 1_000))
+#: Counts since 1970 by their number of digits: seconds, milli-, micro- and nanoseconds. Four, six and eight digits are
+#: a year, a month and a date, seven may be a year with a day of the year, and up to three say nothing.
+EPOCHS = (
+    (r"^(?:-\d{5,11}|\d{5}|\d{9,11}|(?!(?:19|20)\d\d[0-3])\d{7})$", 1_000_000, 1), (r"^-?\d{12,14}$", 1_000, 1), (r"^-?\d{15,17}$", 1, 1), (r"^-?\d{18,19}$", 1, 1_000),
+)
 
 
 def zone_names(spark: SparkSession) -> list[str]:
@@ -65,12 +68,13 @@ def read_times(df: DataFrame, text: Column | str, zones: list[str], prefix: str
     count itself; ``offset_us``: stated offset; ``zone``: stated area.
 
     Null, blank, incomplete, impossible and ambiguous texts (day and month both up to 12 between slashes) are
-    null throughout. Digits past the microsecond are cut off. No form is longer than 80 characters, and longer
-    texts are unreadable without any pattern being tried. Columns of ``df`` that begin with ``__t_`` are lost.
+    null throughout. Digits past the microsecond are cut off, however many there are; every form is told from what
+    it is not within its first characters, so long texts cost little. A count of 14 digits that is a possible date
+    and time in digits is that. Columns of ``df`` that begin with ``__t_`` are lost.
     """
     kept = [c for c in df.columns if not c.startswith("__t_")]
     cleaned = F.btrim(spaces_to_blank(as_column(text)))
-    df = let(df, __t_text=F.when(F.length(cleaned) <= 80, cleaned))
+    df = let(df, __t_text=cleaned)
     given = F.col("__t_text")
     canon = F.lit(None).cast("string")
     for pattern, replacement in reversed(FORMS):
@@ -106,13 +110,14 @@ def read_times(df: DataFrame, text: Column | str, zones: list[str], prefix: str
     digits = F.rpad(F.translate(F.substring(z, 2, 5), ":", ""), 4, "0")
     off_h, off_m = F.substring(digits, 1, 2), F.substring(digits, 3, 2)
     known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    areas = F.create_map(*[F.lit(x) for n in zones for x in (n.upper(), n)])
+    listed = lambda names: "split('" + ",".join(names) + "', ',')"  # noqa: E731  one constant instead of a node per zone
+    areas = F.expr(f"map_from_arrays({listed([n.upper() for n in zones])}, {listed(zones)})")
     minutes = F.when(signed & (_number(off_h) <= 18) & (_number(off_m) <= 59), (_number(off_h) * 60 + _number(off_m)) * F.when(z.startswith("-"), -1).otherwise(1)).when(
         ~signed, F.try_element_at(known, z)
     )
     df = let(df, __t_ok=ok, __t_wall=day.cast("bigint") * 86_400_000_000 + of_day, __t_min=minutes, __t_area=F.when(z.contains("/"), F.try_element_at(areas, z)))
     kind = (
-        F.when(F.col("__t_count").isNotNull(), "epoch")
+        F.when(F.col("__t_count").isNotNull() & ~(F.col("__t_part").isNotNull() & F.coalesce(F.col("__t_ok"), F.lit(False))), "epoch")
         .when(~F.coalesce(F.col("__t_ok"), F.lit(False)), None)
         .when(dated, "date")
         .when(z == "", "local")

@@ -1,33 +1,23 @@
-"""What changed between full snapshots, by an index from key to hash.
+"""What changed between full snapshots, by a stored index from key to hash.
 
-The index keeps of each snapshot only (bucket, key, hash of the compared values). A new snapshot probes it; values
-are fetched for the keys with another hash only, and the index of the new snapshot then takes the place of the old.
+A snapshot lands as files by key bucket: the key, a hash of the compared values, and the values beside them. Its index
+is the key and hash columns. A delivery probes the index of the last snapshot with its own, fetches old and new
+values for the keys that differ only, and then its index takes the place of the old one.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from advisorium.session import Workspace
+from advisorium.sources.shared import Pointer, SharedFolder, StaleState
 
 BUCKETS = 64
-
-
-def key_index(rows: DataFrame, by: list[str], values: list[str], order: str) -> DataFrame:
-    """One row per key: the ``by`` columns, bucket, value_hash.
-
-    The last of ``by`` is the key itself. Of repeated rows of a key the one with the lowest ``order`` stands.
-    Partial aggregation first: a key or snapshot that holds most rows shrinks before the shuffle.
-    """
-    hashed = F.xxhash64(*[F.coalesce(F.col(v).cast("string"), F.lit("\x00")) for v in values])
-    return (
-        rows.select(*by, F.col(order).alias("__order"), hashed.alias("value_hash"))
-        .groupBy(*by)
-        .agg(F.min_by("value_hash", "__order").alias("value_hash"))
-        .withColumn("bucket", F.pmod(F.xxhash64(by[-1]), F.lit(BUCKETS)).cast("int"))
-    )
+#: So many deliveries are probed at a time; they count strictly one after the other.
+PROBES_AHEAD = 4
 
 
 def consecutive(snapshots: DataFrame, order: list[str]) -> DataFrame:
@@ -35,8 +25,14 @@ def consecutive(snapshots: DataFrame, order: list[str]) -> DataFrame:
     return snapshots.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
+def first_rows(rows: DataFrame, by: list[str], values: list[str], order: str) -> DataFrame:
+    """The compared values of each key as ``v``, of repeated rows those with the lowest ``order``. Partial aggregation
+    first, so a key or snapshot that holds most rows shrinks before the shuffle."""
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*values), order).alias("v"))
+
+
 def probe(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
-    """Keys of two indexes that differ: on, change_kind ``added``, ``removed`` or ``changed`` (to be confirmed)."""
+    """Keys of two indexes (on, value_hash) that differ: on, change_kind ``added``, ``removed`` or ``changed``."""
     o, n = old.select(*on, F.col("value_hash").alias("old_hash")), new.select(*on, F.col("value_hash").alias("new_hash"))
     kind = (
         F.when(F.col("old_hash").isNull(), "added")
@@ -46,61 +42,86 @@ def probe(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return o.join(n, on, "full_outer").select(*on, kind.alias("change_kind")).filter("change_kind is not null")
 
 
-def first_rows(rows: DataFrame, by: list[str], values: list[str], order: str) -> DataFrame:
-    """The compared values of each key, of repeated rows those with the lowest ``order``."""
-    return rows.groupBy(*by).agg(F.min_by(F.struct(*values), order).alias("v"))
-
-
-def changes_between(rows: DataFrame, last: int, key: str, values: list[str], order: str) -> DataFrame:
-    """Changes between every two consecutive snapshots of ``rows`` (seq, key, values): seq (of the newer), key, change_kind.
-
-    ``last`` is the number of snapshots, empty ones included.
-
-    All indexes are probed at once: the index of each snapshot, moved on by one, stands for the snapshot before.
-    Old and new values are fetched for the ``changed`` alone and compared, null being a value of its own; a key
-    whose values are equal after all is no change. Rows with a null key are none.
-    """
-    work = Workspace(rows.sparkSession, "snapshots")
-    standing = first_rows(rows.filter(F.col(key).isNotNull()), ["seq", key], values, order)
-    stored = work.store(standing.withColumn("value_hash", F.xxhash64(*[F.coalesce(F.col(f"v.{v}").cast("string"), F.lit("\x00")) for v in values])), "rows")
-    index = stored.select("seq", key, "value_hash")  # all that the probe reads of the stored rows
-    found = probe(index.withColumn("seq", F.col("seq") + 1).filter(F.col("seq") <= last), index.filter("seq > 1"), ["seq", key])
-    moved = found.filter("change_kind = 'changed'").select("seq", key)
-    now = stored.select("seq", key, "v").join(moved, ["seq", key])
-    before = stored.select((F.col("seq") + 1).alias("seq"), key, F.col("v").alias("was")).join(moved, ["seq", key], "left_semi")
-    same = now.join(before, ["seq", key]).filter(F.col("v").eqNullSafe(F.col("was"))).select("seq", key)
-    return found.join(same, ["seq", key], "left_anti")
-
-
 class SnapshotIndex:
-    """The stored index of the last snapshot, bucketed by key, with the swap at the end of each delivery."""
+    """Snapshots by number in a shared folder, with the index that counts named by a pointer.
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, values: list[str], order: str) -> None:
-        from advisorium.sources.versioned import VersionedTable
+    ``snapshots/seq=<n>/bucket=<b>`` holds what landed, ``found`` and ``changes`` what a delivery derived, both under
+    the two numbers they lie between: a delivery that is repeated after a failure overwrites its own attempt. Numbers
+    only grow; a delivery not newer than the one that counts returns what it once wrote and moves nothing.
 
-        self.table, self.key, self.values, self.order = VersionedTable(spark, folder), key, values, order
-        self.spark = spark
-
-    def deliver(self, rows: DataFrame, token: str, previous_rows: DataFrame | None = None) -> DataFrame:
-        """Changes of a new full snapshot against the stored one; then the new index takes the place of the old.
+    Rows with a null key are none. Hashes have 128 bits and are taken over the values as JSON, where null and the
+    empty text differ, so keys whose hashes agree have equal values.
+    """
 
-        The changes are written under the delivery's token before the swap: a delivery that is repeated after a
-        failure overwrites its own attempt, and one that already counts returns what it wrote.
+    def __init__(self, spark: SparkSession, folder: str, key: str, values: list[str], order: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.key, self.values, self.order, self.buckets = spark, folder.rstrip("/"), key, values, order, buckets
+        self.pointer, self.files = Pointer(spark, self.folder), SharedFolder(spark, self.folder)
+        self._schema: str | None = None
+
+    def land(self, rows: DataFrame) -> list[int]:
+        """Store the snapshots of ``rows`` (seq, key, values, order); returns their numbers. Nothing counts yet."""
+        standing = first_rows(rows.filter(F.col(self.key).isNotNull() & F.col("seq").isNotNull()), ["seq", self.key], self.values, self.order)
+        hashed = standing.select(
+            "seq", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket"), self.key, F.unhex(F.md5(F.to_json("v"))).alias("value_hash"), "v"
+        )
+        self._schema = hashed.drop("seq", "bucket").schema
+        hashed.repartition("seq", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq", "bucket").parquet(f"{self.folder}/snapshots")
+        return self.landed()
+
+    def landed(self) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in self.files.names("snapshots") if n.startswith("seq="))
+
+    def _snapshot(self, seq: int | None) -> DataFrame:
+        """What landed under a number: bucket, key, value_hash, v; empty for a snapshot without rows and for none."""
+        at = f"snapshots/seq={seq}"
+        if seq is None or not self.files.names(at):
+            return self.spark.createDataFrame([], self._schema).withColumn("bucket", F.lit(None).cast("int"))
+        return self.spark.read.option("basePath", f"{self.folder}/{at}").parquet(f"{self.folder}/{at}")
+
+    def _differences(self, last: int | None, seq: int) -> str:
+        """Derive the changes from ``last`` to ``seq`` and write them; returns their path."""
+        old, new = self._snapshot(last), self._snapshot(seq)
+        name = f"{last or 0}-{seq}"
+        found_at, changes_at = f"{self.folder}/found/{name}", f"{self.folder}/changes/{name}"
+        on = ["bucket", self.key]
+        probe(old, new, on).write.mode("overwrite").parquet(found_at)
+        found = self.spark.read.parquet(found_at)  # its size is known from its files, which settles how it is joined
+        v = new.schema["v"].dataType
+        fetched = old.select(*on, F.col("v").alias("old"), F.lit(None).cast(v).alias("new")).unionByName(new.select(*on, F.lit(None).cast(v).alias("old"), F.col("v").alias("new")))
+        both = fetched.join(found, on).groupBy(*on, "change_kind").agg(F.first("old", True).alias("old"), F.first("new", True).alias("new"))
+        both.select(F.lit(last).cast("bigint").alias("from_seq"), F.lit(seq).cast("bigint").alias("to_seq"), self.key, "change_kind", "old", "new").write.mode("overwrite").parquet(changes_at)
+        return changes_at
+
+    def deliver(self, *numbers: int) -> list[str]:
+        """Let landed snapshots count in the given order; returns the paths of their changes.
+
+        The changes are whole before the index is swapped, and the swap is refused if another writer came between.
+        Probes run ahead, since both of their indexes have landed; swaps keep the order.
         """
-        changes_at = f"{self.table.folder}/changes={token}"
-        if self.table.current() == f"v={token}":
-            return self.spark.read.parquet(changes_at)
-        index = key_index(rows.filter(F.col(self.key).isNotNull()), [self.key], self.values, self.order)
-        fields = [self.key, "value_hash", "bucket"]
-        version = self.table.stage(index.select(*fields).repartition("bucket"), token)
-        new = self.spark.read.parquet(f"{self.table.folder}/{version}")
-        old = self.table.read() if self.table.current() else new.limit(0)
-        found = probe(old, new, ["bucket", self.key]).drop("bucket")
-        if previous_rows is not None:
-            moved = found.filter("change_kind = 'changed'").select(self.key)
-            a, b = [first_rows(r.join(moved, self.key, "left_semi"), [self.key], self.values, self.order) for r in (previous_rows, rows)]
-            same = a.join(b.withColumnRenamed("v", "w"), self.key).filter(F.col("v").eqNullSafe(F.col("w"))).select(self.key)
-            found = found.join(same, self.key, "left_anti")
-        found.write.mode("overwrite").parquet(changes_at)
-        self.table.swap(version)
-        return self.spark.read.parquet(changes_at)
+        at, state = self.pointer.read()
+        last = state.get("seq")
+        paths = dict(state.get("changes", {}))
+        out, plan, before = [], [], last
+        for n in numbers:
+            if before is not None and n <= before:
+                if str(n) not in paths:
+                    raise StaleState(f"{self.folder}: snapshot {n} is older than {before}, which counts")
+                plan.append((None, n))
+            else:
+                plan.append((before, n))
+                before = n
+        with ThreadPoolExecutor(PROBES_AHEAD) as pool:
+            ahead = [pool.submit(self._differences, a, n) if last is None or n > last else None for a, n in plan]
+            for (_, n), job in zip(plan, ahead):
+                if job is not None:
+                    paths[str(n)] = job.result()
+                    at = self.pointer.swap(at, {"seq": n, "changes": paths})
+                out.append(paths[str(n)])
+        return out
+
+    def changes(self, paths: list[str]) -> DataFrame:
+        """Delivered changes: from_seq (null: the first delivery), to_seq, key, change_kind, old, new (structs of the values)."""
+        v = self._schema["v"].dataType.simpleString()
+        kind = self._schema[self.key].dataType.simpleString()
+        schema = f"from_seq bigint, to_seq bigint, `{self.key}` {kind}, change_kind string, old {v}, new {v}"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

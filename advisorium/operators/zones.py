@@ -1,27 +1,51 @@
 """Time texts of several feeds as unambiguous instants, with zones estimated where none is declared.
 
-A candidate zone is an offset history. For each source the wall clocks without zone are converted by every
-candidate, and the candidate with the fewest violations of what is known about order is chosen: an instant may
-not lie after the row was ingested, nor before an instant of the same row that is known to be earlier.
+A candidate is an offset history: all zones of the zone database, grouped by what their clocks showed. For each source
+the wall clocks without zone are held against what is known about order: an instant may not lie after the row was
+ingested, nor before an instant of the same row that is known to be earlier, and lies where other rows of its entity
+state it with a zone. The sequence of histories with the fewest violations is chosen, month by month, so that a source
+may change its zone.
 """
 
 from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.functions.times import add_instant, let, read_times, seconds_of, us_of_ntz, wall_to_utc, zone_names
+from advisorium.functions.text import as_column
+from advisorium.functions.times import add_instant, read_times, us_of_ntz, zone_names
 from advisorium.session import bounded_rows
 
-#: Candidate zones and sources are dimensions; more than this is an error.
+#: Sources are a dimension; more than this is an error.
 MAX_SOURCES = 10_000
+#: Days since 1970 on which clocks are compared (1990 to 2037; others count as the nearest), and offsets in quarter hours.
+FIRST_DAY, LAST_DAY = 7_305, 24_836
+LEAST, MOST = -52, 60
+#: A row that a candidate puts elsewhere than the declared zone; it can violate order at most twice.
+DECLARED_WEIGHT = 3
+#: What a change of zone within a source must save.
+SWITCH_ROWS, SWITCH_SHARE = 20, 0.02
 #: Spellings of one time may leave out its seconds.
 SPELLING_SLACK_US = 60_000_000
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A span of a source's wall clock with its zone, and how many rows tell it and violate it."""
+
+    zone: str
+    from_us: int | None
+    to_us: int | None
+    n: int
+    violations: int
+
+
 @dataclass(frozen=True)
 class Feed:
     """One time column of a table: where it is, the row key, and which declared source it belongs to.
@@ -39,32 +63,132 @@ class Feed:
     entity: Column | None = None
 
 
-def zone_evidence(rows: DataFrame, candidates: list[str]) -> DataFrame:
-    """Violations of each candidate zone per source.
+def offset_histories(names: tuple[str, ...]) -> list[tuple[tuple[str, ...], np.ndarray, np.ndarray]]:
+    """Candidate histories: (zones that share it, days since 1970 on which it changes, offset in quarter hours from then).
 
-    ``rows``: source string, wall_us bigint (a clock without zone), lower_us and upper_us bigint (null: no bound).
-    One pass with partial aggregation: every candidate is a pair of sums, so a source that holds most rows makes
-    no large group. Rows without any bound count as no evidence. Result: source, zone, n, violations, slack_us
-    (mean distance to the upper bound; the lower the better aligned).
+    Offsets are those at noon UTC of each day from ``FIRST_DAY`` to ``LAST_DAY``; zones that agree on all days are one
+    candidate. Zones that the driver's zone database lacks are left out.
+    """
+    return _offset_histories(tuple(names))
+
+
+@lru_cache(maxsize=4)
+def _offset_histories(names: tuple[str, ...]) -> list[tuple[tuple[str, ...], np.ndarray, np.ndarray]]:
+    noon = pd.DatetimeIndex(pd.to_datetime(np.arange(FIRST_DAY, LAST_DAY + 1), unit="D")) + pd.Timedelta(hours=12)
+    utc = noon.tz_localize("UTC")
+    alike: dict[bytes, tuple[list[str], np.ndarray, np.ndarray]] = {}
+    for name in names:
+        try:
+            local = utc.tz_convert(name).tz_localize(None)
+        except (KeyError, ValueError, OSError):
+            continue
+        quarters = np.round((local - noon).total_seconds().to_numpy() / 900).astype(np.int16)
+        at = np.flatnonzero(np.diff(quarters, prepend=quarters[0] - 1))
+        alike.setdefault(quarters.tobytes(), ([], at + FIRST_DAY, quarters[at]))[0].append(name)
+    return [(tuple(n), days, offsets) for n, days, offsets in alike.values()]
+
+
+def zone_evidence(rows: DataFrame) -> DataFrame:
+    """What rows say of their offset, by day: source, day, least, most (offsets in quarter hours), n.
+
+    ``rows``: source string, wall_us bigint (a clock without zone), lower_us and upper_us bigint (null: no bound). An
+    offset below ``least`` puts the instant after its upper bound, one above ``most`` before its lower. Rows without
+    any bound are no evidence. Aggregated with partial results to at most one row per source, day and pair of
+    offsets, so a source that holds most rows makes no large group.
     """
     known = rows.filter(F.col("wall_us").isNotNull() & (F.col("lower_us").isNotNull() | F.col("upper_us").isNotNull()))
-    known = let(known, **{f"__utc{i}": wall_to_utc(F.col("wall_us"), F.lit(z)) for i, z in enumerate(candidates)})
-    known = let(known, **{f"__at{i}": seconds_of(F.col(f"__utc{i}")) * 1_000_000 + F.pmod("wall_us", F.lit(1_000_000)) for i in range(len(candidates))})
-    measures = []
-    for i in range(len(candidates)):
-        at = F.col(f"__at{i}")
-        late = F.coalesce((at > F.col("upper_us")).cast("int"), F.lit(0))
-        early = F.coalesce((at < F.col("lower_us")).cast("int"), F.lit(0))
-        measures += [F.sum(late + early).alias(f"v{i}"), F.avg((F.col("upper_us") - at).cast("double")).alias(f"s{i}")]
-    wide = known.groupBy("source").agg(F.count("*").alias("n"), *measures)
-    each = F.array(*[F.struct(F.lit(z).alias("zone"), F.col(f"v{i}").alias("violations"), F.col(f"s{i}").alias("slack_us")) for i, z in enumerate(candidates)])
-    return wide.select("source", "n", F.inline(each))
+    quarter = 900 * 1_000_000
+    within = lambda c, low, high: F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)).cast("int"))
+    return known.groupBy(
+        "source", within(F.floor(F.col("wall_us") / (86_400 * 1_000_000)), FIRST_DAY, LAST_DAY).alias("day"),
+        F.coalesce(within(F.ceil((F.col("wall_us") - F.col("upper_us")) / quarter), LEAST, MOST + 1), F.lit(LEAST)).alias("least"),
+        F.coalesce(within(F.floor((F.col("wall_us") - F.col("lower_us")) / quarter), LEAST - 1, MOST), F.lit(MOST)).alias("most"),
+    ).agg(F.count("*").alias("n"))
+
+
+class _Scores:
+    """One source's evidence against every candidate history: order violations by candidate and day."""
+
+    def __init__(self, evidence: pd.DataFrame, histories: list, declared: str | None) -> None:
+        self.days, at = np.unique(evidence["day"].to_numpy(), return_inverse=True)
+        n = evidence["n"].to_numpy()
+        width = MOST - LEAST + 1
+        late, early = np.zeros((len(self.days), width + 1)), np.zeros((len(self.days), width + 1))
+        np.add.at(late, (at, evidence["least"].to_numpy() - LEAST), n)  # offsets below violate
+        np.add.at(early, (at, evidence["most"].to_numpy() - LEAST + 1), n)  # offsets from there on violate
+        by_offset = late[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:] + early.cumsum(axis=1)[:, :width]
+        self.n = np.bincount(at, weights=n, minlength=len(self.days))
+        offsets = np.stack([o[np.maximum(np.searchsorted(d, self.days, side="right") - 1, 0)] for _, d, o in histories])
+        self.violations = np.take_along_axis(by_offset, (offsets.T - LEAST).clip(0, width - 1), axis=1).T
+        own = next((i for i, h in enumerate(histories) if declared in h[0]), None)
+        contradicts = np.zeros_like(self.violations) if own is None else (offsets != offsets[own]) * self.n
+        self.cost = self.violations + DECLARED_WEIGHT * contradicts
+        self.closeness = (offsets * self.n).sum(axis=1)
+        self.own = own
+
+    def ranked(self, histories: list, known: set[str]) -> np.ndarray:
+        """Rank of each candidate among equals: declared here, declared by others, closest to the upper bounds, name."""
+        order = sorted(range(len(histories)), key=lambda i: (i != self.own, known.isdisjoint(histories[i][0]), self.closeness[i], min(histories[i][0])))
+        rank = np.empty(len(order))
+        rank[order] = np.arange(len(order))
+        return rank
+
 
+def _segments(source: str, evidence: pd.DataFrame, histories: list, declared: dict[str, str]) -> pd.DataFrame:
+    """The cheapest sequence of candidates over the months with evidence, a change costing what is stated above."""
+    s = _Scores(evidence, histories, declared.get(source))
+    known = {*declared.values()}
+    month = s.days.astype("datetime64[D]").astype("datetime64[M]")
+    months, first = np.unique(month, return_index=True)
+    cost = np.add.reduceat(s.cost, first, axis=1).T
+    among_equals = s.ranked(histories, known) / (len(histories) * len(months) * 4)
+    cost = cost + among_equals
+    change = max(SWITCH_ROWS, SWITCH_SHARE * s.n.sum())
+    best, came = cost[0], np.zeros(cost.shape, dtype=np.int64)
+    for m in range(1, len(months)):
+        cheapest = int(best.argmin())
+        moved = best[cheapest] + change < best
+        came[m] = np.where(moved, cheapest, np.arange(len(best)))
+        best = np.where(moved, best[cheapest] + change, best) + cost[m]
+    chosen = [int(best.argmin())]
+    for m in range(len(months) - 1, 0, -1):
+        chosen.append(int(came[m][chosen[-1]]))
+    chosen = np.array(chosen[::-1])
+    starts = np.flatnonzero(np.diff(chosen, prepend=-1))
+    out = []
+    for i, at in enumerate(starts):
+        until = starts[i + 1] if i + 1 < len(starts) else len(months)
+        inside = (month >= months[at]) & (month <= months[until - 1])
+        names = histories[chosen[at]][0]
+        own = declared.get(source)
+        zone = own if own in names else min(names, key=lambda z: (z not in known, z))
+        edge = lambda k: int(months[k].astype("datetime64[us]").astype(np.int64))
+        out.append((source, zone, None if i == 0 else edge(at), edge(until) if until < len(months) else None, int(s.n[inside].sum()), int(s.violations[chosen[at]][inside].sum())))
+    return pd.DataFrame(out, columns=["source", "zone", "from_us", "to_us", "n", "violations"]).astype({"from_us": "Int64", "to_us": "Int64"})
 
-def choose_zones(evidence: DataFrame) -> DataFrame:
-    """Per source the zone with the fewest violations; ties by closer alignment, then by name."""
-    best = F.min(F.struct("violations", F.abs("slack_us").alias("slack_us"), "zone")).alias("best")
-    return evidence.groupBy("source").agg(F.max("n").alias("n"), best).select("source", "n", "best.zone", "best.violations")
+
+def estimate_zones(evidence: DataFrame, histories: list, declared: dict[str, str]) -> DataFrame:
+    """Per source the zones that violate order least, by span of its wall clock: source, zone, from_us, to_us (null: open),
+    n, violations.
+
+    A candidate costs its violations in each month. Where a source declares a zone, a candidate that puts a row
+    elsewhere than the declared one contradicts a statement, which weighs more than any order can. A change of zone
+    within a source must save ``SWITCH_ROWS`` violations and ``SWITCH_SHARE`` of the rows. A group is the evidence of
+    one source, whose size the calendar bounds.
+    """
+    schema = "source string, zone string, from_us bigint, to_us bigint, n bigint, violations bigint"
+    return evidence.groupBy("source").applyInPandas(lambda rows: _segments(rows["source"].iat[0], rows, histories, declared), schema)
+
+
+def zone_scores(evidence: DataFrame, histories: list) -> DataFrame:
+    """Order violations of every candidate over all of a source's evidence, whatever is declared: source, zone (the
+    first by name of those that share the history), n, violations."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        s = _Scores(rows, histories, None)
+        return pd.DataFrame({"source": rows["source"].iat[0], "zone": [min(h[0]) for h in histories], "n": int(s.n.sum()), "violations": s.violations.sum(axis=1).astype(np.int64)})
+
+    return evidence.groupBy("source").applyInPandas(run, "source string, zone string, n bigint, violations bigint")
 
 
 def declared_zones(sources: DataFrame, known: list[str]) -> dict[str, str]:
@@ -104,45 +228,77 @@ def normalized_times(df: DataFrame, feed: Feed, zone: str | Column | None, zones
     text gives no row where ``zone`` is null.
     """
     held = df.select(F.col(feed.key).cast("bigint").alias("row_no"), F.col(feed.text).alias("text"))
+    if isinstance(zone, str):
+        zone = F.lit(zone)
     at = add_instant(read_times(held, "text", zones), "epoch_us", zone)
     return at.select(F.lit(feed.table).alias("table_name"), "row_no", "epoch_us").filter(F.col("epoch_us").isNotNull())
 
 
 class TimeNormalizer:
-    """Brings the time columns of several feeds to instants, estimating the zones of undeclared sources."""
+    """Brings the time columns of several feeds to instants, by the zones that order and declarations tell."""
 
     def __init__(self, spark: SparkSession, sources: DataFrame) -> None:
+        self.spark = spark
         self.zones = zone_names(spark)
         self.declared = declared_zones(sources, self.zones)
-        self.candidates = sorted({*self.declared.values()})
+        self.histories = offset_histories(("UTC", *self.zones))
 
-    def estimate(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
-        """Evidence over the given feeds, whatever is declared."""
+    def evidence(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
         rows = [evidence_rows(df, feed, self.zones) for df, feed in inputs]
         union = rows[0]
         for more in rows[1:]:
             union = union.unionByName(more)
-        return zone_evidence(union, self.candidates)
+        return zone_evidence(union)
 
-    def zone_of(self, df: DataFrame, feed: Feed) -> str | None:
-        """The declared zone, else the estimated one, else null.
+    def scores(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
+        """``zone_scores`` of the given feeds."""
+        return zone_scores(self.evidence(inputs), self.histories)
 
-        Only zones that other sources declare are tried. A warning tells of a source whose best zone still violates
-        order, so that its true zone may be none of them, and of one without any zone, whose local texts give no row.
+    def estimate(self, inputs: list[tuple[DataFrame, Feed]], withheld: bool = False) -> dict[str, list[Segment]]:
+        """The zones of each source by span, from its evidence and its declaration; ``withheld``: from evidence alone.
+
+        A source that declares a zone and has no evidence keeps it; one that has neither is missing.
         """
-        if feed.source in self.declared:
-            return self.declared[feed.source]
-        best = choose_zones(self.estimate([(df, feed)])).collect() if self.candidates else []  # one row for the one source
-        if not best:
-            warnings.warn(f"{feed.source}: no zone is declared or can be estimated; its local times give no rows", stacklevel=2)
+        declared = {} if withheld else self.declared
+        rows = bounded_rows(estimate_zones(self.evidence(inputs), self.histories, declared), MAX_SOURCES * 10, "spans of zones")
+        out: dict[str, list[Segment]] = {}
+        for r in sorted(rows, key=lambda r: (r.source, r.from_us is not None, r.from_us or 0)):
+            out.setdefault(r.source, []).append(Segment(r.zone, r.from_us, r.to_us, r.n, r.violations))
+        return {s: [Segment(z, None, None, 0, 0)] for s, z in declared.items()} | out
+
+    def zone_of(self, source: str, segments: dict[str, list[Segment]], wall: Column | str = "time_us") -> Column | None:
+        """Zone of a wall clock of ``source``; None, with a warning, where nothing tells it."""
+        spans = segments.get(source)
+        if not spans:
+            warnings.warn(f"{source}: no zone is declared or can be estimated; its local times are unplaced", stacklevel=2)
             return None
-        if best[0].violations:
-            warnings.warn(f"{feed.source}: the best of the declared zones, {best[0].zone}, violates order {best[0].violations} times in {best[0].n} rows", stacklevel=2)
-        return best[0].zone
-
-    def normalize(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
-        parts = [normalized_times(df, feed, self.zone_of(df, feed), self.zones) for df, feed in inputs]
-        union = parts[0]
-        for more in parts[1:]:
-            union = union.unionByName(more)
-        return union
+        for s in spans:
+            if source not in self.declared and s.violations:
+                warnings.warn(f"{source}: the estimated zone {s.zone} violates order {s.violations} times in {s.n} rows", stacklevel=2)
+        zone = F.lit(spans[-1].zone)
+        for s in reversed(spans[:-1]):
+            zone = F.when(as_column(wall) < s.to_us, s.zone).otherwise(zone)
+        return zone
+
+    def normalize(self, inputs: list[tuple[DataFrame, Feed]], evidence: list[tuple[DataFrame, Feed]] | None = None, withheld: bool = False) -> DataFrame:
+        """One row per readable text: table_name, row_no, epoch_us. The zones are estimated from ``evidence``, or else
+        from the feeds themselves. Local texts that nothing places are those of ``unplaced``."""
+        segments = self.estimate(evidence or inputs, withheld)
+        return _union([normalized_times(df, feed, self.zone_of(feed.source, segments), self.zones) for df, feed in inputs])
+
+    def unplaced(self, inputs: list[tuple[DataFrame, Feed]], evidence: list[tuple[DataFrame, Feed]] | None = None) -> DataFrame:
+        """Local texts of sources whose zone nothing tells, as they stand: table_name, row_no, text."""
+        segments = self.estimate(evidence or inputs)
+        out = []
+        for df, feed in inputs:
+            held = df.select(F.lit(feed.table).alias("table_name"), F.col(feed.key).cast("bigint").alias("row_no"), F.col(feed.text).alias("text"))
+            local = read_times(held, "text", self.zones).filter("time_kind = 'local'")
+            out.append(local.select("table_name", "row_no", "text").filter(F.lit(not segments.get(feed.source))))
+        return _union(out)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    union = parts[0]
+    for more in parts[1:]:
+        union = union.unionByName(more)
+    return union

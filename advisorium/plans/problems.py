@@ -11,7 +11,7 @@ from advisorium.functions.ids import identifier
 from advisorium.functions.text import folded
 from advisorium.functions.times import add_instant, calendar_day, read_times, us_of_ntz
 from advisorium.operators import history, ledger, packed, snapdiff, zones
-from advisorium.session import table
+from advisorium.session import Workspace, bounded_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,18 +28,47 @@ def feeds() -> tuple[zones.Feed, ...]:
 NVD_MODIFIED = zones.Feed("nvd_cve", "row_no", "last_modified", "nvd", "landed_at", "published")
 PACKED = {"aliases": packed.ALIAS, "reference_list": packed.REFERENCE}
 REGULAR_LOAD = "INTERVAL 1 DAY"
+#: Versions of the catalogue are a calendar; an index of some thousand entries needs few buckets.
+MAX_CATALOGUES = 100_000
+CATALOGUE_BUCKETS = 4
+
+
+def zone_feeds() -> tuple[zones.Feed, ...]:
+    """What tells the zone of each source: times that stay the same in all rows of an entity."""
+    return tuple(zones.Feed("osv_records", "rec_no", "published", "osv", "fetched_at", entity=identifier("id")) if f.source == "osv" else f for f in feeds())
+
+
+def _inputs(spark: SparkSession, d: str, of: tuple[zones.Feed, ...]) -> list[tuple[DataFrame, zones.Feed]]:
+    return [(table(spark, d, f.table), f) for f in of]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every readable time text of the four feeds as one instant."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
-    return normalizer.normalize([(table(spark, d, f.table), f) for f in feeds()])
+    return normalizer.normalize(_inputs(spark, d, feeds()), _inputs(spark, d, zone_feeds()))
+
+
+def p1_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Local time texts of sources whose zone nothing tells."""
+    normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
+    return normalizer.unplaced(_inputs(spark, d, feeds()), _inputs(spark, d, zone_feeds()))
 
 
 def p1_zone_evidence(spark: SparkSession, d: str) -> DataFrame:
     """How often each candidate zone violates what is known, whatever zone is declared."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
-    return normalizer.estimate([(table(spark, d, f.table), f) for f in feeds()]).select("source", "zone", "n", "violations", F.round(F.col("slack_us") / 3.6e9, 3).alias("slack_hours"))
+    return normalizer.scores(_inputs(spark, d, zone_feeds()))
+
+
+def p1_withheld(spark: SparkSession, d: str) -> DataFrame:
+    """How the estimate fares when no declaration is given: per table, how many texts are read, and how many of them to
+    the same instant as with the declared zones."""
+    normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
+    given, told = _inputs(spark, d, feeds()), _inputs(spark, d, zone_feeds())
+    right = normalizer.normalize(given, told).withColumnRenamed("epoch_us", "true_us")
+    guessed = normalizer.normalize(given, told, withheld=True)
+    both = right.join(guessed, ["table_name", "row_no"], "left")
+    return both.groupBy("table_name").agg(F.count("*").alias("n_read"), F.count(F.when(F.col("true_us") == F.col("epoch_us"), 1)).alias("n_same"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,10 +99,10 @@ SNAPSHOT_COLUMNS = ["row_no", "snapshot_at", "loaded_at", "vuln_id", "epss_score
 
 
 def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
-    """The whole history: chains from the regular loads, rebuilt where late or corrected rows touch them."""
+    """The whole history: a store of the regular loads, to which late and corrected rows are applied."""
     raw = table(spark, d, "vuln_snapshots", SNAPSHOT_COLUMNS)
     late = F.coalesce(F.col("loaded_at") > F.col("snapshot_at") + F.expr(REGULAR_LOAD), F.lit(False))
-    return history.history_with_late_rows(raw, late, snapshot_spec())
+    return history.history_with_late_rows(raw, late, snapshot_spec(), Workspace(spark, "history").folder)
 
 
 def _as_text(at: Column) -> Column:
@@ -105,26 +134,39 @@ def catalog_snapshots(catalogs: DataFrame) -> DataFrame:
     return snapdiff.consecutive(best, ["version"]).select("seq", "delivery_no")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Added, removed and changed entries between every two consecutive catalogue versions."""
-    versions = table(spark, d, "kev_catalogs")
-    snapshots = [(r.seq, r.delivery_no) for r in catalog_snapshots(versions).collect()]  # one row per catalogue version
-    seq_of = spark.createDataFrame(snapshots, "seq long, delivery_no long")
+def catalogue_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between every two consecutive catalogue versions, old and new values beside: every version is landed and
+    delivered in order to a stored index."""
+    snapshots = bounded_rows(catalog_snapshots(table(spark, d, "kev_catalogs")).select("seq", "delivery_no"), MAX_CATALOGUES, "versions of the catalogue")
+    seq_of = spark.createDataFrame([tuple(r) for r in snapshots], "seq long, delivery_no long")
     entries = table(spark, d, "kev_entries", ["entry_no", "delivery_no", "cve_id", "date_added", "known_ransomware_use"])
-    zones_known = zones.zone_names(spark)
-    rows = read_times(entries.join(F.broadcast(seq_of), "delivery_no"), "date_added", zones_known).select(
+    rows = read_times(entries.join(F.broadcast(seq_of), "delivery_no"), "date_added", zones.zone_names(spark)).select(
         "seq", "entry_no", identifier("cve_id").alias("cve_id"), calendar_day("time_us").alias("day"), folded("known_ransomware_use").alias("ransomware")
     )
-    found = snapdiff.changes_between(rows, len(snapshots), "cve_id", ["day", "ransomware"], "entry_no")
-    pairs = spark.createDataFrame([(b[0], a[1], b[1]) for a, b in zip(sorted(snapshots), sorted(snapshots)[1:])], "seq long, from_delivery long, to_delivery long")
-    return found.join(F.broadcast(pairs), "seq").select("from_delivery", "to_delivery", "cve_id", "change_kind")
+    index = snapdiff.SnapshotIndex(spark, Workspace(spark, "catalogue").folder, "cve_id", ["day", "ransomware"], "entry_no", CATALOGUE_BUCKETS)
+    index.land(rows)
+    paths = index.deliver(*sorted(r.seq for r in snapshots))
+    of = {r.seq: r.delivery_no for r in snapshots}
+    pairs = spark.createDataFrame([(n, of[n - 1], of[n]) for n in of if n - 1 in of], "to_seq long, from_delivery long, to_delivery long")
+    return index.changes(paths).join(F.broadcast(pairs), "to_seq").select("from_delivery", "to_delivery", "cve_id", "change_kind", "old", "new")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Added, removed and changed entries between every two consecutive catalogue versions."""
+    return catalogue_changes(spark, d).select("from_delivery", "to_delivery", "cve_id", "change_kind")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the values before and after."""
+    side = lambda s: [F.date_format(f"{s}.day", "yyyy-MM-dd").alias(f"{s}_day"), F.col(f"{s}.ransomware").alias(f"{s}_ransomware")]
+    return catalogue_changes(spark, d).select("to_delivery", "cve_id", "change_kind", *side("old"), *side("new"))
 
 
 def change_items(spark: SparkSession, d: str) -> DataFrame:
     """Records of the two sources as work items: source_name, entity, row_no, landed_at, time_us."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
     nvd = table(spark, d, "nvd_cve")
-    nvd_zone = normalizer.zone_of(nvd, NVD_MODIFIED)
+    nvd_zone = normalizer.declared.get("nvd") or normalizer.zone_of("nvd", normalizer.estimate([(nvd, NVD_MODIFIED)]))
     nvd = nvd.select("row_no", "cve_id", "last_modified", "landed_at")
     nvd = add_instant(read_times(nvd, "last_modified", normalizer.zones), "time_us", nvd_zone)
     vulns = table(spark, d, "vulnerabilities", ["record_no", "id", "modified", "updated_at"])
@@ -136,8 +178,8 @@ def change_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Each new or changed record with the one successful run that takes it up."""
-    runs = ledger.replay_ledger(table(spark, d, "source_runs"))
-    return ledger.new_or_changed(ledger.assign_runs(change_items(spark, d), runs))
+    taken = ledger.replay(change_items(spark, d), table(spark, d, "source_runs"), Workspace(spark, "runs").folder)
+    return ledger.new_or_changed(taken)
 
 
 def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +190,6 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found, "p1_zone_evidence": p1_zone_evidence, "p2_found": p2_found, "p2_delimiters": p2_delimiters,
-    "p4_found": p4_found, "p4_open_versions": p4_open_versions, "p5_found": p5_found, "p7_found": p7_found, "p7_ledger": p7_ledger,
+    "p1_found": p1_found, "p1_unplaced": p1_unplaced, "p1_withheld": p1_withheld, "p1_zone_evidence": p1_zone_evidence, "p2_found": p2_found, "p2_delimiters": p2_delimiters,
+    "p4_found": p4_found, "p4_open_versions": p4_open_versions, "p5_found": p5_found, "p5_values": p5_values, "p7_found": p7_found, "p7_ledger": p7_ledger,
 }

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from advisorium.__main__ import main
-from advisorium.operators import history, ledger, merge, snapdiff
+from advisorium.operators import history, ledger, merge, snapdiff, zones
 from advisorium.plans import problems, reference
 from advisorium.sinks import exports
 from advisorium.sources import bundle, documents
+from advisorium.sources.shared import SharedFolder, StaleState
 from advisorium.sources.versioned import VersionedTable
 from advisorium.streaming import ingest
 
@@ -72,39 +73,66 @@ def test_work_ledger(spark, tmp_path):
     assert book.state("b") == "pending" and book.lease("b").token == 2
 
 
-def test_assignment_on_odd_input(spark):
+def test_replay_on_odd_input(spark, tmp_path):
     log = spark.sql("select * from values ('s', 1L, timestamp '2024-01-01 10:00:00', timestamp '2024-01-01 11:00:00', cast(null as string)), ('s', 2L, timestamp '2024-01-02 10:00:00', null, null), ('s', 3L, timestamp '2024-01-03 10:00:00', timestamp '2024-01-03 11:00:00', 'err'), ('s', 3L, timestamp '2024-01-03 10:00:00', timestamp '2024-01-03 12:00:00', null), (null, 4L, null, null, null) as t(source_name, run_no, started_at, finished_at, error_text)")
     items = spark.sql("select * from values ('s','e',1L,timestamp '2023-01-01 00:00:00',5L), ('s','e',2L,timestamp '2024-01-01 10:00:00',5L), ('s','e',3L,timestamp '2024-01-01 10:00:01',4L), ('s','e',4L,timestamp '2024-01-03 09:00:00',9L), ('s','f',5L,timestamp '2024-02-01 00:00:00',9L), ('s','g',6L,timestamp '2024-01-01 00:00:00',null), ('s',null,7L,timestamp '2024-01-01 00:00:00',1L), ('s','h',8L,null,1L), ('x','e',9L,timestamp '2024-01-01 00:00:00',1L) as t(source_name, entity, row_no, landed_at, time_us)")
-    got = sorted(tuple(r) for r in ledger.new_or_changed(ledger.assign_runs(items, ledger.replay_ledger(log))).collect())
-    assert got == [("s", 1, 1), ("s", 3, 4)]
-    assert ledger.new_or_changed(ledger.assign_runs(items.limit(0), ledger.replay_ledger(log))).count() == 0
-    assert ledger.new_or_changed(ledger.assign_runs(items, ledger.replay_ledger(log.limit(0)))).count() == 0
+    run = lambda name, i, g: sorted(tuple(r) for r in ledger.new_or_changed(ledger.replay(i, g, f"file://{tmp_path}/{name}")).collect())
+    assert run("a", items, log) == [("s", 1, 1), ("s", 3, 4)]
+    assert run("b", items.limit(0), log) == [] and run("c", items, log.limit(0)) == []
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/a/ledger-{ledger.item_name('s', 0)}")
+    leases = {n: book.files.names(f"leases/{ledger.item_name('s', n)}") for n in (1, 2, 3)}
+    assert leases == {1: ["00000001"], 2: ["00000001", "00000002"], 3: ["00000001"]}  # the second run's lease expired
+    assert set(book.items().values()) == {"done"} and len(book.done_paths()) == 3
 
 
 def test_history_store(spark, tmp_path, sf):
     spec = problems.snapshot_spec()
     raw = spark.read.parquet(f"{sf}/vuln_snapshots.parquet").select(*problems.SNAPSHOT_COLUMNS)
     days = [r[0] for r in raw.select("snapshot_at").distinct().orderBy("snapshot_at").collect()]
-    early = (F.col("snapshot_at") <= F.lit(days[40])) & (F.col("loaded_at") <= F.col("snapshot_at") + F.expr("INTERVAL 1 DAY"))
-    store = history.HistoryStore(spark, f"file://{tmp_path}/h", spec)
-    store.rebuild(raw.filter(early))
-    store.apply(raw.filter((F.col("snapshot_at") <= F.lit(days[40]))), raw.filter((F.col("snapshot_at") <= F.lit(days[40])) & ~early))
-    final = store.apply(raw, raw.filter(F.col("snapshot_at") > F.lit(days[40])))
-    want = history.build_chains(raw, history.sized_calendar(raw, spec), spec)
+    old = F.col("snapshot_at") <= F.lit(days[40])
+    regular = F.col("loaded_at") <= F.col("snapshot_at") + F.expr("INTERVAL 1 DAY")
+    store = history.HistoryStore(spark, f"file://{tmp_path}/h", spec, 8)
+    store.apply(raw.filter(old & regular))
+    store.apply(raw.filter(old & ~regular))
+    final = store.apply(raw.filter(~old))
     key = lambda df: sorted((r.entity, str(r.valid_from), str(r.valid_to)) for r in df.collect())
-    assert key(final) == key(want)
-    empty = history.history_with_late_rows(raw.limit(0), F.lit(False), spec)
-    assert empty.count() == 0
+    assert key(final) == key(history.build_chains(raw, spec))
+    one = raw.filter(F.col("vuln_id") == raw.first().vuln_id).limit(1)
+    before = store.pointer.read()[1]["chains"]
+    again = store.apply(one)
+    after = store.pointer.read()[1]["chains"]
+    assert key(again) == key(final) and sum(before[b] != after[b] for b in before) == 1  # one bucket was replaced
+    assert history.history_with_late_rows(raw.limit(0), F.lit(False), spec, f"file://{tmp_path}/e").count() == 0
 
 
 def test_snapshot_index(spark, tmp_path):
-    index = snapdiff.SnapshotIndex(spark, f"file://{tmp_path}/i", "k", ["v"], "no")
-    make = lambda *rows: spark.createDataFrame(list(rows), "no int, k string, v string")
-    one, two = make((1, "a", "x"), (2, "b", None), (3, "b", "late"), (4, None, "z")), make((1, "b", "y"), (2, "c", "x"))
-    assert sorted(tuple(r) for r in index.deliver(one, "d1").collect()) == [("a", "added"), ("b", "added")]
-    assert sorted(tuple(r) for r in index.deliver(two, "d2", one).collect()) == [("a", "removed"), ("b", "changed"), ("c", "added")]
-    assert sorted(tuple(r) for r in index.deliver(two, "d2", one).collect()) == [("a", "removed"), ("b", "changed"), ("c", "added")]
-    assert index.deliver(two, "d3", two).count() == 0
+    index = snapdiff.SnapshotIndex(spark, f"file://{tmp_path}/i", "k", ["v"], "no", 4)
+    rows = [(1, 1, "a", "x"), (1, 2, "b", None), (1, 3, "b", "late"), (1, 4, None, "z"), (2, 1, "b", ""), (2, 2, "c", "x"), (4, 1, "b", ""), (4, 2, "c", "x"), (None, 1, "d", "x")]
+    assert index.land(spark.createDataFrame(rows, "seq long, no int, k string, v string")) == [1, 2, 4]
+    got = lambda paths: sorted((r.to_seq, r.k, r.change_kind, r.old and r.old.v, r.new and r.new.v) for r in index.changes(paths).collect())
+    first = [(1, "a", "added", None, "x"), (1, "b", "added", None, None)]
+    second = [(2, "a", "removed", "x", None), (2, "b", "changed", None, ""), (2, "c", "added", None, "x")]
+    assert got(index.deliver(1)) == first
+    assert got(index.deliver(2)) == second and got(index.deliver(2)) == second
+    assert got(index.deliver(1)) == first and index.pointer.read()[1]["seq"] == 2  # an old delivery moves nothing
+    assert got(index.deliver(3)) == [(3, "b", "removed", "", None), (3, "c", "removed", "x", None)]
+    assert got(index.deliver(4)) == [(4, "b", "added", None, ""), (4, "c", "added", None, "x")]
+    with pytest.raises(StaleState):
+        index.deliver(0)
+
+
+def test_found_queries_stand_on_their_stores(spark, sf, monkeypatch):
+    def refuse(*_, **__):
+        raise RuntimeError("store")
+
+    for owner, method, query in (
+        (snapdiff.SnapshotIndex, "deliver", problems.p5_found), (ledger.WorkLedger, "lease", problems.p7_found), (ledger.WorkLedger, "done_paths", problems.p7_found),
+        (history.HistoryStore, "apply", problems.p4_found), (zones.TimeNormalizer, "estimate", problems.p1_found),
+    ):
+        with monkeypatch.context() as m:
+            m.setattr(owner, method, refuse)
+            with pytest.raises(RuntimeError, match="store"):
+                query(spark, sf)
 
 
 def test_versioned_table(spark, tmp_path):
@@ -114,8 +142,34 @@ def test_versioned_table(spark, tmp_path):
     t.replace(spark.range(3))
     staged = t.stage(spark.range(9))
     assert t.read().count() == 3
-    t.swap(staged)
+    began = t.number()
+    t.swap(staged, began)
     assert t.read().count() == 9
+    with pytest.raises(StaleState):  # another writer that began from the same state
+        t.swap(t.stage(spark.range(1)), began)
+    assert t.read().count() == 9 and len(t.vacuum(1)) == 2 and t.read().count() == 9
+
+
+def test_writers_race_and_die(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = SharedFolder(spark, f"file://{tmp_path}/m")
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda i: files.create_once("done/x", {"token": i}), range(32))) == 1
+    hadoop = SharedFolder(spark, f"file://{tmp_path}/m")
+    disk, hadoop._disk = hadoop._disk, None  # the way of other file systems
+    assert hadoop.create_once("done/y", {"token": 1}) and not hadoop.create_once("done/y", {"token": 2})
+    assert hadoop.load("done/y") == {"token": 1} and hadoop.names("done") == ["x", "y"] and hadoop.load("done/none") is None
+    assert files.load("done/y") == {"token": 1} and disk
+    # A writer that dies between writing and naming leaves the name free; a file without content is no marker.
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/l", 10, lambda: 0.0)
+    book.add("a")
+    (tmp_path / "l" / "done").mkdir()
+    (tmp_path / "l" / "done" / ".half").write_text("")
+    (tmp_path / "l" / "done" / "b").write_text("")
+    assert book.state("a") == "pending" and book.done_paths() == []
+    book.process(book.lease("a"), spark.range(2))
+    assert spark.read.parquet(*book.done_paths()).count() == 2
 
 
 def test_ingest_stream(spark, tmp_path):

@@ -1,6 +1,5 @@
 """Queries over small tables on which a capped or sampled job gives other rows than the whole one."""
 
-from datetime import datetime
 from itertools import product
 
 import __spark_entry__ as entry
@@ -104,11 +103,13 @@ def test_delimiters_are_those_of_the_row_s_source(spark):
 
 def test_doubtful_zones_are_told(spark):
     sources = spark.createDataFrame([("a", None), ("b", "UTC")], "source_name string, local_zone string")
-    seen = lambda at: spark.createDataFrame([(1, "2024-01-01 12:00:00", at)], "k long, t string, seen timestamp_ntz")
-    feed = zones.Feed("f", "k", "t", "a", "seen")
-    with pytest.warns(UserWarning, match="a: the best of the declared zones, UTC, violates order 1 times in 1 rows"):
-        assert zones.TimeNormalizer(spark, sources).zone_of(seen(datetime(2024, 1, 1, 3)), feed) == "UTC"
+    rows = [(1, "2024-01-01 12:00:00"), (2, "2024-01-01T03:00:00Z"), (3, "2024-01-01T07:00:00Z")]
+    doubt = spark.createDataFrame([(*r, "e") for r in rows], "k long, t string, e string").unionByName(spark.createDataFrame([(4, "2024-01-01 20:00:00", "e")], "k long, t string, e string"))
+    normalizer = zones.TimeNormalizer(spark, sources)
+    feed = zones.Feed("f", "k", "t", "a", entity=F.col("e"))
+    with pytest.warns(UserWarning, match="a: the estimated zone .* violates order 1 times in 2 rows"):
+        assert normalizer.normalize([(doubt, feed)]).count() == 4
+    lone = [(doubt.filter("k = 1"), feed)]
     with pytest.warns(UserWarning, match="a: no zone"):
-        assert zones.TimeNormalizer(spark, sources).zone_of(seen(None), feed) is None
-    with pytest.warns(UserWarning, match="a: no zone"):
-        assert zones.TimeNormalizer(spark, sources.filter("source_name = 'a'")).zone_of(seen(datetime(2024, 1, 1, 3)), feed) is None
+        assert normalizer.normalize(lone).count() == 0
+    assert [tuple(r) for r in normalizer.unplaced(lone).collect()] == [("f", 1, "2024-01-01 12:00:00")]  # told, not lost
