@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advisorium.functions.text import as_column, trimmed
-from advisorium.session import bounded_rows
+from advisorium.functions.times import let
+from advisorium.session import bounded_rows, small_enough
 
-#: Sources are a dimension.
-MAX_SOURCES = 1_000
+#: Up to so many sources are looked up by a broadcast; sets of delimiters that sources accept are few.
+MAX_SOURCES = 100_000
+MAX_SETS = 200
 #: With so many rows the evidence weighs as much as what is expected of a delimiter.
 PRIOR_ROWS = 20
 # Candidate delimiters by name; the last five are not expected to separate.
@@ -64,41 +66,40 @@ def delimiter_scores(df: DataFrame, columns: dict[str, PieceType], source: Colum
 
     ``n`` counts the rows in which the candidate separates at least two pieces outside quotes; the score is the
     mean share of regular pieces there times the share of rows in which all pieces are regular. One pass with
-    partial aggregation. Quoted stretches count as one regular piece each.
+    partial aggregation: a text is cut by the candidates alone that it holds, and each yields one measurement, so
+    that what is aggregated are sums. Quoted stretches count as one regular piece each.
     """
     own = source if source is not None else F.lit("all")
-    measures = []
+    rows = None
     for field, kind in columns.items():
-        masked = F.regexp_replace(as_column(field), QUOTED, "\"\"")
+        masked = let(df.select(own.cast("string").alias("source"), as_column(field).alias("__f")).filter("__f is not null"), __m=F.regexp_replace("__f", QUOTED, "\"\""))
+        measured = []
         for name, delimiter in CANDIDATES.items():
             cut = rf"{delimiter}(?=[\"']?{kind.starts})" if kind.starts else delimiter
-            parts = F.filter(F.transform(F.split(masked, cut), lambda p: F.regexp_replace(p, r"^[\s,;|\[\]]++|[\s,;|\[\]]++$", "")), lambda p: p != "")
-            good = F.size(F.filter(parts, _is_regular(kind)))
-            found = F.size(parts) >= 2
-            share = good / F.size(parts)
-            measures.append(
-                F.struct(
-                    F.lit(field).alias("field"), F.lit(name).alias("delimiter"),
-                    F.count(F.when(found, 1)).alias("n"),
-                    (F.avg(F.when(found, share)) * F.avg(F.when(found, (share == 1).cast("double")))).alias("score"),
-                )
-            )
-    held = df.select(own.alias("source"), *columns)
-    wide = held.groupBy("source").agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)])
-    return wide.select("source", F.inline(F.array(*[F.col(f"m{i}") for i in range(len(measures))]))).filter("n > 0").select("field", "source", "delimiter", "n", "score")
-
-
-def accepted_delimiters(scores: DataFrame, fields: list[str], least: float = 0.5) -> dict[str | None, dict[str, list[str]]]:
-    """By source and field the delimiters whose score there reaches ``least``.
-
-    Scores are drawn towards what is expected, by the weight of ``PRIOR_ROWS`` rows, so that a small source is split
-    by the usual delimiters and a large one by what its rows say. One row per source, field and candidate is collected.
+            parts = F.filter(F.transform(F.split("__m", cut), lambda p: F.regexp_replace(p, r"^[\s,;|\[\]]++|[\s,;|\[\]]++$", "")), lambda p: p != "")
+            good = F.transform(parts, lambda p: F.when(_is_regular(kind)(p), 1).otherwise(0))  # noqa: B023
+            measured.append(F.when(F.col("__m").rlike(cut), F.struct(F.lit(name).alias("delimiter"), good.alias("good"))))
+        each = masked.select("source", F.explode(F.filter(F.array(*measured), lambda m: m.isNotNull())).alias("m")).select("source", "m.delimiter", F.col("m.good").alias("good")).filter(F.size("good") >= 2)
+        summed = each.select("source", F.lit(field).alias("field"), "delimiter", (F.aggregate("good", F.lit(0), lambda a, x: a + x) / F.size("good")).alias("share"))
+        rows = summed if rows is None else rows.unionByName(summed)
+    return rows.groupBy("field", "source", "delimiter").agg(F.count("*").alias("n"), (F.avg("share") * F.avg((F.col("share") == 1).cast("double"))).alias("score"))
+
+
+def accepted_delimiters(scores: DataFrame, fields: list[str], least: float = 0.5) -> DataFrame:
+    """By source the delimiters of each field whose score there reaches ``least``: source, and an array of names per field.
+
+    Scores are drawn towards what is expected of a delimiter, by the weight of ``PRIOR_ROWS`` rows, so that a small
+    source is split by the usual delimiters and a large one by what its own rows say. Null is a source of its own.
     """
     expected = F.when(F.col("delimiter").isin(*UNEXPECTED), 0.0).otherwise(1.0)
     drawn = (F.col("score") * F.col("n") + expected * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
-    rows = bounded_rows(scores.select("source", "field", "delimiter", drawn.alias("score")), MAX_SOURCES * len(fields) * len(CANDIDATES), "scores of delimiters")
-    best = {(r.source, r.field, r.delimiter): r.score for r in rows}
-    return {s: {f: [d for d in CANDIDATES if best.get((s, f, d), 0.0 if d in UNEXPECTED else 1.0) >= least] for f in fields} for s in {r.source for r in rows}}
+    told = scores.select("source", "field", "delimiter", (drawn >= least).alias("good"))
+    of = lambda f, good: F.collect_set(F.when((F.col("field") == f) & (F.col("good") == good), F.col("delimiter"))).alias(f"{f}_{good}")  # noqa: E731  at most one per candidate
+    per_source = told.groupBy("source").agg(*[of(f, good) for f in fields for good in (True, False)])
+    usual = F.array(*[F.lit(d) for d in CANDIDATES if d not in UNEXPECTED])
+    every = F.array(*[F.lit(d) for d in CANDIDATES])
+    kept = lambda f: F.array_intersect(every, F.array_union(F.array_except(usual, f"{f}_False"), f"{f}_True"))
+    return per_source.select("source", *[kept(f).alias(f) for f in fields])
 
 
 def _unquoted(piece: Column) -> Column:
@@ -134,31 +135,38 @@ def split_packed(text: Column | str, kind: PieceType, delimiters: list[str]) ->
     return F.coalesce(keep, F.array().cast("array<string>"))
 
 
-def split_by_source(field: str, kind: PieceType, delimiters: dict[str | None, dict[str, list[str]]], source: Column) -> Column:
-    """``split_packed`` by what each row's source accepts; a source that nothing is known of has the usual delimiters."""
-    usual = [d for d in CANDIDATES if d not in UNEXPECTED]
-    alike: dict[tuple[str, ...], list[str | None]] = {}
-    for name, by_field in delimiters.items():
-        alike.setdefault(tuple(by_field[field]), []).append(name)
-    out = split_packed(field, kind, usual)
-    for accepted, names in alike.items():
-        if list(accepted) != usual:
-            own = source.isin(*[n for n in names if n is not None])
-            out = F.when(own | source.isNull() if None in names else own, split_packed(field, kind, list(accepted))).otherwise(out)
-    return out
-
+def unpack(df: DataFrame, key: str, columns: dict[str, PieceType], source: Column | None = None) -> DataFrame:
+    """Infer the delimiters of each field and source over the whole table, then split and explode with position: key,
+    field_name, pos from 1, piece. Rows without a value give none.
 
-def explode_packed(df: DataFrame, key: str, columns: dict[str, PieceType], delimiters: dict[str | None, dict[str, list[str]]], source: Column | None = None) -> DataFrame:
-    """One row per value: key, field_name, pos from 1, piece. Rows without a value give none."""
-    own = source if source is not None else F.lit("all")
-    fields = [F.struct(F.lit(f).alias("field_name"), split_by_source(f, kind, delimiters, own).alias("pieces")) for f, kind in columns.items()]
+    Sources that accept the same delimiters are split by the same expression; which one a row takes is looked up by
+    its source, in a table that is broadcast where its checked size allows it and joined otherwise. A source of which
+    nothing is known has the usual delimiters.
+    """
+    fields = list(columns)
+    own = (source if source is not None else F.lit("all")).cast("string")
+    told = accepted_delimiters(delimiter_scores(df, columns, own), fields)
+    sets = bounded_rows(told.select(*fields).distinct(), MAX_SETS, "sets of accepted delimiters")
+    usual = {f: [d for d in CANDIDATES if d not in UNEXPECTED] for f in fields}
+    alike = [usual, *[{f: list(r[f]) for f in fields} for r in sets if any(list(r[f]) != usual[f] for f in fields)]]
+    held = df.select(F.col(key).cast("bigint").alias(key), *columns, own.alias("__source"))
+    if len(alike) == 1:
+        chosen = held.withColumn("__set", F.lit(0))
+    else:
+        number = F.coalesce(*[F.when(F.concat(*[F.concat_ws(",", f) for f in fields]) == F.lit("".join(",".join(a[f]) for f in fields)), i) for i, a in enumerate(alike)], F.lit(0))
+        odd = told.select(F.col("source").alias("__source"), number.alias("__set")).filter("__set != 0")
+        chosen = held.join(F.broadcast(odd) if small_enough(odd, MAX_SOURCES) else odd, held["__source"].eqNullSafe(odd["__source"]), "left").select(*[held[c] for c in held.columns], F.coalesce("__set", F.lit(0)).alias("__set"))
+
+    def pieces(f: str, kind: PieceType) -> Column:
+        out = split_packed(f, kind, alike[0][f])
+        for i, a in enumerate(alike[1:], 1):
+            if a[f] != alike[0][f]:
+                out = F.when(F.col("__set") == i, split_packed(f, kind, a[f])).otherwise(out)
+        return out
+
+    split = [F.struct(F.lit(f).alias("field_name"), pieces(f, kind).alias("pieces")) for f, kind in columns.items()]
     return (
-        df.select(F.col(key).cast("bigint").alias(key), F.inline(F.array(*fields)))
+        chosen.select(key, F.inline(F.array(*split)))
         .select(key, "field_name", F.posexplode("pieces").alias("at", "piece"))
         .select(key, "field_name", (F.col("at") + 1).cast("bigint").alias("pos"), "piece")
     )
-
-
-def unpack(df: DataFrame, key: str, columns: dict[str, PieceType], source: Column | None = None) -> DataFrame:
-    """Infer the delimiters of each field and source over the whole table, then split and explode with position."""
-    return explode_packed(df, key, columns, accepted_delimiters(delimiter_scores(df, columns, source), list(columns)), source)

@@ -71,15 +71,20 @@ def p1_withheld(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("table_name").agg(F.count("*").alias("n_read"), F.count(F.when(F.col("true_us") == F.col("epoch_us"), 1)).alias("n_same"))
 
 
+def _packer() -> Column:
+    """Who packed an item's lists: EUVD takes them over from the item's assigner."""
+    return folded("assigner")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every alias and reference of the EUVD items as its own row with its position."""
-    return packed.unpack(table(spark, d, "euvd_items", ["item_no", *PACKED]), "item_no", PACKED)
+    return packed.unpack(table(spark, d, "euvd_items", ["item_no", "assigner", *PACKED]), "item_no", PACKED, _packer())
 
 
 def p2_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    """Score of every candidate delimiter by field."""
-    scores = packed.delimiter_scores(table(spark, d, "euvd_items", list(PACKED)), PACKED)
-    return scores.select("field", "delimiter", "n", F.round("score", 6).alias("score"))
+    """Score of every candidate delimiter by field and assigner."""
+    scores = packed.delimiter_scores(table(spark, d, "euvd_items", ["assigner", *PACKED]), PACKED, _packer())
+    return scores.select("field", "source", "delimiter", "n", F.round("score", 6).alias("score"))
 
 
 def snapshot_spec() -> history.SnapshotSpec:
@@ -156,30 +161,43 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return catalogue_changes(spark, d).select("from_delivery", "to_delivery", "cve_id", "change_kind")
 
 
+def p5_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that came and went, whatever their values."""
+    return p5_found(spark, d).filter("change_kind != 'changed'")
+
+
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
     """The same with the values before and after."""
     side = lambda s: [F.date_format(f"{s}.day", "yyyy-MM-dd").alias(f"{s}_day"), F.col(f"{s}.ransomware").alias(f"{s}_ransomware")]
     return catalogue_changes(spark, d).select("to_delivery", "cve_id", "change_kind", *side("old"), *side("new"))
 
 
-def change_items(spark: SparkSession, d: str) -> DataFrame:
-    """Records of the two sources as work items: source_name, entity, row_no, landed_at, time_us."""
+def nvd_items(spark: SparkSession, d: str) -> DataFrame:
+    """NVD records as work items: source_name, entity, row_no, landed_at, time_us."""
     normalizer = zones.TimeNormalizer(spark, table(spark, d, "sources"))
     nvd = table(spark, d, "nvd_cve")
     nvd_zone = normalizer.declared.get("nvd") or normalizer.zone_of("nvd", normalizer.estimate([(nvd, NVD_MODIFIED)]))
     nvd = nvd.select("row_no", "cve_id", "last_modified", "landed_at")
     nvd = add_instant(read_times(nvd, "last_modified", normalizer.zones), "time_us", nvd_zone)
+    return nvd.select(F.lit("nvd").alias("source_name"), identifier("cve_id").alias("entity"), "row_no", "landed_at", "time_us")
+
+
+def republished_items(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the corpus as work items, their times where they are believed."""
     vulns = table(spark, d, "vulnerabilities", ["record_no", "id", "modified", "updated_at"])
     believed = F.when(~F.coalesce(F.col("modified") > F.col("updated_at"), F.lit(False)), us_of_ntz(F.col("modified")))
-    return nvd.select(F.lit("nvd").alias("source_name"), identifier("cve_id").alias("entity"), "row_no", "landed_at", "time_us").unionByName(
-        vulns.select(F.lit("republish").alias("source_name"), identifier("id").alias("entity"), F.col("record_no").alias("row_no"), F.col("updated_at").alias("landed_at"), believed.alias("time_us"))
-    )
+    return vulns.select(F.lit("republish").alias("source_name"), identifier("id").alias("entity"), F.col("record_no").alias("row_no"), F.col("updated_at").alias("landed_at"), believed.alias("time_us"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Each new or changed record with the one successful run that takes it up."""
-    taken = ledger.replay(change_items(spark, d), table(spark, d, "source_runs"), Workspace(spark, "runs").folder)
-    return ledger.new_or_changed(taken)
+    items = nvd_items(spark, d).unionByName(republished_items(spark, d))
+    return ledger.new_or_changed(ledger.replay(items, table(spark, d, "source_runs"), Workspace(spark, "runs").folder))
+
+
+def p7_republish(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the corpus' own records alone."""
+    return ledger.new_or_changed(ledger.replay(republished_items(spark, d), table(spark, d, "source_runs"), Workspace(spark, "runs").folder))
 
 
 def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -191,5 +209,5 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_unplaced": p1_unplaced, "p1_withheld": p1_withheld, "p1_zone_evidence": p1_zone_evidence, "p2_found": p2_found, "p2_delimiters": p2_delimiters,
-    "p4_found": p4_found, "p4_open_versions": p4_open_versions, "p5_found": p5_found, "p5_values": p5_values, "p7_found": p7_found, "p7_ledger": p7_ledger,
+    "p4_found": p4_found, "p4_open_versions": p4_open_versions, "p5_found": p5_found, "p5_values": p5_values, "p5_moves": p5_moves, "p7_republish": p7_republish, "p7_found": p7_found, "p7_ledger": p7_ledger,
 }

@@ -17,6 +17,20 @@ def sql_id(c: str) -> str:
         WHEN regexp_full_match({t}, '(?i)GHSA-[a-z0-9]{{4}}-[a-z0-9]{{4}}-[a-z0-9]{{4}}') THEN 'GHSA-' || lower(substr({t}, 6)) ELSE {t} END"""
 
 
+def sql_form(c: str) -> str:
+    """The spelling of an identifier, stand-ins included."""
+    t = sql_trim(c)
+    return rf"""CASE WHEN regexp_full_match({t}, '(?i)(CVE-\d{{4}}-\d{{4,}}|EUVD-\d{{4}}-\d+|GCVE-\d+-\d{{4}}-\d+)') THEN upper({t})
+        WHEN regexp_full_match({t}, '(?i)GHSA-[a-z0-9]{{4}}-[a-z0-9]{{4}}-[a-z0-9]{{4}}') THEN 'GHSA-' || lower(substr({t}, 6)) ELSE {t} END"""
+
+
+_SPELLED = r"^\D*(\d{4})(?:\D+(\d{1,2})\D+(\d{1,2})|(\d{2})(\d{2}))\D*$"
+_VERSIONS = rf"""c AS (SELECT delivery_no, fetched_at, regexp_extract(catalog_version, '{_SPELLED}', ['y', 'm', 'd', 'n', 'e']) AS p FROM kev_catalogs
+  WHERE lower({sql_trim("fetch_status")}) = 'complete' AND regexp_matches(catalog_version, '{_SPELLED}')),
+v AS (SELECT CAST(p.y AS INTEGER) * 10000 + CAST(p.m || p.n AS INTEGER) * 100 + CAST(p.d || p.e AS INTEGER) AS version, arg_max(delivery_no, struct_pack(f := fetched_at, n := delivery_no)) AS delivery_no FROM c GROUP BY 1),
+steps AS (SELECT lag(delivery_no) OVER (ORDER BY version) AS from_delivery, delivery_no AS to_delivery FROM v),
+held AS (SELECT DISTINCT delivery_no, {sql_id("cve_id")} AS cve_id FROM kev_entries WHERE {sql_id("cve_id")} IS NOT NULL)"""
+
 _CHAINS = f"""
 WITH stand AS (
   SELECT {sql_id("vuln_id")} AS vuln_id, snapshot_at AS snap, round(epss_score, 5) AS e, in_kev AS k, round(primary_score, 1) AS s,
@@ -34,6 +48,18 @@ chains AS (
 """
 
 ORACLES: dict[str, str] = {
+    "p5_moves": f"""WITH {_VERSIONS}
+SELECT from_delivery, to_delivery, h.cve_id, 'added' AS change_kind FROM steps JOIN held h ON h.delivery_no = to_delivery
+  WHERE from_delivery IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held o WHERE o.delivery_no = from_delivery AND o.cve_id = h.cve_id)
+UNION ALL SELECT from_delivery, to_delivery, h.cve_id, 'removed' FROM steps JOIN held h ON h.delivery_no = from_delivery
+  WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.delivery_no = to_delivery AND o.cve_id = h.cve_id)""",
+    "p7_republish": f"""WITH ok AS (SELECT run_no, min(started_at) AS started FROM source_runs WHERE source_name = 'republish' AND run_no IS NOT NULL AND started_at IS NOT NULL
+    GROUP BY 1 HAVING bool_or(finished_at IS NOT NULL AND error_text IS NULL)),
+  item AS (SELECT record_no, {sql_id("id")} AS id, modified AS at_, updated_at AS landed FROM vulnerabilities WHERE {sql_id("id")} IS NOT NULL AND modified <= updated_at),
+  went AS (SELECT i.*, r.run_no, r.started FROM item i ASOF JOIN ok r ON i.landed <= r.started),
+  top AS (SELECT id, run_no, started, max(at_) AS at_, arg_min(record_no, struct_pack(t := -epoch_us(at_), n := record_no)) AS row_no FROM went GROUP BY ALL),
+  seen AS (SELECT *, max(at_) OVER (PARTITION BY id ORDER BY started, run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM top)
+SELECT 'republish' AS source_name, run_no, row_no FROM seen WHERE before IS NULL OR at_ > before""",
     "p4_found": _CHAINS
     + """SELECT vuln_id, valid_from, coalesce(strftime((SELECT c.next_at FROM calendar c WHERE c.seq = last_seq), '%Y-%m-%d %H:%M:%S'), '9999-12-31 00:00:00') AS valid_to FROM chains""",
     "p4_open_versions": _CHAINS
