@@ -16,8 +16,8 @@ from advisorium.session import ship_package
 
 MAX_LEVELS = 3
 MEMBER_BYTES, NESTED_BYTES = 64 * 1024 * 1024, 2 * 1024 * 1024 * 1024
-# How far each source's window reaches back before its cursor.
-OVERLAP = {"osv": "INTERVAL 6 HOURS", "nvd": "INTERVAL 1 HOUR", "euvd": "INTERVAL 48 HOURS"}
+# How far each source's window reaches back before its cursor, in hours.
+OVERLAP_HOURS = {"osv": 6.0, "nvd": 1.0, "euvd": 48.0}
 
 
 def zip_members(raw: bytes, accept: str, label: str = "", level: int = 0) -> Iterator[tuple[str, str | None, str | None]]:

@@ -8,7 +8,7 @@ import re
 from advisorium.functions.packages import parse_purl
 from advisorium.functions.severity import STATUS_WORDS
 
-_STATUS = {w: s for s, words in STATUS_WORDS.items() for w in words.split()}
+_STATUS = {w: s for s, words in STATUS_WORDS.items() for w in words}
 STATUS_ORDER = ("affected", "not_affected", "fixed", "under_investigation", "conditional")
 NEVRA = re.compile(r"^(?P<name>.+?)-(?:(?P<epoch>\d+):)?(?P<version>[^-:]+)-(?P<release>[^-]+)\.(?:x86_64|i[3-6]86|aarch64|ppc64le|s390x|noarch|src|armv7hl)$")
 MAX_DEPTH = 64
