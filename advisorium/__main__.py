@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("inventories")
     a.add_argument("statements")
     a.add_argument("--minimum", default="possible", choices=["possible", "probable", "confirmed"])
+    a.add_argument("--json", action="store_true", help="report as JSON")
     a = sub.add_parser("export", help="write the corpus as csv or ndjson")
     a.add_argument("corpus")
     a.add_argument("out")
@@ -79,10 +80,11 @@ def main(argv: list[str] | None = None) -> int:
         found = inventory.read_inventories(spark.read.format("binaryFile").load(args.inventories)).filter("refused is null")
         comps = scan.dedupe_components(found.withColumn("comp_id", F.xxhash64("path", "comp_no")))
         said = spark.read.parquet(args.statements)
-        verdicts = scan.judge(scan.candidates(comps, said)[0], comps, said)
+        verdicts = scan.judge(scan.all_candidates(comps, said), comps, said)
         reduced = scan.reduce_verdicts(verdicts, args.minimum).cache()
         named = reduced.filter("outcome = 'finding'").join(comps.select("comp_id", "name"), "comp_id").orderBy("vuln_id", "name")
-        print(exports.scan_report(named))
+        for piece in exports.report_json(named) if args.json else exports.report_lines(named):
+            print(piece)
         return exports.scan_status(reduced)
     elif args.command == "export":
         from advisorium.sinks import exports

@@ -14,25 +14,69 @@ from advisorium.functions.text import as_column
 
 # Ecosystem families with their spellings, and what each is called in advisories.
 FAMILIES = {
-    "npm": "npm, node", "pypi": "pypi", "maven": "maven, maven.org", "go": "go, golang", "cargo": "cargo, crates.io, crates",
-    "rubygems": "gem, rubygems", "nuget": "nuget", "packagist": "composer, packagist", "hex": "hex", "pub": "pub", "cran": "cran",
-    "hackage": "hackage", "swifturl": "swift, swifturl", "opam": "opam", "julia": "julia", "github actions": "githubactions, github actions, github",
-    "bitnami": "bitnami", "debian": "debian, raspbian", "ubuntu": "ubuntu, linuxmint, linux mint", "redhat": "red hat, redhat, rhel",
-    "fedora": "fedora", "centos": "centos", "rocky": "rocky linux, rocky", "almalinux": "almalinux, alma", "suse": "suse, sles",
-    "opensuse": "opensuse, opensuse-leap, opensuse leap, opensuse tumbleweed", "azurelinux": "azure linux, azurelinux, mariner, cbl-mariner",
-    "openeuler": "openeuler", "mageia": "mageia", "photon": "photon os, photon", "alpine": "alpine", "wolfi": "wolfi",
-    "chainguard": "chainguard", "minimos": "minimos", "alpaquita": "alpaquita", "echo": "echo", "root": "root", "cleanstart": "cleanstart",
-    "bellsoft": "bellsoft hardened containers", "linux": "linux", "oss-fuzz": "oss-fuzz", "android": "android", "gsd": "gsd", "uvi": "uvi", "vscode": "vscode",
+    "npm": ("npm", "node"),
+    "pypi": ("pypi",),
+    "maven": ("maven", "maven.org"),
+    "go": ("go", "golang"),
+    "cargo": ("cargo", "crates.io", "crates"),
+    "rubygems": ("gem", "rubygems"),
+    "nuget": ("nuget",),
+    "packagist": ("composer", "packagist"),
+    "hex": ("hex",),
+    "pub": ("pub",),
+    "cran": ("cran",),
+    "hackage": ("hackage",),
+    "swifturl": ("swift", "swifturl"),
+    "opam": ("opam",),
+    "julia": ("julia",),
+    "github actions": ("githubactions", "github actions", "github"),
+    "bitnami": ("bitnami",),
+    "debian": ("debian", "raspbian"),
+    "ubuntu": ("ubuntu", "linuxmint", "linux mint"),
+    "redhat": ("red hat", "redhat", "rhel"),
+    "fedora": ("fedora",),
+    "centos": ("centos",),
+    "rocky": ("rocky linux", "rocky"),
+    "almalinux": ("almalinux", "alma"),
+    "suse": ("suse", "sles"),
+    "opensuse": ("opensuse", "opensuse-leap", "opensuse leap", "opensuse tumbleweed"),
+    "azurelinux": ("azure linux", "azurelinux", "mariner", "cbl-mariner"),
+    "openeuler": ("openeuler",),
+    "mageia": ("mageia",),
+    "photon": ("photon os", "photon"),
+    "alpine": ("alpine",),
+    "wolfi": ("wolfi",),
+    "chainguard": ("chainguard",),
+    "minimos": ("minimos",),
+    "alpaquita": ("alpaquita",),
+    "echo": ("echo",),
+    "root": ("root",),
+    "cleanstart": ("cleanstart",),
+    "bellsoft": ("bellsoft hardened containers",),
+    "linux": ("linux",),
+    "oss-fuzz": ("oss-fuzz",),
+    "android": ("android",),
+    "gsd": ("gsd",),
+    "uvi": ("uvi",),
+    "vscode": ("vscode",),
 }
-DISTROS = frozenset(
-    "debian ubuntu redhat fedora centos rocky almalinux suse opensuse azurelinux openeuler mageia photon alpine wolfi chainguard minimos alpaquita echo root cleanstart bellsoft".split()
-)
-LANGUAGES = frozenset(["npm", "pypi", "maven", "go", "cargo", "rubygems", "nuget", "packagist", "hex", "pub", "cran", "hackage", "swifturl", "opam", "julia", "github actions"])
+# Families that are distributions, and those of programming languages.
+DISTROS = frozenset({
+    "debian", "ubuntu", "redhat", "fedora", "centos", "rocky", "almalinux", "suse", "opensuse", "azurelinux", "openeuler", "mageia",
+    "photon", "alpine", "wolfi", "chainguard", "minimos", "alpaquita", "echo", "root", "cleanstart", "bellsoft",
+})
+LANGUAGES = frozenset({"npm", "pypi", "maven", "go", "cargo", "rubygems", "nuget", "packagist", "hex", "pub", "cran", "hackage", "swifturl", "opam", "julia", "github actions"})
 #: Families whose package names ignore letter case.
 CASELESS = DISTROS | {"npm", "packagist", "hex", "pub", "opam", "nuget", "github actions", "bitnami"}
-CASELESS_TYPES = frozenset("npm composer hex pub opam githubactions nuget deb rpm apk alpm generic docker oci conan bitnami".split())
-CORPORATE = "inc corp corporation ltd llc gmbh ag sa bv co company foundation project".split()
-FAMILY_OF = {s: f for f, spellings in FAMILIES.items() for s in spellings.split(", ")}
+# Types of package URLs whose names ignore letter case, and legal forms at the end of company names.
+CASELESS_TYPES = frozenset({
+    "npm", "composer", "hex", "pub", "opam", "githubactions", "nuget", "deb", "rpm", "apk", "alpm", "generic", "docker", "oci", "conan",
+    "bitnami",
+})
+CORPORATE = (
+    "inc", "corp", "corporation", "ltd", "llc", "gmbh", "ag", "sa", "bv", "co", "company", "foundation", "project",
+)
+FAMILY_OF = {s: f for f, spellings in FAMILIES.items() for s in spellings}
 
 
 def purl_key(c: Column | str) -> Column:

@@ -15,11 +15,11 @@ V3_CIA = {"H": 0.56, "L": 0.22, "N": 0.0}
 V2 = {"AV": {"L": 0.395, "A": 0.646, "N": 1.0}, "AC": {"H": 0.35, "M": 0.61, "L": 0.71}, "AU": {"M": 0.45, "S": 0.56, "N": 0.704}}
 V2_CIA = {"N": 0.0, "P": 0.275, "C": 0.660}
 STATUS_WORDS = {
-    "affected": "affected known_affected vulnerable",
-    "not_affected": "not_affected unaffected known_not_affected not_vulnerable",
-    "fixed": "fixed first_fixed patched resolved",
-    "under_investigation": "under_investigation investigating unknown",
-    "conditional": "conditional",
+    "affected": ("affected", "known_affected", "vulnerable"),
+    "not_affected": ("not_affected", "unaffected", "known_not_affected", "not_vulnerable"),
+    "fixed": ("fixed", "first_fixed", "patched", "resolved"),
+    "under_investigation": ("under_investigation", "investigating", "unknown"),
+    "conditional": ("conditional",),
 }
 TYPE_RANKS = ("CVSS_V4_0", "CVSS_V3_1", "CVSS_V3_0", "CVSS_V2", "OTHER")
 SOURCE_RANKS = ("cvelist", "vulnrichment", "nvd", "fkie", "csaf", "euvd", "gcve", "ghsa", "osv")
@@ -35,7 +35,7 @@ def _pick(value: Column, words: dict) -> Column:
 def status_word(c: Column | str) -> Column:
     """One of the five statuses; the empty text for an unknown word and null."""
     t = F.lower(F.trim(F.replace(as_column(c), F.lit(" "), F.lit("_"))))
-    return F.coalesce(_pick(t, {w: s for s, words in STATUS_WORDS.items() for w in words.split()}), F.lit(""))
+    return F.coalesce(_pick(t, {w: s for s, words in STATUS_WORDS.items() for w in words}), F.lit(""))
 
 
 def rating(score: Column | str, v2: bool = False) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from advisorium.sources.versioned import VersionedTable
+
 
 def first_row(df: DataFrame, by: list[str], *order) -> DataFrame:
     """Of each group the row that comes first in the given order, which should end in a unique column."""
@@ -68,6 +70,20 @@ def vendor_rank(statements: DataFrame) -> DataFrame:
     return named.groupBy("product", "vendor").agg(F.count_distinct("vuln_id").alias("n"))
 
 
+class VendorRankTable:
+    """The rank as a stored table by product, rebuilt after an ingest and swapped in; lookups read it and count nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.table = VersionedTable(spark, folder)
+
+    def refresh(self, statements: DataFrame) -> DataFrame:
+        """Rebuild the rank; readers see the old one until the new one is whole, and of two rebuilds one is refused."""
+        return self.table.replace(vendor_rank(statements).sortWithinPartitions("product"))
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+
 def top_vendors(rank: DataFrame, k: int = 5) -> DataFrame:
     """The vendors with most flaws per product, ties by name."""
     w = Window.partitionBy("product").orderBy(F.desc("n"), "vendor")

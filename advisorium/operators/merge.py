@@ -1,7 +1,7 @@
 """Records of many sources merged into documents in order of arrival, with identity by shared names.
 
-Gap filling depends on arrival, so the fold runs over each document's records in sequence. Records of a document are
-few; everything that can shrink before (the version guard, names) does so by aggregation.
+Gap filling depends on arrival; what it depends on is reduced to one first arrival per document and rank, so documents
+are folded by aggregation.
 """
 
 from __future__ import annotations
@@ -38,43 +38,64 @@ def last_contributions(records: DataFrame) -> DataFrame:
     return fresh.join(last, ["source", "record_id", "seq"], "left_semi")
 
 
-def folded_documents(records: DataFrame, key: str) -> DataFrame:
-    """One document per ``key`` from records in arrival order (seq).
+def folded_documents(records: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """One document per ``key`` from records in arrival order (seq, or ``order``).
 
     Scalars: a non-empty incoming value counts where the document has none or the record's source is at least as
     trusted as the best source so far; ties go to the later. published is the earliest, modified the latest, sets
     are united. Stale records add names only. A record's withdrawal counts until the same record returns without
     it; another record sets it where none is, or with at least the authority of the owner.
+
+    A record may speak until the first one of a better rank arrives, so what is needed of the order is one first
+    arrival per document and rank; with those at hand every field is an aggregate with partial results, and no
+    document's records are ever held together. Only those of records that withdraw are replayed in sequence. Beside
+    the fields come ``best`` (rank of the best source), and ``owner`` and ``owner_rank`` of the withdrawal; records
+    that stand for documents may bring such columns, null elsewhere.
     """
+    given = records.columns
+    me = F.concat_ws("\x1f", "source", "record_id")
     rank = source_rank(F.col("source"))
-    parts = [F.col(c) for c in ("seq", "stale", "source", "record_id", "published", "modified", "withdrawn", *SCALARS)]
-    row = F.struct(F.col("seq"), rank.alias("rank"), *parts[1:])
-    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.lit(s in ("aliases", "related")) | ~F.col("stale"), F.coalesce(s, F.array().cast("array<string>"))))))).alias(s) for s in SETS]
-    live = F.when(~F.col("stale"), F.lit(True))
-    grouped = records.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("stale"), row))).alias("rows"), *sets,
-        F.min(F.when(live, F.col("published"))).alias("published"), F.max(F.when(live, F.col("modified"))).alias("modified"),
-    )
-    empty = F.struct(
-        F.lit(1_000).alias("best"), F.lit("").alias("source"), *[F.lit("").alias(s) for s in SCALARS],
-        F.lit(None).cast(records.schema["withdrawn"].dataType).alias("withdrawn"), F.lit("").alias("owner"), F.lit(1_000).alias("owner_rank"),
+    rows = records.withColumns({
+        "__o": order if order is not None else F.col("seq"), "__rank": F.coalesce("best", rank) if "best" in given else rank,
+        "__me": F.coalesce("owner", me) if "owner" in given else me, "__owner_rank": F.coalesce("owner_rank", rank) if "owner_rank" in given else rank,
+    })
+    live = rows.filter(~F.col("stale"))
+    firsts = live.groupBy(key, "__rank").agg(F.min("__o").alias("first"))
+    cuts = firsts.groupBy(key).agg(F.collect_list(F.struct(F.col("__rank").alias("rank"), "first")).alias("__firsts"))  # one per rank of a source
+    better = F.array_min(F.transform(F.filter("__firsts", lambda x: x["rank"] < F.col("__rank")), lambda x: x["first"]))
+    marked = rows.join(cuts, key, "left").withColumn("__strong", better.isNull() | (F.col("__o") < better))
+    when_live = lambda c: F.when(~F.col("stale"), c)
+
+    def scalar(s: str) -> Column:
+        said = ~F.col("stale") & (F.coalesce(F.trim(s), F.lit("")) != "")
+        last, first = F.max_by(s, F.when(said & F.col("__strong"), F.col("__o"))), F.min_by(s, F.when(said, F.col("__o")))
+        return F.coalesce(last, first).alias(s)
+
+    united = lambda s: F.coalesce(s, F.array().cast("array<string>"))
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(united(s) if s in ("aliases", "related") else when_live(united(s)))))).alias(s) for s in SETS]
+    out = marked.groupBy(key).agg(
+        *[scalar(s) for s in SCALARS], F.min_by("source", when_live(F.struct("__rank", "__o"))).alias("source"), F.coalesce(F.min(when_live(F.col("__rank"))), F.lit(1_000)).alias("best"),
+        F.min(when_live(F.col("published"))).alias("published"), F.max(when_live(F.col("modified"))).alias("modified"), *sets,
     )
+    return out.join(_withdrawals(live, key), key, "left").select(key, *SCALARS, "source", "published", "modified", "withdrawn", *SETS, "best", "owner", "owner_rank")
+
+
+def _withdrawals(live: DataFrame, key: str) -> DataFrame:
+    """The withdrawal of each document that ever had one: key, withdrawn, owner, owner_rank."""
+    setters = live.filter("withdrawn is not null").select(key, "__me").distinct()
+    row = F.struct(F.col("__o").alias("o"), F.col("__me").alias("me"), F.col("__owner_rank").alias("rank"), "withdrawn")
+    chains = live.join(setters, [key, "__me"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    empty = F.struct(F.lit(None).cast(live.schema["withdrawn"].dataType).alias("withdrawn"), F.lit("").alias("owner"), F.lit(1_000).alias("owner_rank"))
 
     def take(doc: Column, r: Column) -> Column:
-        strong = r["rank"] <= doc["best"]
-        scalar = lambda s: F.when((F.coalesce(F.trim(r[s]), F.lit("")) != "") & ((doc[s] == "") | strong), r[s]).otherwise(doc[s]).alias(s)
-        me = F.concat_ws("\x1f", r["source"], r["record_id"])
-        sets_it = r["withdrawn"].isNotNull() & (doc["withdrawn"].isNull() | (doc["owner"] == me) | (r["rank"] <= doc["owner_rank"]))
-        clears = r["withdrawn"].isNull() & (doc["owner"] == me)
+        sets_it = r["withdrawn"].isNotNull() & (doc["withdrawn"].isNull() | (doc["owner"] == r["me"]) | (r["rank"] <= doc["owner_rank"]))
+        clears = r["withdrawn"].isNull() & (doc["owner"] == r["me"])
         return F.struct(
-            F.least(doc["best"], r["rank"]).alias("best"), F.when(r["rank"] < doc["best"], r["source"]).otherwise(doc["source"]).alias("source"), *[scalar(s) for s in SCALARS],
             F.when(sets_it, r["withdrawn"]).when(clears, F.lit(None)).otherwise(doc["withdrawn"]).alias("withdrawn"),
-            F.when(sets_it, me).when(clears, "").otherwise(doc["owner"]).alias("owner"), F.when(sets_it, r["rank"]).when(clears, 1_000).otherwise(doc["owner_rank"]).alias("owner_rank"),
+            F.when(sets_it, r["me"]).when(clears, "").otherwise(doc["owner"]).alias("owner"), F.when(sets_it, r["rank"]).when(clears, 1_000).otherwise(doc["owner_rank"]).alias("owner_rank"),
         )
 
-    folded = grouped.withColumn("d", F.aggregate("rows", empty, take))
-    text = lambda c: F.when(F.col(f"d.{c}") != "", F.col(f"d.{c}")).alias(c)
-    return folded.select(key, *[text(s) for s in SCALARS], text("source"), "published", "modified", F.col("d.withdrawn").alias("withdrawn"), *SETS)
+    return chains.withColumn("d", F.aggregate("rows", empty, take)).select(key, "d.*").filter("withdrawn is not null")
 
 
 def merged_children(children: DataFrame, keys: list[str]) -> DataFrame:

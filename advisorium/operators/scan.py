@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from advisorium.functions.packages import folded_vendor, purl_key
 from advisorium.operators.matching import with_verdicts
 
-#: Statements looked up per key of a channel; how many there were is reported beside.
-PER_KEY = 2_000
+#: Parts that the statements of one key are ranked in before they are ranked together.
+SALTS = 32
 RANKS = {"confirmed": 3, "probable": 2, "possible": 1}
 
 
@@ -34,21 +34,28 @@ def _exploded(df: DataFrame, kept: list[str], channels: tuple[str, ...] = CHANNE
     return df.select(*kept, F.inline(pairs))
 
 
-def candidates(components: DataFrame, statements: DataFrame, per_key: int = PER_KEY) -> tuple[DataFrame, DataFrame]:
+def candidates(components: DataFrame, statements: DataFrame, per_key: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs comp_id, vuln_id, fingerprint; truncated comp_id, channel, n_statements).
 
-    Only keys that some component asks for are looked up, so a hot name that nobody has costs nothing; the first
-    ``per_key`` statements per key are ranked in part before the shuffle. A pair found by several channels counts
-    once. Null and blank fields give no key.
+    Only keys that some component asks for are looked up, so a hot name that nobody has costs nothing. With
+    ``per_key`` a key gives its first so many statements, and the second table tells which lookups were cut; without
+    it nothing is. The first statements of a key are found in two steps, per salt and then per key, so that no task
+    sorts all statements of a hot name. A pair found by several channels counts once. Null and blank fields give no key.
     """
     asked = _exploded(channel_keys(components, "name"), ["comp_id"])
     wanted = asked.select("channel", "key").distinct()
     offered = _exploded(channel_keys(statements, "product"), ["vuln_id", "fingerprint"]).join(wanted, ["channel", "key"], "left_semi")
-    w = Window.partitionBy("channel", "key").orderBy("vuln_id", "fingerprint")
-    first = offered.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= per_key).drop("at")
-    sizes = offered.groupBy("channel", "key").agg(F.count("*").alias("n_statements")).filter(F.col("n_statements") > per_key)
+    sizes = offered.groupBy("channel", "key").agg(F.count("*").alias("n_statements"))
+    first = offered
+    if per_key is not None:
+        first = offered.withColumn("salt", F.pmod(F.xxhash64("vuln_id", "fingerprint"), F.lit(SALTS)))
+        for by in (["channel", "key", "salt"], ["channel", "key"]):
+            w = Window.partitionBy(*by).orderBy("vuln_id", "fingerprint")
+            first = first.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= per_key).drop("at")
+        first = first.drop("salt")
+    cut = sizes.filter(F.col("n_statements") > per_key) if per_key is not None else sizes.limit(0)
     pairs = asked.join(first, ["channel", "key"]).select("comp_id", "vuln_id", "fingerprint").distinct()
-    return pairs, asked.join(sizes, ["channel", "key"]).select("comp_id", "channel", "n_statements").distinct()
+    return pairs, asked.join(cut, ["channel", "key"]).select("comp_id", "channel", "n_statements").distinct()
 
 
 def all_candidates(components: DataFrame, statements: DataFrame) -> DataFrame:
@@ -73,11 +80,9 @@ def all_candidates(components: DataFrame, statements: DataFrame) -> DataFrame:
 
 def judge(pairs: DataFrame, components: DataFrame, statements: DataFrame) -> DataFrame:
     """Verdicts of candidate pairs: comp_id, vuln_id, fingerprint and the verdict's columns."""
-    # Judging is heavy for its bytes: partitions of a fixed number, which adaptive execution does not merge.
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.struct(*[F.col(c).cast("string").alias(c) for c in ("name", "version", "vendor", "ecosystem", "purl", "cpe", "origin")]).alias("component")
     said = F.struct("vendor", "product", "ecosystem", "purl", "cpes", "versions", "ranges", "default_state", "status", "source").alias("statement")
-    asked = pairs.join(components.select("comp_id", own), "comp_id").repartition(n, "vuln_id", "fingerprint")
+    asked = pairs.join(components.select("comp_id", own), "comp_id").repartition("vuln_id", "fingerprint")
     both = asked.join(statements.select("vuln_id", "fingerprint", said), ["vuln_id", "fingerprint"])
     return with_verdicts(both.select("comp_id", "vuln_id", "fingerprint", "component", "statement"))
 

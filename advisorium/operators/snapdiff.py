@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from advisorium.sources.shared import Pointer, SharedFolder, StaleState
@@ -56,7 +57,7 @@ class SnapshotIndex:
     def __init__(self, spark: SparkSession, folder: str, key: str, values: list[str], order: str, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.key, self.values, self.order, self.buckets = spark, folder.rstrip("/"), key, values, order, buckets
         self.pointer, self.files = Pointer(spark, self.folder), SharedFolder(spark, self.folder)
-        self._schema: str | None = None
+        self._schema: StructType | None = None
 
     def land(self, rows: DataFrame) -> list[int]:
         """Store the snapshots of ``rows`` (seq, key, values, order); returns their numbers. Nothing counts yet."""
@@ -75,7 +76,7 @@ class SnapshotIndex:
         """What landed under a number: bucket, key, value_hash, v; empty for a snapshot without rows and for none."""
         at = f"snapshots/seq={seq}"
         if seq is None or not self.files.names(at):
-            return self.spark.createDataFrame([], self._schema).withColumn("bucket", F.lit(None).cast("int"))
+            return self.spark.createDataFrame([], StructType([StructField("bucket", IntegerType()), *self._schema.fields]))
         return self.spark.read.option("basePath", f"{self.folder}/{at}").parquet(f"{self.folder}/{at}")
 
     def _differences(self, last: int | None, seq: int) -> str:

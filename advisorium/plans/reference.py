@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql.window import Window
 from advisorium.functions import ids, packages, severity, text
 from advisorium.operators import enrich, listing, matching, merge, scan
 from advisorium.plans.problems import catalog_snapshots
-from advisorium.session import table
+from advisorium.session import Workspace, table
 from advisorium.sinks import exports
 from advisorium.sources import bundle, documents, inventory
 from advisorium.versions import frames
@@ -26,18 +25,16 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vulnerabilities", LIST_COLUMNS)
 
 
-def _product(plain: bool) -> Column:
-    """Name of a part as a product: ``plain``, or most their own and every fiftieth the plain name."""
-    name = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
-    return name if plain else F.when(F.col("p_partkey") % 50 == 0, name).otherwise(F.concat_ws("-", name, F.col("p_partkey").cast("string")))
+def _product() -> Column:
+    return F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
 
 
-def statements(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+def statements(spark: SparkSession, d: str) -> DataFrame:
     """Statements derived from the order lines: one per line, with a version window."""
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    product = _product(plain)
+    product = _product()
     vendor = F.concat(F.lit("vendor-"), F.col("l_suppkey").cast("string"))
     window = F.struct(
         F.col("l_linenumber").cast("string").alias("introduced"), F.col("l_quantity").cast("int").cast("string").alias("fixed"), F.lit(None).cast("string").alias("last_affected"),
@@ -52,12 +49,12 @@ def statements(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
     )
 
 
-def components(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    """An inventory derived from the parts of one size."""
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """An inventory derived from the parts: one component each, whose version is its size."""
     parts = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
     none = F.lit(None).cast("string")
     return parts.select(
-        F.col("p_partkey").alias("comp_id"), _product(plain).alias("name"), F.col("p_size").cast("string").alias("version"),
+        F.col("p_partkey").alias("comp_id"), _product().alias("name"), F.col("p_size").cast("string").alias("version"),
         F.concat(F.lit("vendor-"), (F.col("p_partkey") % 10 + 1).cast("string")).alias("vendor"), none.alias("ecosystem"), none.alias("purl"), none.alias("cpe"), none.alias("origin"),
     )
 
@@ -152,23 +149,23 @@ def alias_clusters(spark: SparkSession, d: str) -> DataFrame:
     return merge.canonical_ids(merge.alias_clusters(pairs), "cluster", "name").select("cluster", "canonical_id")
 
 
-def top_statements(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    pairs, _ = scan.candidates(components(spark, d, plain), statements(spark, d, plain), per_key=3)
+def top_statements(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = scan.candidates(components(spark, d), statements(spark, d), per_key=3)
     return pairs
 
 
-def truncated_lookups(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    return scan.candidates(components(spark, d, plain), statements(spark, d, plain), per_key=3)[1]
+def truncated_lookups(spark: SparkSession, d: str) -> DataFrame:
+    return scan.candidates(components(spark, d), statements(spark, d), per_key=3)[1]
 
 
-def scan_findings(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    comps, said = components(spark, d, plain), statements(spark, d, plain)
+def scan_findings(spark: SparkSession, d: str) -> DataFrame:
+    comps, said = components(spark, d), statements(spark, d)
     verdicts = scan.judge(scan.all_candidates(comps, said), comps, said)
     return scan.reduce_verdicts(verdicts).select("comp_id", "vuln_id", "outcome", "confidence", "matched_on")
 
 
-def scan_counts(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    return scan.confidence_counts(scan_findings(spark, d, plain))
+def scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scan.confidence_counts(scan_findings(spark, d))
 
 
 def version_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -181,12 +178,26 @@ def version_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(inside.alias("inside")).agg(F.count("*").alias("n"))
 
 
-def vendor_ranks(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    return enrich.vendor_rank(statements(spark, d, plain))
+_RANKS: dict[tuple[str, str], enrich.VendorRankTable] = {}
 
 
-def vendor_top(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
-    return enrich.top_vendors(enrich.vendor_rank(statements(spark, d, plain))).select("product", "vendor", "n")
+def stored_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The vendor rank of a folder's statements, built by the first query of an application that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RANKS or _RANKS[key].table.current() is None:
+        rank = enrich.VendorRankTable(spark, Workspace(spark, "vendor-rank").folder)
+        rank.refresh(statements(spark, d))
+        _RANKS[key] = rank
+    return _RANKS[key].read()
+
+
+def vendor_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The rank built anew."""
+    return enrich.vendor_rank(statements(spark, d))
+
+
+def vendor_top(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.top_vendors(stored_rank(spark, d)).select("product", "vendor", "n")
 
 
 def id_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -225,14 +236,6 @@ def document_hashes(spark: SparkSession, d: str) -> DataFrame:
     return enrich.changed_raw(rows, archive).select("record_id", "sha256")
 
 
-def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What the last even and the last odd row of an NVD record differ in: created, updated, removed by content hash."""
-    rows = table(spark, d, "nvd_cve", ["row_no", "cve_id", "vuln_status", "base_score", "description"]).withColumn("id", ids.identifier("cve_id"))
-    one = lambda cond: enrich.first_row(rows.filter(cond), ["id"], F.col("row_no").desc()).select("id", "vuln_status", "base_score", "description")
-    half = F.col("row_no") % 2
-    return enrich.history_entries(one(half == 0), one(half == 1), "id", ["description"])
-
-
 def snapshot_changes_last(spark: SparkSession, d: str) -> DataFrame:
     """What the last two NVD rows of a record differ in, by content hash; a record with one row is created.
 
@@ -253,30 +256,13 @@ def epss_upserts(spark: SparkSession, d: str) -> DataFrame:
     return enrich.upsert_epss(stored, incoming).select("cve_id", F.round("score", 6).alias("score"), F.date_format("score_date", "yyyy-MM-dd").alias("score_date"))
 
 
-def _catalogue(spark: SparkSession, d: str, delivery: int, label: str) -> DataFrame:
-    rows = table(spark, d, "kev_entries", ["entry_no", "delivery_no", "cve_id", "product", "notes", "due_date", "known_ransomware_use"]).filter(F.col("delivery_no") == delivery)
-    keyed = rows.withColumn("id", ids.identifier("cve_id")).filter("id is not null")
-    first = enrich.first_row(keyed, ["id"], "entry_no")
-    return first.select(
-        F.col("id").alias("cve_id"), text.blank_to_null("product").alias("product"), text.blank_to_null("notes").alias("notes"), F.col("entry_no").alias("date_added"),
-        (text.folded("known_ransomware_use") == "known").alias("known_ransomware"), F.array(F.lit(label)).alias("kev_sources"),
-    )
-
-
-def kev_replace(spark: SparkSession, d: str) -> DataFrame:
-    """The first delivery replaced by the twentieth; ``kev_replace_all`` applies every version."""
-    stored, incoming = _catalogue(spark, d, 1, "cisa"), _catalogue(spark, d, 20, "cisa")
-    out = enrich.replace_catalogue(stored, incoming, ["cisa"], ["product", "notes"])
-    return out.select("cve_id", "product", "date_added", "known_ransomware", F.array_join("kev_sources", ",").alias("kev_sources"))
-
-
 def kev_replace_all(spark: SparkSession, d: str) -> DataFrame:
     """The exploited catalogue after every version replaced the one before, in version order, from an empty store.
 
     A version counts by its complete delivery that was fetched last; one without entries replaces nothing. The result
     is that of ``enrich.replace_catalogue`` applied version by version, in one aggregation: what the newest version
     lists stands, and of each entry its unbroken run of versions up to the newest counts, for what was removed before
-    is gone. As in ``kev_replace`` entry_no stands for the date added.
+    is gone. entry_no stands for the date added.
     """
     versions = catalog_snapshots(table(spark, d, "kev_catalogs"))
     rows = table(spark, d, "kev_entries", ["entry_no", "delivery_no", "cve_id", "product", "known_ransomware_use"]).withColumn("id", ids.identifier("cve_id")).filter("id is not null")
@@ -329,8 +315,8 @@ def nvd_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def banner_services(spark: SparkSession, d: str) -> DataFrame:
-    """Services that name themselves in the lines of the recorded banners."""
-    docs = table(spark, d, "documents", ["doc_id", "text", "kind"]).filter("kind = 'banner'")
+    """Services that name themselves in the lines of any document."""
+    docs = table(spark, d, "documents", ["doc_id", "text"])
     lines = docs.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "banner"))
     return inventory.named_services(lines).select("doc_id", "line_no", "product", "version")
 
@@ -339,7 +325,7 @@ def known_banners(spark: SparkSession, d: str) -> DataFrame:
     """How many lines of the documents each rule of well-known services tells, products without any included."""
     lines = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.explode(F.split("text", r"\R")).alias("banner"))
     found = inventory.identify_banners(lines).groupBy("vendor", "product").agg(F.count("*").alias("n"))
-    rules = spark.createDataFrame(sorted({(v, p) for _, v, p, _ in inventory.BANNERS}), "vendor string, product string")
+    rules = spark.createDataFrame(inventory.KNOWN_SERVICES, "vendor string, product string")
     return rules.join(found, ["vendor", "product"], "left").select("vendor", "product", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -347,10 +333,10 @@ def csv_export(spark: SparkSession, d: str) -> DataFrame:
     return exports.csv_rows(corpus(spark, d))
 
 
-def service_vendors(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+def service_vendors(spark: SparkSession, d: str) -> DataFrame:
     """Components with the vendor that the corpus knows for their name."""
-    ranked = enrich.top_vendors(enrich.vendor_rank(statements(spark, d, plain)))
-    services = components(spark, d, plain).select("comp_id", F.col("name").alias("product"), "vendor")
+    ranked = enrich.top_vendors(stored_rank(spark, d))
+    services = components(spark, d).select("comp_id", F.col("name").alias("product"), "vendor")
     return enrich.reconciled_vendors(services, ranked).select("comp_id", "product", "vendor")
 
 
@@ -382,7 +368,5 @@ QUERIES: dict[str, Query] = {
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
     "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
-    "snapshot_changes": snapshot_changes, "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace": kev_replace, "kev_replace_all": kev_replace_all, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
+    "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace_all": kev_replace_all, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }
-#: The same over the plain product names of the parts, where every name is hot.
-QUERIES |= {f"{f.__name__}_plain": partial(f, plain=True) for f in (top_statements, truncated_lookups, scan_findings, scan_counts, vendor_ranks, vendor_top, service_vendors)}

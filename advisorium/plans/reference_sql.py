@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from advisorium.plans.problems_sql import sql_id, sql_trim
+from advisorium.plans.problems_sql import sql_form, sql_id, sql_trim
 
-_PRODUCT = "CASE WHEN p_partkey % 50 = 0 THEN lower(replace(p_name, ' ', '-')) ELSE lower(replace(p_name, ' ', '-')) || '-' || p_partkey END"
+_PRODUCT = "lower(replace(p_name, ' ', '-'))"
 _STATEMENTS = f"""said AS (
   SELECT 'CVE-2024-' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS vuln_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS fingerprint,
     'vendor-' || l_suppkey AS vendor, {_PRODUCT} AS product, l_linenumber AS low, CAST(trunc(l_quantity) AS INTEGER) AS high, p_size
@@ -15,7 +15,7 @@ _NAMES = f"""names AS (SELECT DISTINCT {sql_id("alias")} AS alias, {sql_id("vuln
 _KEV = f"""kev AS (SELECT {sql_id("vuln_id")} AS cve_id, min(snapshot_at) AS date_added FROM vuln_snapshots WHERE in_kev AND {sql_id("vuln_id")} IS NOT NULL GROUP BY 1)"""
 _EPSS = f"""epss AS (SELECT {sql_id("vuln_id")} AS cve_id, epss_score AS score, snapshot_at AS score_date, row_no FROM vuln_snapshots WHERE epss_score IS NOT NULL AND {sql_id("vuln_id")} IS NOT NULL)"""
 _FLAGGED = f"""flagged AS (SELECT record_no, {sql_id("id")} AS id, in_kev, epss_score FROM vulnerabilities)"""
-_RECORDS = """records AS (
+RECORDS = """records AS (
   SELECT event_id AS seq, user_id % 500 AS flaw, CASE event_type WHEN 'purchase' THEN 'cvelist' WHEN 'signup' THEN 'nvd' WHEN 'click' THEN 'csaf' WHEN 'view' THEN 'osv' ELSE 'other' END AS source,
     CAST(user_id AS VARCHAR) AS record_id, CASE WHEN event_id % 17 <> 0 THEN ts END AS modified, ts AS published,
     CASE WHEN event_id % 3 <> 0 THEN event_type || '-' || event_id END AS title, event_type AS assigner, 'A-' || (event_id % 7) AS alias, event_type AS cwe
@@ -27,9 +27,6 @@ _OFFERED = f"""{_STATEMENTS}, {_COMPONENTS},
 asked AS (SELECT comp_id, 'k_vendor' AS channel, vendor || '|' || name AS key FROM comps UNION ALL SELECT comp_id, 'k_name', name FROM comps),
 offered AS (SELECT vuln_id, fingerprint, 'k_vendor' AS channel, vendor || '|' || product AS key FROM said UNION ALL SELECT vuln_id, fingerprint, 'k_name', product FROM said),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY channel, key ORDER BY vuln_id, fingerprint) AS at_, count(*) OVER (PARTITION BY channel, key) AS n FROM offered)"""
-_ENTRY = f"""SELECT DISTINCT ON (id) id, product, notes, entry_no, ransom FROM (
-  SELECT {sql_id("cve_id")} AS id, nullif({sql_trim("product")}, '') AS product, nullif({sql_trim("notes")}, '') AS notes, entry_no, delivery_no, lower({sql_trim("known_ransomware_use")}) = 'known' AS ransom FROM kev_entries)
-  WHERE id IS NOT NULL"""
 
 
 def _list(where: str, order: str, limit: int, offset: int = 0, more: str = "") -> str:
@@ -68,9 +65,9 @@ ORACLES: dict[str, str] = {
     "vendor_ranks": f"WITH {_STATEMENTS} SELECT product, vendor, count(DISTINCT vuln_id) AS n FROM said GROUP BY ALL",
     "vendor_top": f"""WITH {_STATEMENTS}, r AS (SELECT product, vendor, count(DISTINCT vuln_id) AS n FROM said GROUP BY ALL)
       SELECT product, vendor, n FROM r QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, vendor) <= 5""",
-    "version_guard": f"WITH {_RECORDS} SELECT source, count(*) AS n, count(*) FILTER (WHERE stale) AS n_stale FROM guarded GROUP BY 1",
-    "newest_contributions": f"WITH {_RECORDS} SELECT source, record_id, max(seq) AS seq FROM guarded WHERE NOT stale GROUP BY ALL",
-    "fold_documents": f"""WITH {_RECORDS},
+    "version_guard": f"WITH {RECORDS} SELECT source, count(*) AS n, count(*) FILTER (WHERE stale) AS n_stale FROM guarded GROUP BY 1",
+    "newest_contributions": f"WITH {RECORDS} SELECT source, record_id, max(seq) AS seq FROM guarded WHERE NOT stale GROUP BY ALL",
+    "fold_documents": f"""WITH {RECORDS},
       live AS (SELECT *, coalesce(min(rank) OVER w, 1000) AS best, count(title) OVER w AS titles FROM guarded WHERE NOT stale
         WINDOW w AS (PARTITION BY flaw ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       docs AS (SELECT flaw, arg_max(title, seq) FILTER (WHERE title IS NOT NULL AND (rank <= best OR titles = 0)) AS title, arg_max(assigner, seq) FILTER (WHERE rank <= best) AS assigner,
@@ -84,6 +81,7 @@ ORACLES: dict[str, str] = {
       FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high""",
     "scan_counts": f"""WITH {_STATEMENTS}, {_COMPONENTS}, f AS (SELECT DISTINCT comp_id, vuln_id FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high)
       SELECT 'possible' AS confidence, count(*) AS n FROM f HAVING count(*) > 0""",
+    "id_lists": rf"""SELECT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat([id], coalesce(aliases, [])), lambda x: {sql_form("x")}), lambda x: x <> ''))), '|') AS identifiers FROM vulnerabilities""",
     "version_windows": f"WITH {_STATEMENTS} SELECT p_size >= low AND p_size < high AS inside, count(*) AS n FROM said GROUP BY 1",
     "verdict_batch": f"""WITH {_STATEMENTS} SELECT CASE WHEN p_size >= low AND p_size < high THEN 'match' ELSE 'no_match' END AS result, CASE WHEN p_size >= low AND p_size < high THEN 'possible' END AS confidence, count(*) AS n FROM said GROUP BY ALL""",
     "id_forms": rf"""SELECT record_no, {sql_id("id")} AS identifier, CASE WHEN regexp_full_match({sql_trim("id")}, '(?i)CVE-\d{{4}}-\d{{4,}}') THEN 0 WHEN regexp_full_match({sql_trim("id")}, '(?i)GHSA(-[a-z0-9]{{4}}){{3}}') THEN 1
@@ -94,16 +92,11 @@ ORACLES: dict[str, str] = {
     "purl_keys": """SELECT rec_no, lower(regexp_replace(split_part(split_part('pkg:' || ecosystem || '/' || package_name || '@1.0?arch=x#y', '?', 1), '#', 1), '@[^/@]*$', '')) AS purl_key FROM osv_records""",
     "folded_names": r"""SELECT item_no, trim(regexp_replace(lower(trim(product_name)), '[ \t_./-]+', '-', 'g'), '-') AS folded FROM euvd_items""",
     "document_hashes": "SELECT CAST(doc_id AS VARCHAR) AS record_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1",
-    "snapshot_changes": f"""WITH r AS (SELECT {sql_id("cve_id")} AS id, row_no, vuln_status, base_score FROM nvd_cve),
-      b AS (SELECT id, arg_max(struct_pack(s := vuln_status, v := base_score), row_no) AS x FROM r WHERE row_no % 2 = 0 GROUP BY 1), a AS (SELECT id, arg_max(struct_pack(s := vuln_status, v := base_score), row_no) AS x FROM r WHERE row_no % 2 = 1 GROUP BY 1)
-      SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'created' WHEN a.id IS NULL THEN 'removed' ELSE 'updated' END AS change_kind FROM b FULL JOIN a ON a.id = b.id WHERE b.id IS NULL OR a.id IS NULL OR a.x IS DISTINCT FROM b.x""",
     "snapshot_changes_last": f"""WITH r AS (SELECT {sql_id("cve_id")} AS id, row_no, vuln_status AS s, base_score AS v FROM nvd_cve WHERE {sql_id("cve_id")} IS NOT NULL),
       a AS (SELECT id, max(row_no) AS row_no FROM r GROUP BY 1), b AS (SELECT r.id, max(r.row_no) AS row_no FROM r JOIN a ON a.id = r.id AND r.row_no < a.row_no GROUP BY 1)
       SELECT a.id, CASE WHEN b.id IS NULL THEN 'created' ELSE 'updated' END AS change_kind FROM a JOIN r x ON x.row_no = a.row_no LEFT JOIN b ON b.id = a.id LEFT JOIN r y ON y.row_no = b.row_no
       WHERE b.id IS NULL OR x.s IS DISTINCT FROM y.s OR x.v IS DISTINCT FROM y.v""",
     "epss_upserts": f"WITH {_EPSS} SELECT cve_id, round(arg_max(score, struct_pack(d := score_date, r := row_no)), 6) AS score, strftime(max(score_date), '%Y-%m-%d') AS score_date FROM epss GROUP BY cve_id",
-    "kev_replace": f"""WITH old AS ({_ENTRY} AND delivery_no = 1 ORDER BY id, entry_no), new AS ({_ENTRY} AND delivery_no = 20 ORDER BY id, entry_no)
-      SELECT n.id AS cve_id, coalesce(o.product, n.product) AS product, least(o.entry_no, n.entry_no) AS date_added, coalesce(o.ransom, false) OR coalesce(n.ransom, false) AS known_ransomware, 'cisa' AS kev_sources FROM new n LEFT JOIN old o ON o.id = n.id""",
     "kev_replace_all": rf"""WITH c AS (SELECT delivery_no, fetched_at, regexp_extract(catalog_version, '^\D*(\d{{4}})(?:\D+(\d{{1,2}})\D+(\d{{1,2}})|(\d{{2}})(\d{{2}}))\D*$', ['y', 'm', 'd', 'n', 'e']) AS p FROM kev_catalogs
         WHERE lower({sql_trim("fetch_status")}) = 'complete' AND regexp_matches(catalog_version, '^\D*(\d{{4}})(?:\D+(\d{{1,2}})\D+(\d{{1,2}})|(\d{{2}})(\d{{2}}))\D*$')),
       v AS (SELECT CAST(p.y AS INTEGER) * 10000 + CAST(p.m || p.n AS INTEGER) * 100 + CAST(p.d || p.e AS INTEGER) AS version, arg_max(delivery_no, struct_pack(f := fetched_at, n := delivery_no)) AS delivery_no FROM c GROUP BY 1),
@@ -130,14 +123,10 @@ ORACLES: dict[str, str] = {
     "bundle_windows": """WITH a AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events), k AS (SELECT * FROM a WHERE day(day) % 3 = 0),
       p AS (SELECT a.event_type, a.day, k.day AS near, row_number() OVER (PARTITION BY a.event_type, a.day ORDER BY abs(a.day - k.day), k.day) AS at_ FROM a LEFT JOIN k ON k.event_type = a.event_type)
       SELECT 'https://host.invalid/' || event_type || '?from=' || strftime(day, '%Y-%m-%d') || '&page=1' AS url, 'https://host.invalid/' || event_type || '?from=' || strftime(near, '%Y-%m-%d') || '&page=1' AS recorded_url, day = near AS exact FROM p WHERE at_ = 1""",
-    "banner_services": r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, trim(unnest(x), ' ') AS b FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]') AS x FROM documents WHERE kind = 'banner' AND text IS NOT NULL)),
+    "banner_services": r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, trim(unnest(x), ' ') AS b FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]') AS x FROM documents WHERE text IS NOT NULL)),
       m AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(b, '(?i)^\d+/(?:tcp|udp)\s+open\s+([a-z][\w.-]*)\s+(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^\d+/(?:tcp|udp)\s+open\s+([a-z][\w.-]*)\s+(\d[\w.-]*)', ['p', 'v'])
         WHEN regexp_matches(b, '(?i)^SSH-[\d.]+-([a-z]\w*?)_(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^SSH-[\d.]+-([a-z]\w*?)_(\d[\w.-]*)', ['p', 'v'])
         WHEN regexp_matches(b, '(?i)^Server:\s*([a-z][\w-]*)/(\d[\w.-]*)') THEN regexp_extract(b, '(?i)^Server:\s*([a-z][\w-]*)/(\d[\w.-]*)', ['p', 'v'])
         WHEN regexp_matches(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$') THEN regexp_extract(b, '(?i)^220[ -]\S+\s+([a-z][\w ]*?)\s+(\d[\w.-]*)(?:\s+ready)?\s*$', ['p', 'v']) END AS s FROM l)
       SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, trim(regexp_replace(lower(trim(s.p)), '[ \t_./-]+', '-', 'g'), '-') AS product, s.v AS version FROM m WHERE s IS NOT NULL""",
 }
-ORACLES |= {
-    f"{name}_plain": ORACLES[name].replace(_PRODUCT, "lower(replace(p_name, ' ', '-'))")
-    for name in ("top_statements", "truncated_lookups", "scan_findings", "scan_counts", "vendor_ranks", "vendor_top", "service_vendors")
-}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
@@ -95,8 +96,20 @@ def scan_status(findings: DataFrame) -> int:
     return 0 if findings.filter("outcome = 'finding'").isEmpty() else 2
 
 
-def scan_report(ordered: DataFrame, most: int = 1_000) -> str:
-    """The report's text: one line per finding in order, and how many more there are."""
-    rows = ordered.limit(most + 1).select("vuln_id", "name", "confidence", "matched_on").collect()
-    lines = [f"{r.vuln_id}\t{r.name}\t{r.confidence}\t{r.matched_on}" for r in rows[:most]]
-    return "\n".join([*lines, f"more than {most} findings"] if len(rows) > most else lines)
+def report_lines(ordered: DataFrame) -> Iterator[str]:
+    """The report as text: one line per finding in order, and how many there are. Rows come one partition at a time."""
+    n = 0
+    for r in ordered.select("vuln_id", "name", "confidence", "matched_on").toLocalIterator():
+        n += 1
+        yield f"{r.vuln_id}\t{r.name}\t{r.confidence}\t{r.matched_on}"
+    yield f"{n} findings"
+
+
+def report_json(ordered: DataFrame) -> Iterator[str]:
+    """The report as a JSON document in pieces: the findings in order, how many there are, and how many of each confidence."""
+    counts: dict[str, int] = {}
+    yield '{"findings": ['
+    for i, r in enumerate(ordered.toLocalIterator()):
+        counts[r.confidence] = counts.get(r.confidence, 0) + 1
+        yield ("," if i else "") + json.dumps(r.asDict(recursive=True), default=str, sort_keys=True)
+    yield f'], "total": {sum(counts.values())}, "by_confidence": {json.dumps(counts, sort_keys=True)}}}'

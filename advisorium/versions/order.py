@@ -26,23 +26,31 @@ MAVEN_SPELLINGS = {"ga": "", "final": "", "release": "", "cr": "rc"}
 MAVEN_SHORT = {"a": "alpha", "b": "beta", "m": "milestone"}
 # Scheme by declared range type and by ecosystem.
 RANGE_TYPES = {
-    "semver": "SEMVER NPM NODE CARGO NUGET", "debian": "DEBIAN DEB DPKG", "rpm": "RPM NEVRA EVR", "alpine": "APK ALPINE",
-    "maven": "MAVEN", "python": "PYTHON PYPI PEP440", "go": "GO GOLANG", "opaque": "GIT ORIGINAL_COMMIT_FOR_FIX COMMIT SHA REVISION_ID",
+    "semver": ("SEMVER", "NPM", "NODE", "CARGO", "NUGET"),
+    "debian": ("DEBIAN", "DEB", "DPKG"),
+    "rpm": ("RPM", "NEVRA", "EVR"),
+    "alpine": ("APK", "ALPINE"),
+    "maven": ("MAVEN",),
+    "python": ("PYTHON", "PYPI", "PEP440"),
+    "go": ("GO", "GOLANG"),
+    "opaque": ("GIT", "ORIGINAL_COMMIT_FOR_FIX", "COMMIT", "SHA", "REVISION_ID"),
 }
 ECOSYSTEMS = {
-    "debian": "debian, ubuntu, opam",
-    "rpm": "red hat, redhat, rhel, rocky linux, rocky, almalinux, alma, suse, opensuse, sles, mageia, openeuler, azure linux, mariner, cbl-mariner, oracle linux, centos, fedora, amazon linux, photon, openanolis, anolis",
-    "alpine": "alpine, wolfi, chainguard, alpaquita, bellsoft hardened containers",
-    "semver": "npm, crates.io, cratesio, rust, nuget, pub, hex, erlang, swifturl, swift, github actions, actions, julia, vscode, packagist, composer, rubygems, linux",
-    "maven": "maven", "python": "pypi, pip", "go": "go, golang",
-    "generic": "cran, hackage, ghc, android, gsd, uvi, bitnami, minimos, echo, root, cleanstart, tuxcare",
-    "opaque": "git, oss-fuzz",
+    "debian": ("debian", "ubuntu", "opam"),
+    "rpm": ("red hat", "redhat", "rhel", "rocky linux", "rocky", "almalinux", "alma", "suse", "opensuse", "sles", "mageia", "openeuler", "azure linux", "mariner", "cbl-mariner", "oracle linux", "centos", "fedora", "amazon linux", "photon", "openanolis", "anolis"),
+    "alpine": ("alpine", "wolfi", "chainguard", "alpaquita", "bellsoft hardened containers"),
+    "semver": ("npm", "crates.io", "cratesio", "rust", "nuget", "pub", "hex", "erlang", "swifturl", "swift", "github actions", "actions", "julia", "vscode", "packagist", "composer", "rubygems", "linux"),
+    "maven": ("maven",),
+    "python": ("pypi", "pip"),
+    "go": ("go", "golang"),
+    "generic": ("cran", "hackage", "ghc", "android", "gsd", "uvi", "bitnami", "minimos", "echo", "root", "cleanstart", "tuxcare"),
+    "opaque": ("git", "oss-fuzz"),
 }
 #: Ecosystems that repack others; what follows their colon tells the order.
 REISSUERS = {"tuxcare", "root", "bitnami", "minimos", "echo", "cleanstart"}
 
-TYPE_SCHEME = {t: s for s, names in RANGE_TYPES.items() for t in names.split()}
-ECOSYSTEM_SCHEME = {e: s for s, names in ECOSYSTEMS.items() for e in names.split(", ")}
+TYPE_SCHEME = {t: s for s, names in RANGE_TYPES.items() for t in names}
+ECOSYSTEM_SCHEME = {e: s for s, names in ECOSYSTEMS.items() for e in names}
 
 
 class Answer(NamedTuple):
