@@ -149,17 +149,32 @@ def look_classes(prints: DataFrame, key: str) -> DataFrame:
     return prints.join(spellings, "look").select(key, F.lower(F.hex("look")).alias("class_id"), "n_spellings")
 
 
+#: A spelling with more documents than this share of all is hot; there are at most 1 / share such spellings.
+HOT_SHARE = 1 / 2000
+#: Documents of a hot spelling per salt.
+PER_SALT = 10_000
+
+
 def look_pairs(prints: DataFrame, key: str) -> DataFrame:
     """Pairs of documents that look the same but differ in their characters: a, b with a < b.
 
     Spellings are paired first, one row each however many documents share one, and documents join the pairs of
     their spelling; copies of one spelling never meet each other. Only looks with more than one spelling are
-    shuffled beyond a first aggregation.
+    shuffled beyond a first aggregation. The documents of a hot spelling are spread over salts, and the pairs that
+    ask for them are repeated once for each; hot spellings are looked up by a broadcast whose size their share bounds.
     """
     ends = prints.groupBy("look").agg(F.min("chars").alias("low"), F.max("chars").alias("high"))
     several = prints.join(ends.filter("low != high").select("look"), "look", "left_semi")
-    spellings = several.select("look", "chars").distinct()
-    pairs = spellings.withColumnRenamed("chars", "chars_a").join(spellings.withColumnRenamed("chars", "chars_b"), "look").filter("chars_a < chars_b")
-    a = several.select("look", F.col("chars").alias("chars_a"), F.col(key).alias("x"))
-    b = several.select("look", F.col("chars").alias("chars_b"), F.col(key).alias("y"))
-    return pairs.join(a, ["look", "chars_a"]).join(b, ["look", "chars_b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    spellings = several.groupBy("look", "chars").agg(F.count("*").alias("n"))
+    threshold = max(PER_SALT, int(prints.count() * HOT_SHARE))
+    salts = lambda n: F.when(n > threshold, F.ceil(n / PER_SALT)).otherwise(1).cast("int")
+    hot = F.broadcast(spellings.filter(F.col("n") > threshold).select("look", "chars", salts(F.col("n")).alias("salts")))
+    salted = several.join(hot, ["look", "chars"], "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("salts"))).cast("int"))
+    each = F.sequence(F.lit(0), salts(F.col("n")) - 1)
+    side = lambda of: spellings.select("look", F.col("chars").alias(f"chars_{of}"), each.alias(f"salts_{of}"))
+    pairs = side("a").join(side("b"), "look").filter("chars_a < chars_b")
+    a = salted.select("look", F.col("chars").alias("chars_a"), F.col("salt").alias("salt_a"), F.col(key).alias("x"))
+    b = salted.select("look", F.col("chars").alias("chars_b"), F.col("salt").alias("salt_b"), F.col(key).alias("y"))
+    first = pairs.withColumn("salt_a", F.explode("salts_a")).drop("salts_a").join(a, ["look", "chars_a", "salt_a"])
+    both = first.withColumn("salt_b", F.explode("salts_b")).drop("salts_b").join(b, ["look", "chars_b", "salt_b"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from advisorium.llm.survivor import STAND_INS
 from advisorium.plans.problems_sql import sql_id, sql_trim
 
 _SAYS = f"lower({sql_trim('description')})"
-_NOTHING = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
+# The stand-ins for a description that the tables hold, in lower case and without a full stop at the end.
+_NOTHING = """'', 'to be published', 'no description', '-', '--', '?', '??', 'n/a', 'na', 'n.a', 'nil', 'none', 'null', 'tbd', 'tba', 'todo', 'unknown', 'pending', '(no text)', 'no description available',
+  'description pending', 'to be determined', 'see references', 'placeholder entry, text will be supplied later', '** reserved ** details follow once the vendor has published'"""
 _STEM = rf"trim(regexp_replace({_SAYS}, '[.…]+$', ''))"
 
 ORACLES: dict[str, str] = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from advisorium.functions.ids import identifier
 from advisorium.llm import components, encode, lookalike, packing, survivor
 from advisorium.llm.oracles import ORACLES as ORACLES
-from advisorium.session import table
+from advisorium.session import Workspace, table
 
 RECORD_COLUMNS = ["record_no", "id", "description", "sources", "published", "modified", "updated_at"]
 
@@ -65,10 +65,15 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", "n_tokens", (F.col("back") == F.col("given")).alias("same"), (F.col("covered") == F.length("given")).alias("whole"))
 
 
+#: Kinds of text that a model is shown but not taught to write.
+CONTEXT_KINDS = ("banner", "raw_json", "patch")
+
+
 def token_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents measured in tokens; every token bears loss."""
-    sizes = encode.count_tokens(table(spark, d, "documents", ["doc_id", "text"]), "doc_id", "text")
-    return sizes.withColumn("loss_tokens", F.col("n_tokens"))
+    """Documents measured in tokens; those written by machines bear no loss, all others on every token."""
+    sizes = encode.count_tokens(table(spark, d, "documents", ["doc_id", "text", "kind"]), "doc_id", "text", carried=("kind",))
+    shown = F.coalesce(F.lower(F.trim("kind")).isin(*CONTEXT_KINDS), F.lit(False))
+    return sizes.select("doc_id", "n_tokens", F.when(shown, F.lit(0)).otherwise(F.col("n_tokens")).cast("bigint").alias("loss_tokens"))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -87,13 +92,13 @@ def _prints(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same and differ in their characters."""
-    prints = components.Workspace(spark, "looks").store(_prints(spark, d), "prints")
+    prints = Workspace(spark, "looks").store(_prints(spark, d), "prints")
     return lookalike.look_pairs(prints, "doc_id").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document that shows something with the class of its look."""
-    prints = components.Workspace(spark, "looks").store(_prints(spark, d), "prints")
+    prints = Workspace(spark, "looks").store(_prints(spark, d), "prints")
     return lookalike.look_classes(prints, "doc_id")
 
 

@@ -15,24 +15,26 @@ from advisorium.functions.times import us_of_ntz
 from advisorium.session import bounded_rows
 
 UNKNOWN_RANK = 100
+NAMES_PER_MASK = 62
 #: Sources are a dimension table; more than this is an error.
 MAX_SOURCES = 10_000
 EARLIEST_PUBLISHED = "1999-01-01"
 
-# Texts that say nothing about a flaw, in lower case and without a closing full stop.
-STAND_INS = (
-    "", "-", "--", "?", "??", "n/a", "na", "n.a", "nil", "none", "null", "tbd", "tba", "todo", "unknown", "pending", "(no text)",
-    "no text", "no description", "no description available", "no description provided", "no details", "not available",
-    "description pending", "description", "to be published", "to be determined", "to be announced", "see references",
-    "see reference", "see advisory", "placeholder", "placeholder entry, text will be supplied later",
-    "** reserved ** details follow once the vendor has published", "** reserved **", "reserved", "details to follow",
+# Words of which texts are made that say nothing about a flaw.
+EMPTY_WORDS = (
+    "a", "advisory", "advisories", "announced", "announcement", "as", "available", "be", "been", "cve", "description", "determined", "details",
+    "entry", "follow", "follows", "for", "has", "have", "information", "is", "later", "n", "na", "nil", "no", "none", "not", "null", "of", "once",
+    "pending", "placeholder", "provided", "published", "reference", "references", "reserved", "see", "soon", "supplied", "summary", "tba", "tbd", "text",
+    "the", "this", "to", "todo", "unknown", "vendor", "was", "will", "yet",
 )
 
 
 def says_something(text: Column | str) -> Column:
-    """False for null, blank and stand-ins; a text that was cut short says something."""
-    t = F.regexp_replace(folded(text), r"[.…]+$", "")
-    return F.coalesce((t != "") & ~trimmed(t).isin(*STAND_INS), F.lit(False))
+    """False for null, blank and stand-ins: texts of nothing but words that say nothing about a flaw, and signs. A text
+    that was cut short says something."""
+    sign = r"[\p{L}\p{N}]"
+    other_word = rf"(?<!{sign})(?!(?:{'|'.join(EMPTY_WORDS)})(?!{sign})){sign}"
+    return F.coalesce(folded(text).rlike(other_word), F.lit(False))
 
 
 def source_ranks(sources: DataFrame) -> dict[str, int]:
@@ -63,7 +65,7 @@ def survivors(records: DataFrame, group: Column, ranks: dict[str, int]) -> DataF
     Result: vuln_id, description_from, published_from, modified_from (each the record_no of the row that serves the
     field best, 0 where none qualifies), all_sources (sorted distinct names joined by ``,``). A time counts only up
     to the row's own updated_at, and a publication only from 1999; where updated_at is null nothing speaks against
-    it. Null groups give no row. Description: best trust, then latest believed modification, rows without one
+    it. Null groups give no row. Names of known sources are gathered as bits, others, which are dirt, as a set. Description: best trust, then latest believed modification, rows without one
     last, then lowest record_no; ties of times by lowest record_no.
     """
     in_time = lambda c: F.when(~F.coalesce(F.col(c) > F.col("updated_at"), F.lit(False)), F.col(c))
@@ -78,11 +80,19 @@ def survivors(records: DataFrame, group: Column, ranks: dict[str, int]) -> DataF
         F.when(published.isNotNull(), F.struct(published.alias("at"), F.col("record_no").alias("no"))).alias("p"),
         F.when(modified.isNotNull(), F.struct(newest_first.alias("age"), F.col("record_no").alias("no"))).alias("m"),
     ).filter("vuln_id is not null")
-    chosen = rows.groupBy("vuln_id").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("p").alias("p"), F.min("m").alias("m"), F.collect_set("names").alias("sets"))
+    known = sorted(ranks)
+    parts = [known[i : i + NAMES_PER_MASK] for i in range(0, len(known), NAMES_PER_MASK)]
+    masks = [F.bit_or(sum((F.when(F.array_contains("names", x), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(part)), F.lit(0).cast("bigint"))).alias(f"mask{k}") for k, part in enumerate(parts)]
+    others = F.array_except("names", F.array(*[F.lit(x) for x in known]).cast("array<string>"))
+    odd = F.collect_set(F.when(F.size(others) > 0, others)).alias("odd")
+    chosen = rows.groupBy("vuln_id").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("p").alias("p"), F.min("m").alias("m"), odd, *masks)
+    marked = lambda part, mask: F.filter(F.array(*[F.lit(x) for x in part]), lambda x, i: F.getbit(mask, i) == 1)
+    found = [marked(part, f"mask{k}") for k, part in enumerate(parts)]
+    named = F.array_distinct(F.flatten(F.concat(F.col("odd"), F.array(*found)))) if found else F.array_distinct(F.flatten("odd"))
     no = lambda c: F.coalesce(F.col(f"{c}.no"), F.lit(0)).cast("bigint")
     return chosen.filter("n >= 2").select(
         "vuln_id", no("d").alias("description_from"), no("p").alias("published_from"), no("m").alias("modified_from"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten("sets"))), ",").alias("all_sources"),
+        F.array_join(F.array_sort(named), ",").alias("all_sources"),
     )
 
 

@@ -164,6 +164,49 @@ def test_fill_is_near_the_bound():
     assert load.max() <= 2048 and len(load) <= -(-tokens.sum() // 2048) + 2
 
 
+def test_fill_under_three_limits():
+    """Vectors that are nearly all different: every limit holds, and in time that does not grow with their number."""
+    rng = np.random.default_rng(2)
+    tokens = np.minimum(rng.lognormal(5, 1.2, 30_000).astype(int) + 1, 2047)
+    loss, segments = (tokens * rng.random(len(tokens))).astype(int), rng.integers(1, 5, len(tokens))
+    limits = packing.Limits()
+    number = packing.fill(tokens, loss, segments, limits)
+    loads = [np.bincount(number, weights=x) for x in (tokens, segments, loss)]
+    assert [x.max() <= top for x, top in zip(loads, (2048, 256, 2048))] == [True] * 3 and loads[0].min() > 0
+    assert len(loads[0]) <= 1.01 * tokens.sum() / 2048
+    # Each limit binds in turn.
+    for t, s, x in ((1000, 1, 1), (1, 128, 1), (1, 1, 1000)):
+        n = packing.fill(np.full(100, t), np.full(100, x), np.full(100, s), limits)
+        assert n.max() + 1 == 50 and np.bincount(n).max() == 2
+
+
+def test_pack_counts_segments(spark):
+    df = spark.createDataFrame([(i, 10, 10, 3) for i in range(10)] + [(10, 10, 0, None)], "k long, n_tokens long, loss_tokens long, n_segments int")
+    got = packing.pack(df, "k", packing.Limits(100, 7, 100)).collect()
+    load = defaultdict(int)
+    for r in got:
+        load[r.container_id] += r.n_segments
+    assert len(got) == 11 and max(load.values()) <= 7 and len(load) == 5
+    with pytest.raises(ValueError, match="segments"):
+        packing.pack(df, "k", packing.Limits(100, 2, 100))
+
+
+def test_hot_spelling_is_spread(spark, monkeypatch):
+    """A third of all documents share one spelling: pairs are whole and each once."""
+    monkeypatch.setattr(lookalike, "PER_SALT", 50)
+    texts = [(i, "admin" if i % 3 else "\u0430dmin" if i % 2 else f"other {i}") for i in range(600)]
+    prints = lookalike.fingerprints(spark.createDataFrame(texts, "k long, text string"), "k", "text")
+    latin, mixed = ([i for i, t in texts if t == x] for x in ("admin", "\u0430dmin"))
+    assert rows(lookalike.look_pairs(prints, "k")) == sorted((min(a, b), max(a, b)) for a in latin for b in mixed)
+
+
+def test_stand_ins_by_their_words(spark):
+    nothing = [None, "", " ", "N/A", "??", "No description available.", "TBD", "** RESERVED ** Details follow once the vendor has published.", "See references…", "Placeholder entry, text will be supplied later", "no " * 50_000]
+    something = ["A flaw in x", "Details: buffer", "no auth", "緩衝", "cve in parser", "to be published by acme", "the " * 50_000 + "x"]
+    df = spark.createDataFrame([(t,) for t in nothing + something], "t string")
+    assert [r[0] for r in df.select(survivor.says_something("t")).collect()] == [False] * len(nothing) + [True] * len(something)
+
+
 def plain_form(t):
     """The one form by Python alone: character by character."""
     singles, several = lookalike.single_map(), {**lookalike.LIGATURES, **lookalike.several_map()}
