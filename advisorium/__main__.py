@@ -38,6 +38,22 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("bundle", help="pack, unpack or list recorded downloads")
     a.add_argument("action", choices=["pack", "unpack", "info"])
     a.add_argument("paths", nargs="+")
+    a = sub.add_parser("sources", help="state of each source, or with --terms whom its data is owed to")
+    a.add_argument("folder")
+    a.add_argument("--terms", action="store_true")
+    a = sub.add_parser("migrate", help="create the tables that a folder lacks")
+    a.add_argument("folder")
+    a = sub.add_parser("collect", help="run collectors over a recorded bundle into a landing folder, once or as they fall due")
+    a.add_argument("bundle")
+    a.add_argument("folder")
+    a.add_argument("sources", nargs="*")
+    a.add_argument("--backfill", action="store_true")
+    a.add_argument("--keep-on", action="store_true")
+    a = sub.add_parser("serve", help="answer HTTP requests over the tables of a folder")
+    a.add_argument("folder", nargs="?")
+    a = sub.add_parser("inventory", help="write the components of this machine")
+    a.add_argument("out")
+    a.add_argument("--root", default="/")
     sub.add_parser("version")
     return p
 
@@ -86,6 +102,46 @@ def main(argv: list[str] | None = None) -> int:
         for piece in exports.report_json(named) if args.json else exports.report_lines(named):
             print(piece)
         return exports.scan_status(reduced)
+    elif args.command == "sources":
+        from advisorium import serve
+        from advisorium.streaming import ingest, runs
+
+        shown = serve.attributions(spark) if args.terms else runs.SourceBook(spark, f"{args.folder}/runs").sources(sorted(ingest.CADENCE))
+        for r in shown.collect():
+            print("\t".join("" if v is None else str(v) for v in r))
+    elif args.command == "migrate":
+        from advisorium import serve
+
+        print("\n".join(serve.bootstrap(spark, args.folder)))
+    elif args.command == "collect":
+        from datetime import datetime, timezone
+
+        from advisorium import config
+        from advisorium.sources import bundle, collectors
+        from advisorium.streaming import runs
+
+        book = runs.SourceBook(spark, f"{args.folder}/runs")
+        walks = collectors.COLLECTORS | {"csaf": collectors.csaf(config.load().csaf_providers)}
+        fetch = bundle.fetcher(args.bundle)
+
+        def turn(source: str) -> None:
+            work = runs.run_one(book, source, walks[source], fetch, runs.landing_sink(f"{args.folder}/{source}/landing"), datetime.now(timezone.utc), args.backfill)
+            print(f"{source}\tseen {work.seen}\twritten {work.written}\tfailed {work.failed}")
+
+        wanted = args.sources or config.load().sources or sorted(walks)
+        if args.keep_on:
+            runs.schedule(book, list(wanted), turn, lambda: False)
+        for source in wanted:
+            turn(source)
+    elif args.command == "serve":
+        from advisorium import config, serve
+
+        settings = config.load()
+        serve.serve(serve.Tables(spark, args.folder or settings.folder), settings)
+    elif args.command == "inventory":
+        from advisorium import serve
+
+        serve.local_inventory(spark, args.root).write.mode("overwrite").parquet(args.out)
     elif args.command == "export":
         from advisorium.sinks import exports
 

@@ -358,15 +358,44 @@ def confidence(who: Identity, t: Test) -> str:
     return CONFIDENCES[max(0, level - t.heuristic - t.elided)]
 
 
+#: Answers a worker remembers of each kind; when so many are held it begins anew.
+REMEMBERED = 100_000
+_identities: dict[tuple, Identity] = {}
+_tests: dict[tuple, Test] = {}
+
+
+def _remembered(held: dict, key: tuple, make):
+    found = held.get(key)
+    if found is None:
+        if len(held) >= REMEMBERED:
+            held.clear()
+        found = held[key] = make()
+    return found
+
+
+def known_identity(c: dict, a: dict) -> Identity:
+    """``identify``, once for each pair of names: the same few names meet again and again in a batch."""
+    key = (c["name"], c["vendor"], c["ecosystem"], c["purl"], c["cpe"], c["origin"], a["vendor"], a["product"], a["ecosystem"], a["purl"], tuple(a["cpes"] or ()))
+    return _remembered(_identities, key, lambda: identify(c, a))
+
+
+def known_test(c: dict, a: dict, who: Identity) -> Test:
+    """``test_versions``, once for each version and scope."""
+    scope = tuple(tuple(r.values()) for r in a["ranges"] or ())
+    named = (tuple((v, *u) for v, u in who.versions), tuple((v, *u) for v, u in who.patterns))
+    key = (c["version"], c["cpe"], who.ecosystem, scope, tuple(a["versions"] or ()), a["source"], a["status"], a["default_state"], *named)
+    return _remembered(_tests, key, lambda: test_versions(c, a, who))
+
+
 def evaluate(c: dict, a: dict) -> tuple[str, str, str | None, str, str, list[str]]:
     """(result, matched_on, confidence, scheme, review, notes) of one component against one statement."""
-    who = identify(c, a)
+    who = known_identity(c, a)
     if who.grade == NONE:
         return "no_match", "", None, "", who.why, []
     if order.sentinel(c["version"]) in ("empty", "all", "unknown") or stated(c["version"]).upper() == "NOASSERTION":
         return "undecidable", who.channel, None, "", "no_component_version", []
     status = status_of(a["status"])
-    t = test_versions(c, a, who)
+    t = known_test(c, a, who)
     if t.verdict == OUT:
         return "no_match", who.channel, None, t.scheme, "out_of_range", t.notes
     if status in ("under_investigation", "conditional"):

@@ -61,11 +61,17 @@ def stream_ndjson(corpus: DataFrame, order_by: str = "modified") -> Iterator[str
 
 
 def _quoted(text: str) -> str:
-    import json
-
     return json.dumps(text)
 
 
+def stream_csv(corpus: DataFrame, order_by: str = "modified") -> Iterator[str]:
+    """The CSV export in order, line by line with its header."""
+    yield ",".join(CSV_COLUMNS) + "\n"
+    quoted = F.concat(F.lit('"'), F.array_join(F.array(*[F.replace(c, F.lit('"'), F.lit('""')) for c in CSV_COLUMNS]), '","'), F.lit('"'))
+    for r in csv_rows(corpus.orderBy(*order_columns(order_by))).select(quoted.alias("line")).toLocalIterator(prefetchPartitions=True):
+        yield r.line + "\n"
+
+
 def canonical_url(identifier: str) -> str:
     """Where an identifier is described."""
     i = identifier.upper()

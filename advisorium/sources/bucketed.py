@@ -43,6 +43,13 @@ class Transaction:
         """A table as it was when the transaction began."""
         return self._load(name, sorted(self.state.get(name, {}).values()))
 
+    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table that have one of ``keys``; only the buckets that may hold any are read."""
+        asked = keys.select(*self.tables.keys[name]).distinct()
+        old = self.state.get(name, {})
+        held = [old[b] for b in {str(r[0]) for r in asked.select(self.bucket(name)).distinct().collect()} if b in old]  # at most one row per bucket
+        return self._load(name, sorted(held)).join(asked, self.tables.keys[name], "left_semi")
+
     def bucket(self, name: str) -> Column:
         return F.pmod(F.xxhash64(*self.tables.keys[name]), F.lit(self.tables.buckets)).cast("int")
 

@@ -117,3 +117,30 @@ def read_blob(folder: str, digest: str) -> bytes:
 def query_window(url: str) -> dict[str, str]:
     """Parameters of an address that hold times."""
     return {k: v for k, v in parse_qsl(urlsplit(url).query) if re.match(DATE, v)}
+
+
+def fetcher(folder: str):
+    """A function from an address to what was recorded for it: the newest download of the address itself, else of the
+    address of the same shape whose first date lies nearest. What was not recorded raises KeyError."""
+    newest: dict[str, dict] = {}
+    for line in (Path(folder) / "manifest.jsonl").read_text().splitlines():
+        e = json.loads(line)
+        if e["status"] == 200 and e["captured_at"] >= newest.get(e["url"], e)["captured_at"]:
+            newest[e["url"]] = e
+    alike: dict[str, list[str]] = {}
+    for url in sorted(newest):
+        alike.setdefault(re.sub(WRITTEN, "*", url), []).append(url)
+
+    def first_day(url: str) -> int:
+        m = re.search(r"(\d{4})-(\d{2})-(\d{2})", url)
+        return int(m[1]) * 372 + int(m[2]) * 31 + int(m[3]) if m else 0
+
+    def fetch(url: str) -> bytes:
+        if url not in newest:
+            near = alike.get(re.sub(WRITTEN, "*", url), [])
+            if not near or not re.search(WRITTEN, url):
+                raise KeyError(url)
+            url = min(near, key=lambda u: abs(first_day(u) - first_day(url)))
+        return read_blob(folder, newest[url]["sha256"])
+
+    return fetch

@@ -34,8 +34,12 @@ NVD = (
     "id string, sourceIdentifier string, published string, lastModified string, vulnStatus string, cveTags string, descriptions array<struct<lang:string,value:string>>, "
     f"metrics struct<cvssMetricV40:{_METRIC},cvssMetricV31:{_METRIC},cvssMetricV30:{_METRIC},cvssMetricV2:{_METRIC}>, "
     "weaknesses array<struct<description:array<struct<lang:string,value:string>>>>, references array<struct<url:string,source:string,tags:array<string>>>, "
-    "configurations array<struct<operator:string,negate:boolean,nodes:array<struct<operator:string,negate:boolean,cpeMatch:array<struct<vulnerable:boolean,criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>>>>>"
+    "configurations array<struct<operator:string,negate:boolean,nodes:array<struct<operator:string,negate:boolean,cpeMatch:array<struct<vulnerable:boolean,criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>>>>>, "
+    "affected array<struct<affectedData:array<struct<vendor:string,product:string,packageName:string,versions:array<struct<version:string,status:string,lessThan:string,lessThanOrEqual:string>>>>>>"
 )
+_VERSIONS = "array<struct<version:string,status:string,lessThan:string,lessThanOrEqual:string>>"
+_DATA = f"array<struct<vendor:string,product:string,packageName:string,versions:{_VERSIONS}>>"
+_AFFECTED_DATA = f"array<struct<affectedData:{_DATA}>>"
 EUVD = "id string, description string, datePublished string, dateUpdated string, baseScore double, baseScoreVersion string, baseScoreVector string, references string, aliases string, assigner string, epss double, exploitedSince string, enisaIdProduct array<struct<product:struct<name:string>,product_version:string>>, enisaIdVendor array<struct<vendor:struct<name:string>>>"
 KEV = "title string, catalogVersion string, dateReleased string, count int, vulnerabilities array<struct<cveID:string,vendorProject:string,product:string,vulnerabilityName:string,dateAdded:string,shortDescription:string,requiredAction:string,dueDate:string,knownRansomwareCampaignUse:string,notes:string,cwes:array<string>>>"
 
@@ -189,10 +193,34 @@ def parse_nvd(raw: DataFrame, content: str = "content", source: str = "nvd") ->
         ids.distinct_texts(F.filter(cwes, lambda x: x.startswith("CWE-"))).alias("cwes"), F.array_sort(F.array_distinct(F.concat(plain, tagged))).alias("tags"),
         F.concat(scored("cvssMetricV40", "CVSS_V4_0"), scored("cvssMetricV31", "CVSS_V3_1"), scored("cvssMetricV30", "CVSS_V3_0"), scored("cvssMetricV2", "CVSS_V2")).alias("severities"),
         F.transform(F.coalesce("references", F.array().cast("array<struct<url:string,source:string,tags:array<string>>>")), lambda r: F.struct(r["url"].alias("url"), _null("string").alias("name"), _some(r["tags"]).alias("tags"), src.alias("source"))).alias("references"),
-        F.transform(keys, grouped).cast(f"array<{AFFECTED}>").alias("affected"), _null("struct<exploitation:string,automatable:string,technical_impact:string,source:string>").alias("ssvc"), src.alias("source"), F.col("id").alias("record_id"),
+        F.concat(F.transform(keys, grouped).cast(f"array<{AFFECTED}>"), assigner_statements(F.col("affected"), src).cast(f"array<{AFFECTED}>")).alias("affected"), _null("struct<exploitation:string,automatable:string,technical_impact:string,source:string>").alias("ssvc"), src.alias("source"), F.col("id").alias("record_id"),
     )
 
 
+def assigner_statements(affected: Column, source: Column) -> Column:
+    """Statements of the assigner that NVD passes on: per vendor and product one that is affected and, where versions
+    are listed as unaffected, one that is not. ``n/a`` stands for nothing, and other statuses are no statement."""
+    said = F.flatten(F.transform(F.coalesce(affected, F.array().cast(_AFFECTED_DATA)), lambda a: F.coalesce(a["affectedData"], F.array().cast(_DATA))))
+    known = lambda c: F.when(F.lower(F.trim(c)).isin("", "n/a") | c.isNull(), "").otherwise(c)
+    product = lambda d: known(F.coalesce(F.when(d["product"] != "", d["product"]), d["packageName"]))
+    stated = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def one(d: Column, states: tuple[str, ...], status: Column) -> Column:
+        own = F.filter(F.coalesce(d["versions"], F.array().cast(_VERSIONS)), lambda v: F.lower(F.coalesce(v["status"], F.lit(""))).isin(*states))
+        bounded = F.filter(own, lambda v: stated(v["lessThan"]) | stated(v["lessThanOrEqual"]))
+        last = lambda v: F.when(~stated(v["lessThan"]), v["lessThanOrEqual"])
+        ranges = F.transform(bounded, lambda v: F.struct(v["version"].alias("introduced"), F.when(stated(v["lessThan"]), v["lessThan"]).alias("fixed"), last(v).alias("last_affected"), _null("string").alias("type"), _null("string").alias("cpe"), F.lit(False).alias("introduced_exclusive")))
+        single = F.filter(own, lambda v: ~stated(v["lessThan"]) & ~stated(v["lessThanOrEqual"]) & (known(v["version"]) != ""))
+        return F.struct(
+            known(d["vendor"]).alias("vendor"), product(d).alias("product"), _null("string").alias("ecosystem"), _null("string").alias("purl"), _texts().alias("cpes"), F.transform(single, lambda v: v["version"]).alias("versions"),
+            ranges.alias("ranges"), _null("string").alias("default_state"), status.alias("status"), source.alias("source"),
+        )
+
+    named = F.filter(said, lambda d: (known(d["vendor"]) != "") | (product(d) != ""))
+    both = F.flatten(F.transform(named, lambda d: F.array(one(d, ("", "affected"), _null("string")), one(d, ("unaffected",), F.lit("not_affected")))))
+    return F.filter(both, lambda a: a["status"].isNull() | (F.size(a["versions"]) + F.size(a["ranges"]) > 0))
+
+
 def parse_euvd(raw: DataFrame, content: str = "content", source: str = "euvd") -> DataFrame:
     """EUVD items; packed aliases and references are split by line here, and by ``operators.packed`` where delimiters vary."""
     src = F.lit(source)

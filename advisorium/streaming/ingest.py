@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from advisorium.sources.bucketed import BucketedTables
 
 RAW = "source string, record_id string, content string, landed_at timestamp"
 #: Cadence of each source's query, in minutes.
@@ -36,32 +39,34 @@ def raw_stream(spark: SparkSession, landing: Landing, files_per_batch: int = 1_0
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(landing.folder)
 
 
-def archived(spark: SparkSession, path: str) -> DataFrame:
-    """Content hashes seen before: source, record_id, sha256, batch."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    schema = "source string, record_id string, sha256 string, batch bigint"
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+HASHES = "source string, record_id string, sha256 string, batch bigint, before string"
+
+
+def archive_of(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTables:
+    """The newest content hash of each record, with the one before it, by bucket of (source, record_id)."""
+    return BucketedTables(spark, path, {"hashes": ["source", "record_id"]}, {"hashes": StructType.fromDDL(HASHES)}, buckets)
 
 
 def persist_batch(landing: Landing, parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """What a micro-batch does: drop unchanged records, parse the others, write records and hashes.
 
-    A record counts as unchanged if its newest archived content of earlier batches is the same. Hashes are written
-    last, so a batch that failed between the two writes parses its records again.
+    A record counts as unchanged if its newest archived content of earlier batches is the same; only the buckets of
+    the archive that hold records of the batch are read and replaced. Hashes are swapped in last, so a batch that
+    failed between the two writes parses its records again, and one that runs again after both compares with what was
+    there before it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        now = archive_of(spark, landing.archive).begin()
         hashed = batch.withColumn("sha256", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
         newest = hashed.groupBy("source", "record_id").agg(F.max_by(F.struct("content", "sha256", "landed_at"), F.struct("landed_at", "sha256")).alias("r")).select("source", "record_id", "r.*")
-        before = archived(spark, landing.archive).filter(F.col("batch") < number).groupBy("source", "record_id").agg(F.max_by("sha256", "batch").alias("sha256"))
-        fresh = newest.join(before, ["source", "record_id", "sha256"], "left_anti").persist()
+        held = now.lookup("hashes", newest).select("source", "record_id", F.when(F.col("batch") == number, F.col("before")).otherwise(F.col("sha256")).alias("old"))
+        fresh = newest.join(held, ["source", "record_id"], "left").filter(~F.col("sha256").eqNullSafe(F.col("old"))).persist()
         try:
             parse(fresh.select("content")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{landing.records}/batch={number}")
-            fresh.select("source", "record_id", "sha256", F.lit(number).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{landing.archive}/part={number}")
+            now.replace("hashes", fresh.select("source", "record_id", "sha256", F.lit(number).cast("bigint").alias("batch"), F.col("old").alias("before")))
+            now.commit()
         finally:
             fresh.unpersist()
 
