@@ -7,8 +7,9 @@ end every edge leads to the smallest identifier of its component. Each round is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from advisorium.session import Workspace
 
@@ -25,19 +26,18 @@ def links(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def _with_smallest(edges: DataFrame, node: str, total: int) -> DataFrame:
     """``edges`` (node, other) with the smallest ``other`` of each node, which may be the node itself, as ``m``.
 
-    Smallest neighbours are aggregated in part on the map side. Joining them back would send all edges of a node to
-    one task, so the few hot nodes are looked up by broadcast: each holds more than a fixed share of the edges,
-    hence there are at most ``1 / HOT_SHARE`` of them. All others are joined by key.
+    All edges of a node meet in one window, so that they are shuffled once. That would send a hot node's to one task:
+    its smallest neighbour is aggregated with partial results instead and looked up by broadcast. Each hot node holds
+    more than a fixed share of the edges, hence there are at most ``1 / HOT_SHARE`` of them.
     """
-    smallest = edges.groupBy(node).agg(F.min("other").alias("low"), F.count("*").alias("degree"))
-    smallest = smallest.select(node, F.least("low", node).alias("m"), "degree")
+    own = F.least(F.min("other").over(Window.partitionBy(node)), node)
     threshold = max(100_000, int(total * HOT_SHARE))
     if total <= threshold:
-        return edges.join(smallest.select(node, "m"), node)
-    hot = F.broadcast(smallest.filter(F.col("degree") > threshold).select(node, F.col("m").alias("hot_m")))
+        return edges.withColumn("m", own)
+    smallest = edges.groupBy(node).agg(F.min("other").alias("low"), F.count("*").alias("degree")).filter(F.col("degree") > threshold)
+    hot = F.broadcast(smallest.select(node, F.least("low", node).alias("hot_m")))
     marked = edges.join(hot, node, "left")
-    rest = marked.filter("hot_m is null").drop("hot_m").join(smallest.filter(F.col("degree") <= threshold).select(node, "m"), node)
-    return marked.filter("hot_m is not null").withColumnRenamed("hot_m", "m").unionByName(rest)
+    return marked.filter("hot_m is not null").withColumnRenamed("hot_m", "m").unionByName(marked.filter("hot_m is null").drop("hot_m").withColumn("m", own))
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -55,11 +55,13 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(own).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Number of edges and a sum of their hashes, which tell whether a round changed anything."""
+def _stored(work: Workspace, edges: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """Edges written to the shared folder, with their number and a sum of their hashes, which tell whether a round
+    changed anything; both are observed while the edges are written."""
+    seen = Observation()
     h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    r = edges.agg(F.count("*").alias("n"), F.sum(h).alias("h")).first()
-    return r.n, int(r.h or 0)
+    stored = work.store(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")), label, keep=2)
+    return stored, (seen.get["n"] or 0, int(seen.get["h"] or 0))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -69,16 +71,15 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     ``MAX_ROUNDS`` is an error.
     """
     work = Workspace(edges.sparkSession, name)
-    now = work.store(edges, "edges", keep=2)
-    mark = _mark(now)
+    now, mark = _stored(work, edges, "edges")
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
             return now
         wide = work.store(large_star(now, mark[0]), "large", keep=2)
-        now = work.store(small_star(wide, mark[0]), "small", keep=2)
-        last, mark = mark, _mark(now)
-        if mark == last:
+        now, new = _stored(work, small_star(wide, mark[0]), "small")
+        if new == mark:
             return now
+        mark = new
     raise RuntimeError(f"{name}: still changing after {MAX_ROUNDS} rounds")
 
 
