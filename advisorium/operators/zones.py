@@ -198,40 +198,42 @@ def declared_zones(sources: DataFrame, known: list[str]) -> dict[str, str]:
     return {r.source_name: r.local_zone for r in rows if r.local_zone in good}
 
 
-def evidence_rows(df: DataFrame, feed: Feed, zones: list[str]) -> DataFrame:
-    """The rows of a feed that say something about its zone: local clocks with their bounds.
-
-    An instant lies no later than its ingestion, no earlier than ``feed.earlier`` where that states its own zone, and
-    among the instants that other rows of the entity state with a zone, give or take what spellings cut off. Known
-    instants are reduced to a least and greatest one per entity before they are joined.
-    """
+def _evidence_columns(df: DataFrame, feed: Feed) -> DataFrame:
     none = F.lit(None)
     upper = us_of_ntz(F.col(feed.ingested)) if feed.ingested else none.cast("bigint")
-    held = df.select(
+    return df.select(
         F.lit(feed.source).alias("source"), F.col(feed.text).alias("text"), (F.col(feed.earlier) if feed.earlier else none).cast("string").alias("earlier"),
         (feed.entity if feed.entity is not None else none).cast("string").alias("entity"), upper.alias("upper_us"),
     )
-    read = read_times(held, "text", zones)
+
+
+def evidence_rows(inputs: list[tuple[DataFrame, Feed]], zones: list[str]) -> DataFrame:
+    """The rows of feeds that say something about their zones: local clocks with their bounds.
+
+    An instant lies no later than its ingestion, no earlier than ``feed.earlier`` where that states its own zone, and
+    among the instants that other rows of the entity state with a zone, give or take what spellings cut off. Known
+    instants are reduced to a least and greatest one per entity before they are joined. All feeds are read in one plan.
+    """
+    read = read_times(_union([_evidence_columns(df, feed) for df, feed in inputs]), "text", zones)
     local = read.filter("time_kind = 'local'").select("source", F.col("time_us").alias("wall_us"), "earlier", "entity", "upper_us")
-    bounded = add_instant(read_times(local, "earlier", zones), "lower_us", None)
-    if feed.entity is not None:
+    bounded = add_instant(read_times(local, "earlier", zones), "lower_us", None) if any(f.earlier for _, f in inputs) else local.withColumn("lower_us", F.lit(None).cast("bigint"))
+    if any(f.entity is not None for _, f in inputs):
         stated = add_instant(read.filter("time_kind in ('epoch', 'offset', 'zone') and entity is not null"), "at", None)
-        span = stated.groupBy("entity").agg((F.min("at") - SPELLING_SLACK_US).alias("from_us"), (F.max("at") + SPELLING_SLACK_US).alias("to_us"))
-        bounded = bounded.join(span, "entity", "left").withColumns({"lower_us": F.greatest("lower_us", "from_us"), "upper_us": F.least("upper_us", "to_us")})
+        span = stated.groupBy("source", "entity").agg((F.min("at") - SPELLING_SLACK_US).alias("from_us"), (F.max("at") + SPELLING_SLACK_US).alias("to_us"))
+        bounded = bounded.join(span, ["source", "entity"], "left").withColumns({"lower_us": F.greatest("lower_us", "from_us"), "upper_us": F.least("upper_us", "to_us")})
     return bounded.select("source", "wall_us", "lower_us", "upper_us")
 
 
-def normalized_times(df: DataFrame, feed: Feed, zone: str | Column | None, zones: list[str]) -> DataFrame:
-    """One row per readable text: table_name, row_no, epoch_us.
+def normalized_times(inputs: list[tuple[DataFrame, Feed]], zone_by_source: dict[str, Column | None], zones: list[str]) -> DataFrame:
+    """One row per readable text of the feeds: table_name, row_no, epoch_us.
 
     Null, blank, incomplete, impossible and ambiguous texts give no row; repeated rows each give theirs. A local
-    text gives no row where ``zone`` is null.
+    text gives no row where its source has no zone. All feeds are read in one plan.
     """
-    held = df.select(F.col(feed.key).cast("bigint").alias("row_no"), F.col(feed.text).alias("text"))
-    if isinstance(zone, str):
-        zone = F.lit(zone)
+    held = _union([df.select(F.lit(f.table).alias("table_name"), F.lit(f.source).alias("source"), F.col(f.key).cast("bigint").alias("row_no"), F.col(f.text).alias("text")) for df, f in inputs])
+    zone = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("source") == s, z) for s, z in zone_by_source.items() if z is not None])
     at = add_instant(read_times(held, "text", zones), "epoch_us", zone)
-    return at.select(F.lit(feed.table).alias("table_name"), "row_no", "epoch_us").filter(F.col("epoch_us").isNotNull())
+    return at.select("table_name", "row_no", "epoch_us").filter(F.col("epoch_us").isNotNull())
 
 
 class TimeNormalizer:
@@ -244,11 +246,7 @@ class TimeNormalizer:
         self.histories = offset_histories(("UTC", *self.zones))
 
     def evidence(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
-        rows = [evidence_rows(df, feed, self.zones) for df, feed in inputs]
-        union = rows[0]
-        for more in rows[1:]:
-            union = union.unionByName(more)
-        return zone_evidence(union)
+        return zone_evidence(evidence_rows(inputs, self.zones))
 
     def scores(self, inputs: list[tuple[DataFrame, Feed]]) -> DataFrame:
         """``zone_scores`` of the given feeds."""
@@ -284,7 +282,7 @@ class TimeNormalizer:
         """One row per readable text: table_name, row_no, epoch_us. The zones are estimated from ``evidence``, or else
         from the feeds themselves. Local texts that nothing places are those of ``unplaced``."""
         segments = self.estimate(evidence or inputs, withheld)
-        return _union([normalized_times(df, feed, self.zone_of(feed.source, segments), self.zones) for df, feed in inputs])
+        return normalized_times(inputs, {s: self.zone_of(s, segments) for s in dict.fromkeys(f.source for _, f in inputs)}, self.zones)
 
     def unplaced(self, inputs: list[tuple[DataFrame, Feed]], evidence: list[tuple[DataFrame, Feed]] | None = None) -> DataFrame:
         """Local texts of sources whose zone nothing tells, as they stand: table_name, row_no, text."""
