@@ -20,9 +20,10 @@ from advisorium.sources.shared import Pointer, SharedFolder
 
 #: Snapshot times are a calendar: beyond so many they are joined by shuffle instead of sent to every task.
 MAX_BROADCAST_SNAPSHOTS = 50_000
+#: Entity buckets at least; a session with more shuffle partitions has as many.
+BUCKETS = 16
 #: With more snapshot times new at once every chain is built anew instead of those that span one.
 MAX_LISTED_TIMES = 1_000
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,12 @@ class HistoryStore:
     count, bucket by bucket: buckets that an apply does not touch stay where they are, and the swap lets all replaced
     chains count at once. Readers see the old chains or the new ones and never a mixture; a writer that is lost leaves
     files that nothing names, and of two writers that began from one state the second is refused. Applying the same
-    rows again gives the same chains.
+    rows again gives the same chains. The number of buckets belongs to the store: it is noted in its first state.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, spec: SnapshotSpec, buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.spec, self.buckets = spark, folder.rstrip("/"), spec, buckets
+    def __init__(self, spark: SparkSession, folder: str, spec: SnapshotSpec, buckets: int | None = None) -> None:
+        self.spark, self.folder, self.spec = spark, folder.rstrip("/"), spec
+        self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.pointer, self.files = Pointer(spark, self.folder), SharedFolder(spark, self.folder)
 
     def _write(self, df: DataFrame, kind: str, token: str) -> dict[str, str]:
@@ -124,6 +126,7 @@ class HistoryStore:
         their chains are built anew as a whole and replace the old ones.
         """
         number, state = self.pointer.read()
+        self.buckets = state.get("buckets", self.buckets)
         token = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
         fresh_rows = standing_rows(updates, self.spec)
         added = self._write(fresh_rows, "raw", token)
@@ -148,7 +151,7 @@ class HistoryStore:
             buckets, chains = [*added], chains_of(new, calendar, self.spec)
         written = self._write(chains, "chains", token)
         untouched = {b: n for b, n in old.items() if b not in buckets}
-        self.pointer.swap(number, {"raw": raw, "chains": untouched | written, "calendar": f"calendar/v={token}"})
+        self.pointer.swap(number, {"raw": raw, "chains": untouched | written, "calendar": f"calendar/v={token}", "buckets": self.buckets})
         return self.read(updates)
 
     def _touched(self, new: DataFrame, fresh: DataFrame, state: dict, rows_schema) -> DataFrame:
@@ -172,7 +175,7 @@ class HistoryStore:
         return self._chains(self.pointer.read()[1], standing_rows(like, self.spec).schema)
 
 
-def history_with_late_rows(raw: DataFrame, late: Column, spec: SnapshotSpec, folder: str, buckets: int = BUCKETS) -> DataFrame:
+def history_with_late_rows(raw: DataFrame, late: Column, spec: SnapshotSpec, folder: str, buckets: int | None = None) -> DataFrame:
     """Full history of ``raw``, where ``late`` marks the rows that arrived after their snapshot's regular load.
 
     The regular rows make the stored chains; the late ones are applied to the store, which rebuilds and replaces the
