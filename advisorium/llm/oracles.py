@@ -10,9 +10,7 @@ _NOTHING = """'', 'to be published', 'no description', '-', '--', '?', '??', 'n/
   'description pending', 'to be determined', 'see references', 'placeholder entry, text will be supplied later', '** reserved ** details follow once the vendor has published'"""
 _STEM = rf"trim(regexp_replace({_SAYS}, '[.…]+$', ''))"
 
-ORACLES: dict[str, str] = {
-    "p3_found": f"""
-WITH r AS (
+_CHOSEN = f"""WITH r AS (
   SELECT {sql_id("id")} AS vuln_id, record_no, updated_at,
     CASE WHEN description IS NOT NULL AND {_STEM} NOT IN ({_NOTHING}) THEN 1 END AS says,
     CASE WHEN modified <= updated_at THEN modified END AS m,
@@ -30,5 +28,10 @@ SELECT vuln_id,
   coalesce(max(record_no) FILTER (WHERE p_at = 1 AND p IS NOT NULL), 0) AS published_from,
   coalesce(max(record_no) FILTER (WHERE m_at = 1 AND m IS NOT NULL), 0) AS modified_from,
   array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') AS all_sources
-FROM ordered GROUP BY vuln_id HAVING count(*) >= 2""",
+FROM ordered GROUP BY vuln_id HAVING count(*) >= 2"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": _CHOSEN,
+    "p3_records": f"""SELECT c.vuln_id, d.description, strftime(p.published, '%Y-%m-%d %H:%M:%S.%f') AS published, strftime(m.modified, '%Y-%m-%d %H:%M:%S.%f') AS modified, c.all_sources
+  FROM ({_CHOSEN}) c LEFT JOIN vulnerabilities d ON d.record_no = c.description_from LEFT JOIN vulnerabilities p ON p.record_no = c.published_from LEFT JOIN vulnerabilities m ON m.record_no = c.modified_from""",
 }
