@@ -17,6 +17,9 @@ from advisorium.session import Workspace
 SCALARS = ("title", "description", "assigner", "state")
 SETS = ("aliases", "related", "cwes", "tags")
 MAX_ROUNDS = 60
+#: A name with more than this share of all edges is hot; there are at most 1 / share such names.
+HOT_SHARE = 1 / 2000
+HOT_LEAST = 100_000
 
 
 def accepted_records(records: DataFrame) -> DataFrame:
@@ -110,27 +113,44 @@ def canonical_ids(members: DataFrame, group: str, name: str) -> DataFrame:
     return members.groupBy(group).agg(best).select(group, F.col("b.n").alias("canonical_id"))
 
 
+def _renamed(edges: DataFrame, moved: DataFrame, side: str, n_edges: int) -> DataFrame:
+    """``edges`` with the names of one side replaced by the places they moved to.
+
+    Names with more than ``HOT_SHARE`` of the edges are looked up by a broadcast, of which there are at most
+    ``1 / HOT_SHARE``; all others are joined by name.
+    """
+    threshold = max(HOT_LEAST, int(n_edges * HOT_SHARE))
+    to = moved.select(F.col("a").alias(side), F.col("to").alias("__to"), "degree")
+    if n_edges <= threshold:
+        return edges.join(to.drop("degree"), side).drop(side).withColumnRenamed("__to", side)
+    hot = F.broadcast(to.filter(F.col("degree") > threshold).select(side, F.col("__to").alias("__hot")))
+    marked = edges.join(hot, side, "left")
+    rest = marked.filter("__hot is null").drop("__hot").join(to.filter(F.col("degree") <= threshold).drop("degree"), side)
+    both = marked.filter("__hot is not null").withColumnRenamed("__hot", "__to").unionByName(rest)
+    return both.drop(side).withColumnRenamed("__to", side)
+
+
 def alias_clusters(pairs: DataFrame) -> DataFrame:
     """Clusters of names that share a record, by contraction: name, cluster (the smallest name of the cluster).
 
     Each round every name moves to the neighbour that comes first in an order drawn anew by hash, and edges are drawn
     between the places moved to. Random orders leave no long chains, so a constant share of the names goes in every
-    round, on paths as on stars. Rounds are written to the shared folder; names with most of the edges are left to
-    the skew join of adaptive execution, since their side of the join is a single row.
+    round, on paths as on stars. Rounds are written to the shared folder, of which the last of each kind stay.
     """
-    work = Workspace(pairs.sparkSession, "clusters")
+    work = {k: Workspace(pairs.sparkSession, f"clusters-{k}") for k in ("edges", "labels", "moves")}
+    store = lambda df, kind: work[kind].store(df, kind, keep=2)
     known = pairs.filter("a is not null and b is not null and a != b").select("a", "b")
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).filter("name is not null").distinct()
-    edges = work.store(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = work.store(names.select("name", F.col("name").alias("label")), "labels")
+    edges = store(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = store(names.select("name", F.col("name").alias("label")), "labels")
     for r in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        n_edges = edges.count()
+        if not n_edges:
             return labels.join(labels.groupBy("label").agg(F.min("name").alias("cluster")), "label").select("name", "cluster")
         drawn = lambda c: F.struct(F.xxhash64(F.lit(r), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
-        first = edges.groupBy("a").agg(F.min(drawn("b")).alias("m")).select("a", F.least(drawn("a"), F.col("m"))["n"].alias("to"))
-        moved = work.store(first, "moves")
-        half = edges.join(moved, "a").select(F.col("to").alias("a"), "b")
-        whole = half.join(moved.select(F.col("a").alias("b"), F.col("to").alias("__b")), "b").select("a", F.col("__b").alias("b"))
-        edges = work.store(whole.filter("a != b").distinct(), "edges")
-        labels = work.store(labels.join(moved.withColumnRenamed("a", "label"), "label", "left").select("name", F.coalesce("to", "label").alias("label")), "labels")
+        first = edges.groupBy("a").agg(F.min(drawn("b")).alias("m"), F.count("*").alias("degree")).select("a", F.least(drawn("a"), F.col("m"))["n"].alias("to"), "degree")
+        moved = store(first, "moves")
+        whole = _renamed(_renamed(edges, moved, "a", n_edges), moved, "b", n_edges)
+        edges = store(whole.select("a", "b").filter("a != b").distinct(), "edges")
+        labels = store(labels.join(moved.select(F.col("a").alias("label"), "to"), "label", "left").select("name", F.coalesce("to", "label").alias("label")), "labels")
     raise RuntimeError(f"names still move after {MAX_ROUNDS} rounds")

@@ -112,10 +112,10 @@ def reduce_verdicts(verdicts: DataFrame, minimum: str = "possible") -> DataFrame
 
 
 def ordered_findings(findings: DataFrame, summaries: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings with their flaw's summary in report order: exploited first, then confidence, epss, score, flaw, name."""
+    """Findings with their flaw's summary in report order: exploited first, then confidence, epss, score, flaw, name, component."""
     rank = F.coalesce(*[F.when(F.col("confidence") == c, r) for c, r in RANKS.items()], F.lit(0))
     full = findings.filter("outcome = 'finding'").join(summaries, "vuln_id", "left").join(names, "comp_id", "left")
-    return full.orderBy(F.coalesce("in_kev", F.lit(False)).desc(), rank.desc(), F.coalesce("epss_score", F.lit(0.0)).desc(), F.coalesce("primary_score", F.lit(0.0)).desc(), "vuln_id", "name")
+    return full.orderBy(F.coalesce("in_kev", F.lit(False)).desc(), rank.desc(), F.coalesce("epss_score", F.lit(0.0)).desc(), F.coalesce("primary_score", F.lit(0.0)).desc(), "vuln_id", "name", "comp_id")
 
 
 def confidence_counts(findings: DataFrame) -> DataFrame:

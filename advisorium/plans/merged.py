@@ -97,4 +97,6 @@ ORACLES: dict[str, str] = {
     "retired_rows": f"{_STORED} SELECT DISTINCT doc_id, key FROM said WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.doc_id = said.doc_id AND f.key = said.key)",
     "store_statements": f"{_STORED} SELECT doc_id, key, body FROM final",
     "folded_ids": f"""{CLUSTERS} SELECT name, arg_min(other, struct_pack(r := {_RANK.format(c="other")}, n := other)) AS doc_id FROM reach GROUP BY name""",
+    "alias_clusters": f"""{CLUSTERS}, told AS (SELECT a AS n FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL)
+      SELECT DISTINCT cluster, canonical_id FROM (SELECT min(other) AS cluster, arg_min(other, struct_pack(r := {_RANK.format(c="other")}, n := other)) AS canonical_id FROM reach WHERE name IN (SELECT n FROM told) GROUP BY name)""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from advisorium.functions import ids, packages, severity, text
-from advisorium.operators import enrich, listing, matching, merge, scan
+from advisorium.operators import detail, enrich, listing, matching, merge, scan
 from advisorium.plans.problems import catalog_snapshots
 from advisorium.session import Workspace, table
 from advisorium.sinks import exports
@@ -168,6 +168,42 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
     return scan.confidence_counts(scan_findings(spark, d))
 
 
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 findings in report order; what a flaw's summary says is derived from its order."""
+    flaws = table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"]).select(
+        F.concat(F.lit("CVE-2024-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("vuln_id"), (F.col("o_orderstatus") == "F").alias("in_kev"), (F.col("o_totalprice") / 1e6).alias("epss_score"), (F.col("o_orderkey") % 100 / 10).alias("primary_score"),
+    )
+    named = components(spark, d).select("comp_id", "name")
+    return scan.ordered_findings(scan_findings(spark, d), flaws, named).limit(200).select("comp_id", "vuln_id", "name", "in_kev")
+
+
+def channel_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The first three statements of each key, where statements name their product by package URL, ecosystem, vendor or
+    name alone, by their place in the order, and components by all four."""
+    said, place = statements(spark, d), F.col("low") % 4
+    purl = F.concat(F.lit("pkg:npm/"), "product")
+    offered = said.select("vuln_id", "fingerprint", "product", F.when(place == 0, purl).alias("purl"), F.when(place == 1, "npm").alias("ecosystem"), F.when(place == 2, F.col("vendor")).alias("vendor"))
+    comps = components(spark, d).withColumns({"purl": F.concat(F.lit("pkg:npm/"), "name", F.lit("@"), "version", F.lit("?a=b#c")), "ecosystem": F.lit("NPM")})
+    return scan.candidates(comps, offered, per_key=3)[0]
+
+
+def flaw_details(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of the alias table looked up: the flaw it leads to, by which way, and its first entry in the exploited
+    catalogue and highest prediction under any of its names."""
+    known = names(spark, d)
+    own = table(spark, d, "vulnerabilities", ["id"]).select(ids.identifier("id").alias("id")).filter("id is not null").groupBy("id").agg(F.count("*").alias("n_records"))
+    best = predicted(spark, d).groupBy("cve_id").agg(F.max("score").alias("score"))
+    found = detail.by_name(table(spark, d, "vuln_aliases", ["alias"]).select(ids.identifier("alias").alias("name")).distinct(), known, own)
+    side = detail.with_side_tables(found, known, exploited(spark, d), best)
+    return side.select("name", "id", "matched_via", "n_records", "kev_cve_id", F.date_format("date_added", "yyyy-MM-dd").alias("date_added"), "epss_cve_id", F.round("score", 6).alias("score"))
+
+
+def merged_children(spark: SparkSession, d: str) -> DataFrame:
+    """Of the lines of a part and supplier the one that came last."""
+    lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).withColumn("seq", F.struct("l_orderkey", "l_linenumber"))
+    return merge.merged_children(lines, ["l_partkey", "l_suppkey"]).drop("seq")
+
+
 def version_windows(spark: SparkSession, d: str) -> DataFrame:
     """Sizes as versions inside the window of each statement, by sort keys alone."""
     rows = statements(spark, d).select("vuln_id", "fingerprint", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), F.col("p_size").cast("string").alias("v"), F.lit("semver").alias("s"))
@@ -366,7 +402,7 @@ QUERIES: dict[str, Query] = {
     "counts_by_rating": lambda spark, d: enrich.counts_by_rating(corpus(spark, d)), "counts_by_source": lambda spark, d: enrich.counts_by_source(corpus(spark, d)),
     "vendor_ranks": vendor_ranks, "vendor_top": vendor_top, "version_guard": version_guard, "fold_documents": fold_documents,
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
-    "scan_findings": scan_findings, "scan_counts": scan_counts, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
+    "scan_findings": scan_findings, "scan_counts": scan_counts, "scan_report": scan_report, "channel_lookups": channel_lookups, "flaw_details": flaw_details, "merged_children": merged_children, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
     "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace_all": kev_replace_all, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }

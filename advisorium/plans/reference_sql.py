@@ -38,7 +38,29 @@ def _safe(c: str) -> str:
     return rf"CASE WHEN regexp_matches({t}, '^[=+\-@\t\r]') THEN chr(39) || {t} ELSE {t} END"
 
 
+def _metric(name: str) -> str:
+    return rf"regexp_extract('/' || upper(trim(base_score_vector)), '.*/\s*{name}\s*:\s*([^/]*?)\s*(?:/|$)', 1)"
+
+
+def _weight(name: str, **values: float) -> str:
+    return f"CASE {_metric(name)} " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in values.items()) + " END"
+
+
+# The published formulas of CVSS 3 and 2, stated here by themselves.
+_LOSS = "1 - (1 - ({c})) * (1 - ({i})) * (1 - ({a}))"
+_LOSS3 = _LOSS.format(**{n.lower(): _weight(n, H=0.56, L=0.22, N=0.0) for n in "CIA"})
+_LOSS2 = _LOSS.format(**{n.lower(): _weight(n, N=0.0, P=0.275, C=0.66) for n in "CIA"})
+_EASY3 = f"CAST(8.22 AS DOUBLE) * ({_weight('AV', N=0.85, A=0.62, L=0.55, P=0.2)}) * ({_weight('AC', L=0.77, H=0.44)}) * (CASE WHEN {_metric('S')} = 'C' THEN {_weight('PR', N=0.85, L=0.68, H=0.5)} ELSE {_weight('PR', N=0.85, L=0.62, H=0.27)} END) * ({_weight('UI', N=0.85, R=0.62)})"
+_EASY2 = f"CAST(20.0 AS DOUBLE) * ({_weight('AV', L=0.395, A=0.646, N=1.0)}) * ({_weight('AC', H=0.35, M=0.61, L=0.71)}) * ({_weight('AU', M=0.45, S=0.56, N=0.704)})"
+_SCORES = f"""WITH v AS (SELECT item_no, trim(base_score_vector) AS v, {_metric('S')} = 'C' AS changed, {_LOSS3} AS iss, {_EASY3} AS easy, CAST(10.41 AS DOUBLE) * ({_LOSS2}) AS impact2, {_EASY2} AS easy2 FROM euvd_items),
+      w AS (SELECT *, CASE WHEN changed THEN CAST(7.52 AS DOUBLE) * (iss - CAST(0.029 AS DOUBLE)) - CAST(3.25 AS DOUBLE) * pow(iss - CAST(0.02 AS DOUBLE), 15) ELSE CAST(6.42 AS DOUBLE) * iss END AS impact FROM v),
+      x AS (SELECT *, CASE WHEN (impact + easy) * (CASE WHEN changed THEN CAST(1.08 AS DOUBLE) ELSE 1 END) > 10 THEN 10 ELSE (impact + easy) * (CASE WHEN changed THEN CAST(1.08 AS DOUBLE) ELSE 1 END) END AS raw,
+        (CAST(0.6 AS DOUBLE) * impact2 + CAST(0.4 AS DOUBLE) * easy2 - CAST(1.5 AS DOUBLE)) * (CASE WHEN impact2 = 0 THEN 0 ELSE CAST(1.176 AS DOUBLE) END) AS raw2 FROM w)"""
+
 ORACLES: dict[str, str] = {
+    "base_scores": f"""{_SCORES} SELECT item_no, CASE WHEN v LIKE 'CVSS:3.1%' OR v LIKE 'CVSS:3.0%' THEN CASE WHEN impact <= 0 AND easy IS NOT NULL THEN 0
+        WHEN v LIKE 'CVSS:3.1%' THEN CASE WHEN CAST(round(raw * 100000) AS BIGINT) % 10000 = 0 THEN round(raw * 100000) / 100000 ELSE (floor(round(raw * 100000) / 10000) + 1) / 10 END ELSE ceil(raw * 10) / 10 END
+      WHEN v LIKE 'AV:%' THEN floor(greatest(raw2, 0) * 10 + 0.5) / 10 END AS score FROM x""",
     "list_modified": _list("modified >= TIMESTAMP '2025-06-01'", "modified DESC NULLS LAST, id", 200),
     "list_published": _list("published >= TIMESTAMP '2025-06-01'", "published DESC NULLS LAST, id", 50, 25),
     "list_score": _list("primary_score BETWEEN 5 AND 9", "primary_score DESC NULLS LAST, id", 100, 50, ", primary_score"),
@@ -82,6 +104,24 @@ ORACLES: dict[str, str] = {
     "scan_counts": f"""WITH {_STATEMENTS}, {_COMPONENTS}, f AS (SELECT DISTINCT comp_id, vuln_id FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high)
       SELECT 'possible' AS confidence, count(*) AS n FROM f HAVING count(*) > 0""",
     "id_lists": rf"""SELECT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat([id], coalesce(aliases, [])), lambda x: {sql_form("x")}), lambda x: x <> ''))), '|') AS identifiers FROM vulnerabilities""",
+    "scan_report": f"""WITH {_STATEMENTS}, {_COMPONENTS}, f AS (SELECT DISTINCT comp_id, name, vuln_id FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high),
+      o AS (SELECT 'CVE-2024-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS vuln_id, o_orderstatus = 'F' AS in_kev, o_totalprice / 1e6 AS epss, (o_orderkey % 100) / 10 AS score FROM orders)
+      SELECT comp_id, vuln_id, name, in_kev FROM f LEFT JOIN o USING (vuln_id) ORDER BY coalesce(in_kev, false) DESC, coalesce(epss, 0) DESC, coalesce(score, 0) DESC, vuln_id, name, comp_id LIMIT 200""",
+    "channel_lookups": f"""WITH {_STATEMENTS}, {_COMPONENTS},
+      asked AS (SELECT comp_id, unnest([{{c: 1, k: 'pkg:npm/' || name}}, {{c: 2, k: 'npm|' || name}}, {{c: 3, k: vendor || '|' || name}}, {{c: 4, k: name}}], recursive := true) FROM comps),
+      offered AS (SELECT vuln_id, fingerprint, 4 AS c, product AS k FROM said UNION ALL SELECT vuln_id, fingerprint, 1, 'pkg:npm/' || product FROM said WHERE low % 4 = 0
+        UNION ALL SELECT vuln_id, fingerprint, 2, 'npm|' || product FROM said WHERE low % 4 = 1 UNION ALL SELECT vuln_id, fingerprint, 3, vendor || '|' || product FROM said WHERE low % 4 = 2),
+      ranked AS (SELECT * FROM offered QUALIFY row_number() OVER (PARTITION BY c, k ORDER BY vuln_id, fingerprint) <= 3)
+      SELECT DISTINCT comp_id, vuln_id, fingerprint FROM asked JOIN ranked USING (c, k)""",
+    "flaw_details": f"""WITH {_NAMES}, {_KEV}, {_EPSS}, best AS (SELECT cve_id, max(score) AS score FROM epss GROUP BY 1),
+      own AS (SELECT {sql_id("id")} AS id, count(*) AS n_records FROM vulnerabilities WHERE {sql_id("id")} IS NOT NULL GROUP BY 1),
+      asked AS (SELECT DISTINCT {sql_id("alias")} AS name FROM vuln_aliases WHERE {sql_id("alias")} IS NOT NULL),
+      ways AS (SELECT name, 'id' AS via, 0 AS r, name AS id FROM asked WHERE name IN (SELECT id FROM own) UNION ALL SELECT name, 'alias', 1, vuln_id FROM asked JOIN names ON alias = name),
+      led AS (SELECT name, arg_min(id, struct_pack(r := r, i := id)) AS id, arg_min(via, r) AS matched_via FROM ways GROUP BY 1),
+      k AS (SELECT vuln_id AS id, arg_min(cve_id, struct_pack(d := date_added, c := cve_id)) AS kev_cve_id, min(date_added) AS date_added FROM kev JOIN names ON alias = cve_id GROUP BY 1),
+      p AS (SELECT vuln_id AS id, arg_min(cve_id, struct_pack(s := -score, c := cve_id)) AS epss_cve_id, max(score) AS score FROM best JOIN names ON alias = cve_id GROUP BY 1)
+      SELECT name, id, matched_via, n_records, kev_cve_id, strftime(date_added, '%Y-%m-%d') AS date_added, epss_cve_id, round(score, 6) AS score FROM led JOIN own USING (id) LEFT JOIN k USING (id) LEFT JOIN p USING (id)""",
+    "merged_children": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1",
     "version_windows": f"WITH {_STATEMENTS} SELECT p_size >= low AND p_size < high AS inside, count(*) AS n FROM said GROUP BY 1",
     "verdict_batch": f"""WITH {_STATEMENTS} SELECT CASE WHEN p_size >= low AND p_size < high THEN 'match' ELSE 'no_match' END AS result, CASE WHEN p_size >= low AND p_size < high THEN 'possible' END AS confidence, count(*) AS n FROM said GROUP BY ALL""",
     "id_forms": rf"""SELECT record_no, {sql_id("id")} AS identifier, CASE WHEN regexp_full_match({sql_trim("id")}, '(?i)CVE-\d{{4}}-\d{{4,}}') THEN 0 WHEN regexp_full_match({sql_trim("id")}, '(?i)GHSA(-[a-z0-9]{{4}}){{3}}') THEN 1

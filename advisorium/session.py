@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,9 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
+        if path.startswith("file:"):  # needs no session, which may have ended
+            shutil.rmtree(unquote(urlparse(path).path), ignore_errors=True)
+            return
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -73,7 +78,7 @@ def clean_up() -> None:
     """Remove the folders of all workspaces of this process; frames that read them are then void."""
     while Workspace._made:
         w = Workspace._made.pop()
-        if w.spark.sparkContext._jsc is not None:
+        if w.folder.startswith("file:") or w.spark.sparkContext._jsc is not None:
             w.drop(w.folder)
 
 

@@ -41,7 +41,11 @@ class SharedFolder:
         try:
             with open(beside, "wb") as f:
                 f.write(text)
-            os.link(beside, final)
+            try:
+                os.link(beside, final)
+            except PermissionError:  # a disk without hard links: the name is taken first and then filled
+                with open(final, "xb") as f:
+                    f.write(text)
         except FileExistsError:
             return False
         finally:

@@ -7,7 +7,7 @@ from advisorium.sources import documents
 OSV = {
     "id": "ghsa-AAAA-bbbb-cccc", "aliases": ["cve-2024-0001"], "related": ["X-1"], "upstream": ["X-2"], "modified": "2024-01-02T03:04:05.123456789Z", "published": "2024-01-01T00:00:00Z",
     "summary": "s", "details": "", "severity": [{"type": "CVSS_V3", "score": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"}, {"type": "Ubuntu", "score": "high"}],
-    "affected": [{"package": {"ecosystem": "npm", "name": "marked", "purl": "pkg:npm/marked"}, "ranges": [{"type": "semver", "events": [{"introduced": "0"}, {"fixed": "1"}, {"introduced": "2"}, {"last_affected": "3"}, {"introduced": "4"}]}, {"type": "SEMVER", "events": [{"fixed": "9"}, {"introduced": "8"}]}], "versions": ["0.1"]}],
+    "affected": [{"package": {"ecosystem": "npm", "name": "tinymd", "purl": "pkg:npm/tinymd"}, "ranges": [{"type": "semver", "events": [{"introduced": "0"}, {"fixed": "1"}, {"introduced": "2"}, {"last_affected": "3"}, {"introduced": "4"}]}, {"type": "SEMVER", "events": [{"fixed": "9"}, {"introduced": "8"}]}], "versions": ["0.1"]}],
     "references": [{"type": "WEB", "url": "https://a"}, {"type": "WEB", "url": ""}], "database_specific": {"cwe_ids": ["CWE-79", "CWE-79"]},
 }
 NVD = {

@@ -20,14 +20,14 @@ def statement(*ranges, **k):
     return base | {"ranges": list(ranges)} | k
 
 
-NPM = component(name="marked", version="4.0.9", purl="pkg:npm/marked@4.0.9")
+NPM = component(name="tinymd", version="3.7.9", purl="pkg:npm/tinymd@3.7.9")
 DEB = component(name="openssl", version="3.0.2-0ubuntu1", ecosystem="Ubuntu:22.04")
 CPE = component(name="http_server", version="2.4.49", cpe="cpe:2.3:a:apache:http_server:2.4.49:*:*:*:*:*:*:*")
-NPM_ROW = {"purl": "pkg:npm/marked", "ecosystem": "npm"}
+NPM_ROW = {"purl": "pkg:npm/tinymd", "ecosystem": "npm"}
 CASES = [
-    (NPM, statement(window("0", "4.0.10", kind="SEMVER"), **NPM_ROW), ("match", "purl", "confirmed", "semver", "")),
-    (NPM | {"version": "4.0.10"}, statement(window("0", "4.0.10", kind="SEMVER"), **NPM_ROW), ("no_match", "purl", None, "semver", "out_of_range")),
-    (NPM, statement(window("0", "4.0.10"), purl="pkg:npm/other", product="marked"), ("no_match", "", None, "", "purl_mismatch")),
+    (NPM, statement(window("0", "3.7.10", kind="SEMVER"), **NPM_ROW), ("match", "purl", "confirmed", "semver", "")),
+    (NPM | {"version": "3.7.10"}, statement(window("0", "3.7.10", kind="SEMVER"), **NPM_ROW), ("no_match", "purl", None, "semver", "out_of_range")),
+    (NPM, statement(window("0", "3.7.10"), purl="pkg:npm/other", product="tinymd"), ("no_match", "", None, "", "purl_mismatch")),
     (NPM | {"version": None}, statement(window("0", "5"), **NPM_ROW), ("undecidable", "purl", None, "", "no_component_version")),
     (NPM, statement(**NPM_ROW), ("undecidable", "purl", None, "", "no_version_data")),
     (NPM, statement(window("0", "5"), status="not_affected", **NPM_ROW), ("suppressed", "purl", "confirmed", "semver", "not_affected")),
@@ -36,7 +36,7 @@ CASES = [
     (NPM, statement(window(None, "unknown"), **NPM_ROW), ("undecidable", "purl", None, "semver", "sentinel_upper_bound")),
     (NPM, statement(window("0"), **NPM_ROW), ("match", "purl", "possible", "semver", "")),
     (NPM, statement(window("abcdef1", "abcdef2", kind="GIT"), **NPM_ROW), ("undecidable", "purl", None, "opaque", "opaque_scheme:GIT")),
-    (NPM, statement(versions=["4.0.9"], **NPM_ROW), ("match", "purl", "confirmed", "semver", "")),
+    (NPM, statement(versions=["3.7.9"], **NPM_ROW), ("match", "purl", "confirmed", "semver", "")),
     (NPM, statement(versions=["4.0.8"], **NPM_ROW), ("undecidable", "purl", None, "semver", "open_version_enumeration")),
     (NPM, statement(versions=["4.0.8"], source="cvelist", default_state="unaffected", **NPM_ROW), ("no_match", "purl", None, "semver", "out_of_range")),
     (NPM, statement(versions=["4.0.8"], source="cvelist", default_state="affected", **NPM_ROW), ("match", "purl", "possible", "semver", "")),

@@ -220,6 +220,14 @@ def test_clusters_match_union_find(spark, sf):
     assert {r.name: r.cluster for r in merge.alias_clusters(pairs).collect()} == {n: find(n) for n in up}
 
 
+def test_clusters_around_a_hot_name(spark, monkeypatch):
+    monkeypatch.setattr(merge, "HOT_LEAST", 20)
+    star = [("hub", f"x{i:03}") for i in range(200)] + [(f"x{i:03}", f"y{i:03}") for i in range(0, 200, 2)] + [("z1", "z2"), ("z3", "z3"), (None, "z4"), ("z5", None)]
+    got = {r.name: r.cluster for r in merge.alias_clusters(spark.createDataFrame(star, "a string, b string")).collect()}
+    assert len(got) == 301 + 5 and {c for n, c in got.items() if n[0] != "z"} == {"hub"}
+    assert {n: c for n, c in got.items() if n[0] == "z"} == {"z1": "z1", "z2": "z1", "z3": "z3", "z4": "z4", "z5": "z5"}
+
+
 def test_command_line(tmp_path):
     with pytest.raises(SystemExit):
         main(["what"])

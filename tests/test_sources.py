@@ -44,10 +44,10 @@ def test_package_databases(spark):
 
 
 def test_service_scans(spark):
-    banners = ["SSH-2.0-OpenSSH_8.9p1 Ubuntu-3", "HTTP/1.1 200\r\nServer: Apache/2.4.49 (Unix)\r\nX-Powered-By: PHP/7.4.1", "Server: nginx", "220 mx ESMTP Postfix", "redis_version:6.2.1", "", None, "what"]
+    banners = ["SSH-2.0-OpenSSH_9.3p2 Example-1", "HTTP/1.1 200\r\nServer: Apache/2.4.49 (Unix)\r\nX-Powered-By: PHP/7.4.1", "Server: nginx", "220 mx ESMTP Postfix", "redis_version:6.2.1", "", None, "what"]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(banners)], "port int, banner string")
     got = [(r.port, r.product, r.version) for r in inventory.identify_banners(df).orderBy("port", "product").collect()]
-    assert got == [(0, "openssh", "8.9p1"), (1, "http_server", "2.4.49"), (1, "php", "7.4.1"), (2, "nginx", None), (3, "postfix", None), (4, "redis", "6.2.1")]
+    assert got == [(0, "openssh", "9.3p2"), (1, "http_server", "2.4.49"), (1, "php", "7.4.1"), (2, "nginx", None), (3, "postfix", None), (4, "redis", "6.2.1")]
     one = inventory.identify_banners(df).select(inventory.service_cpe(F.col("vendor"), F.col("product"), F.col("version")).alias("c")).filter("c like '%nginx%'").first()
     assert one.c == "cpe:2.3:a:f5:nginx:*:*:*:*:*:*:*:*"
     mass = '[{"ip":"1.2.3.4","ports":[{"port":443,"proto":"tcp","status":"open"}]},{"ip":"1.2.3.4","ports":[{"port":80,"proto":"tcp","status":"open"},{"port":81,"proto":"udp","status":"open"}]},\n]'
@@ -76,9 +76,9 @@ def test_archives(spark):
 
 
 def test_feeds(spark, tmp_path):
-    (tmp_path / "epss.csv.gz").write_bytes(gzip.compress(b"#model_version:v2025.03.14,score_date:2025-06-01T00:00:00+0000\ncve,epss,percentile\nCVE-2024-1000,0.5,0.9\ncve-2024-1001,0.1,0.2\n"))
+    (tmp_path / "epss.csv.gz").write_bytes(gzip.compress(b"#model_version:v2031.01.02,score_date:2025-06-01T00:00:00+0000\ncve,epss,percentile\nCVE-2024-1000,0.5,0.9\ncve-2024-1001,0.1,0.2\n"))
     got = [(r.cve_id, r.score, r.model_version, str(r.score_date)) for r in feeds.read_epss(spark, str(tmp_path / "epss.csv.gz")).collect()]
-    assert got == [("CVE-2024-1000", 0.5, "v2025.03.14", "2025-06-01"), ("CVE-2024-1001", 0.1, "v2025.03.14", "2025-06-01")]
+    assert got == [("CVE-2024-1000", 0.5, "v2031.01.02", "2025-06-01"), ("CVE-2024-1001", 0.1, "v2031.01.02", "2025-06-01")]
     with pytest.raises(ValueError):
         feeds.enough_rows(spark.range(4), 10)
     (tmp_path / "ids.csv").write_text("2099-01-01T00:00:00Z,npm/future\n2024-02-01T00:00:00Z,npm/GHSA-b\n2024-01-01T00:00:00Z,npm/GHSA-a\n")
