@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("ingest", help="take up what has landed for a source")
     a.add_argument("source")
     a.add_argument("folder", help="holds landing/, and gets archive/, records/ and checkpoint/")
+    a.add_argument("--store", help="folder of a record store to merge into")
     a = sub.add_parser("scan", help="match inventories against statements")
     a.add_argument("inventories")
     a.add_argument("statements")
@@ -80,12 +81,14 @@ def main(argv: list[str] | None = None) -> int:
 
         (problems.QUERIES | reference.QUERIES)[args.name](spark, args.tables).write.mode("overwrite").parquet(args.out)
     elif args.command == "ingest":
+        from advisorium.operators import store
         from advisorium.sources import documents
         from advisorium.streaming import ingest
 
         parse = {"cvelist": documents.parse_cve5, "vulnrichment": documents.parse_cve5, "nvd": documents.parse_nvd, "fkie": documents.parse_nvd, "euvd": documents.parse_euvd, "csaf": documents.parse_csaf, "osv": documents.parse_osv, "ghsa": documents.parse_osv}.get(args.source, documents.parse_any)
         where = ingest.Landing(args.source, *(f"{args.folder}/{x}" for x in ("landing", "archive", "records", "checkpoint")))
-        ingest.start(spark, where, lambda raw: parse(raw, "content", args.source)).awaitTermination()
+        into = store.RecordStore(spark, args.store) if args.store else None
+        ingest.start(spark, where, lambda raw: parse(raw, "content", args.source), store=into).awaitTermination()
     elif args.command == "scan":
         from pyspark.sql import functions as F
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from advisorium.functions.ids import identifier
+from advisorium.functions.keys import affected_fingerprint, reference_key, severity_key
 from advisorium.operators.merge import SCALARS, SETS, accepted_records, alias_clusters, canonical_ids, folded_documents
 from advisorium.session import Workspace
 from advisorium.sources.bucketed import BucketedTables
+from advisorium.sources.documents import timed
 from advisorium.sources.shared import StaleState
 
 STATEMENT = "struct<key:string,body:string>"
@@ -26,6 +28,23 @@ CONTRIBUTION = f"source string, record_id string, doc_name string, seq bigint, m
 TRIES = 4
 
 
+def records_of(parsed: DataFrame, batch: int) -> DataFrame:
+    """Records as parsers give them (``schemas.PARSED``) as a batch of the store, in the order of their batch and rows.
+
+    A record's names are its identifier and aliases; what it states are its affected products, severities and
+    references, each under its key. Times are instants in UTC without zone, whatever the session's zone.
+    """
+    dated = timed(parsed)
+    utc = lambda c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")).alias(c)
+    keyed = lambda c, kind, key: F.transform(F.coalesce(c, F.array().cast(parsed.schema[c].dataType)), lambda x: F.struct(F.concat(F.lit(kind), key(x)).alias("key"), F.to_json(x).alias("body")))
+    said = F.concat(keyed("affected", "affected:", affected_fingerprint), keyed("severities", "severity:", severity_key), keyed("references", "reference:", reference_key))
+    seq = F.lit(batch).cast("bigint") * (1 << 44) + F.monotonically_increasing_id()
+    return dated.select(
+        seq.alias("seq"), "source", "record_id", F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names"), *[utc(c) for c in ("published", "modified", "withdrawn")],
+        *SCALARS, *SETS, said.alias("statements"),
+    )
+
+
 @dataclass(frozen=True)
 class Counts:
     """What a batch did: records seen, refused for want of an identity, stale, and documents written and folded away."""

@@ -158,6 +158,11 @@ def truncated_lookups(spark: SparkSession, d: str) -> DataFrame:
     return scan.candidates(components(spark, d), statements(spark, d), per_key=3)[1]
 
 
+def capped_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The lookups that a cap of 2,000 statements per key would cut, and how many statements there are."""
+    return scan.candidates(components(spark, d), statements(spark, d), per_key=2_000)[1]
+
+
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:
     comps, said = components(spark, d), statements(spark, d)
     verdicts = scan.judge(scan.all_candidates(comps, said), comps, said)
@@ -402,7 +407,7 @@ QUERIES: dict[str, Query] = {
     "counts_by_rating": lambda spark, d: enrich.counts_by_rating(corpus(spark, d)), "counts_by_source": lambda spark, d: enrich.counts_by_source(corpus(spark, d)),
     "vendor_ranks": vendor_ranks, "vendor_top": vendor_top, "version_guard": version_guard, "fold_documents": fold_documents,
     "newest_contributions": newest_contributions, "alias_clusters": alias_clusters, "top_statements": top_statements, "truncated_lookups": truncated_lookups,
-    "scan_findings": scan_findings, "scan_counts": scan_counts, "scan_report": scan_report, "channel_lookups": channel_lookups, "flaw_details": flaw_details, "merged_children": merged_children, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
+    "scan_findings": scan_findings, "scan_counts": scan_counts, "capped_lookups": capped_lookups, "scan_report": scan_report, "channel_lookups": channel_lookups, "flaw_details": flaw_details, "merged_children": merged_children, "version_windows": version_windows, "verdict_batch": verdict_batch, "id_forms": id_forms, "id_lists": id_lists,
     "ratings": ratings, "base_scores": base_scores, "purl_keys": purl_keys, "folded_names": folded_names, "document_hashes": document_hashes,
     "snapshot_changes_last": snapshot_changes_last, "epss_upserts": epss_upserts, "kev_replace_all": kev_replace_all, "text_tokens": text_tokens, "distinct_arrays": distinct_arrays, "osv_parsed": osv_parsed, "nvd_parsed": nvd_parsed, "banner_services": banner_services, "known_banners": known_banners, "csv_export": csv_export, "service_vendors": service_vendors, "bundle_windows": bundle_windows,
 }

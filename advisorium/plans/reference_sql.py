@@ -99,6 +99,7 @@ ORACLES: dict[str, str] = {
       SELECT flaw, title, assigner, source, aliases, cwes, published, modified FROM docs JOIN named USING (flaw)""",
     "top_statements": f"WITH {_OFFERED} SELECT DISTINCT comp_id, vuln_id, fingerprint FROM asked JOIN ranked USING (channel, key) WHERE at_ <= 3",
     "truncated_lookups": f"WITH {_OFFERED} SELECT DISTINCT comp_id, channel, n AS n_statements FROM asked JOIN ranked USING (channel, key) WHERE n > 3",
+    "capped_lookups": f"WITH {_OFFERED} SELECT DISTINCT comp_id, channel, n AS n_statements FROM asked JOIN ranked USING (channel, key) WHERE n > 2000",
     "scan_findings": f"""WITH {_STATEMENTS}, {_COMPONENTS} SELECT DISTINCT comp_id, vuln_id, 'finding' AS outcome, 'possible' AS confidence, 'vendor_product' AS matched_on
       FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high""",
     "scan_counts": f"""WITH {_STATEMENTS}, {_COMPONENTS}, f AS (SELECT DISTINCT comp_id, vuln_id FROM comps JOIN said ON name = product AND comps.vendor = said.vendor WHERE version >= low AND version < high)

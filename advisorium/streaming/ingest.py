@@ -1,7 +1,7 @@
 """Continuous ingestion: landing files as streams, one query per source, its checkpoint as the cursor.
 
-Each micro-batch is parsed, guarded against repeats by content hash, and appended under its batch number, so that a
-batch that runs again after a failure overwrites what it wrote and adds nothing.
+Each micro-batch is parsed, guarded against repeats by content hash, written under its batch number and merged into the
+record store, so that a batch that runs again after a failure overwrites what it wrote and adds nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from advisorium.operators.store import RecordStore, records_of
 from advisorium.sources.bucketed import BucketedTables
 
 RAW = "source string, record_id string, content string, landed_at timestamp"
@@ -47,13 +48,14 @@ def archive_of(spark: SparkSession, path: str, buckets: int = 64) -> BucketedTab
     return BucketedTables(spark, path, {"hashes": ["source", "record_id"]}, {"hashes": StructType.fromDDL(HASHES)}, buckets)
 
 
-def persist_batch(landing: Landing, parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch does: drop unchanged records, parse the others, write records and hashes.
+def persist_batch(landing: Landing, parse: Callable[[DataFrame], DataFrame], store: RecordStore | None = None) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does: drop unchanged records, parse the others, write records, merge them into ``store`` if
+    there is one, and write hashes.
 
     A record counts as unchanged if its newest archived content of earlier batches is the same; only the buckets of
     the archive that hold records of the batch are read and replaced. Hashes are swapped in last, so a batch that
-    failed between the two writes parses its records again, and one that runs again after both compares with what was
-    there before it.
+    failed before parses and merges its records again, which changes nothing twice, and one that runs again afterwards
+    compares with what was there before it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -63,8 +65,11 @@ def persist_batch(landing: Landing, parse: Callable[[DataFrame], DataFrame]) ->
         newest = hashed.groupBy("source", "record_id").agg(F.max_by(F.struct("content", "sha256", "landed_at"), F.struct("landed_at", "sha256")).alias("r")).select("source", "record_id", "r.*")
         held = now.lookup("hashes", newest).select("source", "record_id", F.when(F.col("batch") == number, F.col("before")).otherwise(F.col("sha256")).alias("old"))
         fresh = newest.join(held, ["source", "record_id"], "left").filter(~F.col("sha256").eqNullSafe(F.col("old"))).persist()
+        at = f"{landing.records}/batch={number}"
         try:
-            parse(fresh.select("content")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{landing.records}/batch={number}")
+            parse(fresh.select("content")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(at)
+            if store is not None:
+                store.apply(records_of(spark.read.parquet(at), number))
             now.replace("hashes", fresh.select("source", "record_id", "sha256", F.lit(number).cast("bigint").alias("batch"), F.col("old").alias("before")))
             now.commit()
         finally:
@@ -73,9 +78,9 @@ def persist_batch(landing: Landing, parse: Callable[[DataFrame], DataFrame]) ->
     return run
 
 
-def start(spark: SparkSession, landing: Landing, parse: Callable[[DataFrame], DataFrame], once: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, landing: Landing, parse: Callable[[DataFrame], DataFrame], once: bool = True, store: RecordStore | None = None) -> StreamingQuery:
     """One source's query: all that is available and stop, or on its cadence."""
-    writer = raw_stream(spark, landing).writeStream.foreachBatch(persist_batch(landing, parse)).option("checkpointLocation", landing.checkpoint).queryName(f"ingest-{landing.source}")
+    writer = raw_stream(spark, landing).writeStream.foreachBatch(persist_batch(landing, parse, store)).option("checkpointLocation", landing.checkpoint).queryName(f"ingest-{landing.source}")
     trigger = {"availableNow": True} if once else {"processingTime": f"{CADENCE.get(landing.source, 360)} minutes"}
     return writer.trigger(**trigger).start()
 

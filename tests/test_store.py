@@ -97,3 +97,26 @@ def test_racing_batches_are_both_merged(spark, tmp_path):
     for w in work:
         w.join()
     assert set(docs(s)) == {"CVE-2024-1001", "CVE-2024-1002"}
+
+
+def test_a_stream_is_merged(spark, tmp_path):
+    import json
+
+    from advisorium.sources import documents
+    from advisorium.streaming import ingest
+
+    (tmp_path / "landing").mkdir()
+    doc = lambda i, **more: {"id": i, "modified": "2024-05-01T00:00:00Z", "affected": [{"package": {"ecosystem": "npm", "name": "tinymd"}}]} | more
+    put = lambda name, *docs: (tmp_path / "landing" / name).write_text("".join(json.dumps({"source": "osv", "record_id": x["id"], "content": json.dumps(x), "landed_at": "2024-01-01T00:00:00Z"}) + "\n" for x in docs))
+    where = ingest.Landing("osv", *(f"file://{tmp_path}/{x}" for x in ("landing", "archive", "records", "checkpoint")))
+    s = store.RecordStore(spark, f"file://{tmp_path}/s", 4)
+    put("a.json", doc("GHSA-aaaa-bbbb-cccc", summary="one"), doc("X-9", summary="other"))
+    ingest.start(spark, where, documents.parse_osv, store=s).awaitTermination()
+    assert {k: (r.title, r.modified) for k, r in docs(s).items()} == {"GHSA-aaaa-bbbb-cccc": ("one", datetime(2024, 5, 1)), "X-9": ("other", datetime(2024, 5, 1))}
+    put("b.json", doc("GHSA-aaaa-bbbb-cccc", summary="two", aliases=["CVE-2024-1000"], modified="2024-05-02T00:00:00Z", affected=[]), doc("X-9", summary="other"))
+    ingest.start(spark, where, documents.parse_osv, store=s).awaitTermination()
+    assert {k: r.title for k, r in docs(s).items()} == {"CVE-2024-1000": "two", "X-9": "other"}
+    assert [(r.doc_id, r.key.split(":")[0]) for r in s.statements().collect()] == [("X-9", "affected")]
+    number = s.tables.pointer.read()[0]
+    assert s.apply(store.records_of(spark.read.parquet(f"file://{tmp_path}/records/batch=1"), 1)).written == 1  # once more changes nothing
+    assert docs(s)["CVE-2024-1000"].title == "two" and s.tables.pointer.read()[0] == number + 1
