@@ -82,7 +82,8 @@ class SnapshotIndex:
     def _differences(self, last: int | None, seq: int) -> str:
         """Derive the changes from ``last`` to ``seq`` and write them; returns their path."""
         old, new = self._snapshot(last), self._snapshot(seq)
-        name = f"{last or 0}-{seq}"
+        # The numbers stand in the path alone, so that every delivery runs the same generated code.
+        name = f"from_seq={'__HIVE_DEFAULT_PARTITION__' if last is None else last}/to_seq={seq}"
         found_at, changes_at = f"{self.folder}/found/{name}", f"{self.folder}/changes/{name}"
         on = ["bucket", self.key]
         probe(old, new, on).write.mode("overwrite").parquet(found_at)
@@ -90,7 +91,7 @@ class SnapshotIndex:
         v = new.schema["v"].dataType
         fetched = old.select(*on, F.col("v").alias("old"), F.lit(None).cast(v).alias("new")).unionByName(new.select(*on, F.lit(None).cast(v).alias("old"), F.col("v").alias("new")))
         both = fetched.join(found, on).groupBy(*on, "change_kind").agg(F.first("old", True).alias("old"), F.first("new", True).alias("new"))
-        both.select(F.lit(last).cast("bigint").alias("from_seq"), F.lit(seq).cast("bigint").alias("to_seq"), self.key, "change_kind", "old", "new").write.mode("overwrite").parquet(changes_at)
+        both.select(self.key, "change_kind", "old", "new").write.mode("overwrite").parquet(changes_at)
         return changes_at
 
     def deliver(self, *numbers: int) -> list[str]:
@@ -124,5 +125,6 @@ class SnapshotIndex:
         """Delivered changes: from_seq (null: the first delivery), to_seq, key, change_kind, old, new (structs of the values)."""
         v = self._schema["v"].dataType.simpleString()
         kind = self._schema[self.key].dataType.simpleString()
-        schema = f"from_seq bigint, to_seq bigint, `{self.key}` {kind}, change_kind string, old {v}, new {v}"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema = f"`{self.key}` {kind}, change_kind string, old {v}, new {v}, from_seq bigint, to_seq bigint"
+        read = self.spark.read.option("basePath", f"{self.folder}/changes").schema(schema)
+        return read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
