@@ -18,7 +18,7 @@ from advisorium.sources.shared import Pointer, SharedFolder, StaleState
 
 BUCKETS = 64
 #: So many deliveries are probed at a time; they count strictly one after the other.
-PROBES_AHEAD = 4
+PROBES_AHEAD = 2
 
 
 def consecutive(snapshots: DataFrame, order: list[str]) -> DataFrame:
